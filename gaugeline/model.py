@@ -37,6 +37,7 @@ class Readings:
 
     ``columns`` maps field names to columns of a typed frame and is ``None`` for a raw frame.  ``order`` names
     the columns that together give each reading its unique place; their sort order is the arrival order.
+    ``order_depth`` states that readings which agree in the first so many order columns are few.
     """
 
     df: DataFrame
@@ -44,6 +45,7 @@ class Readings:
     order: tuple[str, ...] = RAW_ORDER
     tz: str = dates.UTC
     strict: bool = False
+    order_depth: int | None = None
     _types: Mapping[str, T.DataType] = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -57,13 +59,13 @@ class Readings:
     @classmethod
     def typed(
         cls, df: DataFrame, columns: Mapping[str, str] | Sequence[str], order: Sequence[str], tz: str = dates.UTC,
-        strict: bool = False,
+        strict: bool = False, order_depth: int | None = None,
     ) -> Readings:
         mapping = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
         unknown = [c for c in mapping.values() if c not in df.columns]
         if unknown:
             raise ValueError(f"mapped columns not in the frame: {unknown}")
-        return cls(df, mapping, tuple(order), tz, strict)
+        return cls(df, mapping, tuple(order), tz, strict, order_depth)
 
     def with_df(self, df: DataFrame, columns: Mapping[str, str] | None = None) -> Readings:
         return replace(self, df=df, columns=self.columns if columns is None else columns)
@@ -178,7 +180,8 @@ class Readings:
         if self.is_raw:
             at = [self.order.index("row")]
         else:
-            at = [i for i, c in enumerate(self.order) if isinstance(self._types[c], _INTEGRAL)]
+            depth = len(self.order) if self.order_depth is None else self.order_depth
+            at = [i for i, c in enumerate(self.order[:depth]) if isinstance(self._types[c], _INTEGRAL)]
         if not at:
             raise ValueError("the arrival order needs an integral column")
         high = {i: F.shiftright(F.col(self.order[i]).cast("bigint"), SLICE_BITS) for i in at}

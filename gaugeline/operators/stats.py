@@ -6,6 +6,7 @@ Every part returns one row per ``by`` group and ``column``; :func:`stats` joins
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,7 +123,7 @@ def changes(
     if order != "timestamp":
         raise ValueError(f"unknown order {order!r}")
     timed = r.with_df(r.df.withColumn("_ts", F.coalesce(r.timestamp(), F.lit(0).cast("bigint"))))
-    timed = Readings(timed.df, timed.columns, ("_ts", *r.order), r.tz, r.strict)
+    timed = replace(timed, order=("_ts", *r.order))
     rows = measurements(timed, columns, by)
     at = F.col("_ts")
     levels = [[F.shiftright(at, TIME_BITS)], *[[at, *level] for level in r.arrival_levels()]]

@@ -301,10 +301,10 @@ BASIC = """count(*) AS count, round(min(value), 6) AS min, round(max(value), 6)
     round(max(value) - min(value), 6) AS range, round(avg(value), 6) AS mean,
     round(coalesce(stddev_samp(value), 0), 6) AS stddev"""
 QUARTS = """quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3"""
-LONG_ITEMS = """WITH it AS (SELECT 'quantity' AS "column", l_quantity AS value, l_orderkey, l_linenumber, l_returnflag AS sensor FROM lineitem
-    UNION ALL SELECT 'price', l_extendedprice, l_orderkey, l_linenumber, l_returnflag FROM lineitem
-    UNION ALL SELECT 'discount', l_discount, l_orderkey, l_linenumber, l_returnflag FROM lineitem
-    UNION ALL SELECT 'tax', l_tax, l_orderkey, l_linenumber, l_returnflag FROM lineitem)"""
+LONG_ITEMS = """WITH it AS (SELECT 'quantity' AS "column", l_quantity AS value, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+    UNION ALL SELECT 'price', l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+    UNION ALL SELECT 'discount', l_discount, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+    UNION ALL SELECT 'tax', l_tax, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
 ITEM_COLUMNS = ("quantity", "price", "discount", "tax")
 
 
@@ -507,7 +507,7 @@ def stats_all_columns(spark, sf):
 
 @register(
     "stats_deltas_all_columns",
-    _changes_sql(LONG_ITEMS, '"column"', "l_orderkey, l_linenumber", "it") + _changes_select('"column"', ""),
+    _changes_sql(LONG_ITEMS, '"column"', "l_orderkey, l_linenumber, l_partkey, l_suppkey", "it") + _changes_select('"column"', ""),
 )
 def stats_deltas_all_columns(spark, sf):
     return rounded(stats.changes(lineitem(spark, sf), ITEM_COLUMNS))

@@ -41,7 +41,9 @@ def lineitem(spark: SparkSession, sf_dir: str) -> Readings:
         "sensor_id": "l_partkey", "sensor": "l_returnflag", "quantity": "l_quantity", "price": "l_extendedprice",
         "discount": "l_discount", "tax": "l_tax", "timestamp": "l_shipdate",
     }
-    return Readings.typed(table(spark, sf_dir, "lineitem"), mapping, ["l_orderkey", "l_linenumber"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    # An order has a handful of lines.
+    return Readings.typed(table(spark, sf_dir, "lineitem"), mapping, order, order_depth=1)
 
 
 def event_rows(r: Readings, *more: str) -> DataFrame:
