@@ -16,6 +16,11 @@ NESTED_VALUE = r":\s*[\[{]"
 FRAGILE_NUMBER = (
     r"\.(?:[0-9]*[1-9]0+|0{2,})[\s,}\]]|[0-9][eE]|[0-9]{16}|[0-9]{7}\.|\.[0-9]{15}|0\.00|-0[\s,}\]]|[:\s\[,]0[0-9]"
 )
+# The rest of a line behind its last closing brace, and the whole pairs at the start of an object that is cut off there.
+OPEN_END = r"(?s)([^}]*)\z"
+WHOLE_PAIRS = (
+    r'(?s)(\{(?:[\s,]*+"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:\s*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s,"{}\[\]][^,"{}\[\]]*+))*+)'
+)
 TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'
 NUMBER_TOKEN = r"-?[0-9][0-9.eE+\-]*"
 
@@ -33,9 +38,16 @@ def _repaired(text: Column) -> Column:
 
 
 def parsed_objects(line: Column) -> Column:
-    """``ARRAY<MAP<STRING,STRING>>`` of a line; NULL when it cannot be read."""
-    text = F.regexp_extract(line, OBJECTS, 0)
-    needs_repair = text.rlike(TOUCHING_OBJECTS) | text.rlike(FRAGILE_NUMBER)
+    """``ARRAY<MAP<STRING,STRING>>`` of a line; NULL when it cannot be read.
+
+    An object that is cut off at the end of the line keeps the pairs that are complete.
+    """
+    objects = F.regexp_extract(line, OBJECTS, 0)
+    rest = F.regexp_extract(line, OPEN_END, 1)
+    pairs = F.concat(F.regexp_extract(rest, WHOLE_PAIRS, 1), F.lit("}"))
+    cut_off = F.contains(rest, F.lit("{"))
+    text = F.when(cut_off, F.concat(objects, F.when(objects != "", F.lit(",")).otherwise(F.lit("")), pairs)).otherwise(objects)
+    needs_repair = cut_off | text.rlike(TOUCHING_OBJECTS) | text.rlike(FRAGILE_NUMBER)
     body = F.when(needs_repair, _repaired(text)).otherwise(text)
     return F.from_json(F.concat(F.lit("["), body, F.lit("]")), SCHEMA)
 
@@ -58,7 +70,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
-    """Non-blank lines that give no reading although they are no empty list."""
+    """Non-blank lines in which no object can be read and which are no empty list."""
     blank = (F.trim("value", F.lit(" \t\r\n")) == "") | F.col("value").rlike(EMPTY_LIST)
-    readable = F.contains("value", F.lit("{")) & parsed_objects(F.col("value")).isNotNull()
-    return lines.where(~blank & ~readable)
+    objects = F.coalesce(F.size(parsed_objects(F.col("value"))), F.lit(0))
+    return lines.where(~blank & (objects <= 0))
