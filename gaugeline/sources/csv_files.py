@@ -17,8 +17,6 @@ BAD = "_bad"
 # Stands for NULL in the scan, so that an empty field is not taken for one.
 NO_NULL = "\x01\x02"
 FIELD = r'(?s)(?:^|,)(?:"(?:[^"]|"")*+"|[^,"]*+)'
-# More files than this in one call would make the list of files per header too large for the driver.
-MAX_FILES = 5_000_000
 
 
 def header_names(line: str) -> list[str]:
@@ -41,7 +39,7 @@ def headers(spark: SparkSession, files: FileSet, csv_only: bool | None) -> list[
     return [(g["header"], g["spans"], sorted(g["files"])) for g in groups.collect()]
 
 
-def _fields(names: list[str]) -> Column:
+def fields_map(names: list[str]) -> Column:
     """Map of the row; a short row lacks its last columns, and the first of equal names wins."""
     index = {}
     for i, name in enumerate(names):
@@ -58,20 +56,24 @@ def _fields(names: list[str]) -> Column:
     return F.when(F.col(BAD).isNull(), full).otherwise(F.map_filter(short, lambda _, v: v.isNotNull()))
 
 
-def _read_group(spark: SparkSession, header: str, spans: bool, paths: list[str]) -> DataFrame | None:
-    names = header_names(header)
-    if not names:
-        return None
+def configured(reader, names: list[str], spans: bool):
+    """Schema and options for rows under these names, on a batch or a stream reader."""
     columns = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-    reader = (
-        spark.read.schema(T.StructType([*columns, T.StructField(BAD, T.StringType())]))
+    return (
+        reader.schema(T.StructType([*columns, T.StructField(BAD, T.StringType())]))
         .option("header", True).option("enforceSchema", True).option("multiLine", spans)
         .option("quote", '"').option("escape", '"').option("nullValue", NO_NULL).option("emptyValue", "")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
         .option("maxColumns", max(20480, len(names) + 1)).option("ignoreMissingFiles", "true")
     )
-    rows = reader.csv(paths).select("*", *place())
-    return rows.select("source", "block", "row", F.lit(0).alias("pos"), _fields(names).alias("fields"))
+
+
+def _read_group(spark: SparkSession, header: str, spans: bool, paths: list[str]) -> DataFrame | None:
+    names = header_names(header)
+    if not names:
+        return None
+    rows = configured(spark.read, names, spans).csv(paths).select("*", *place())
+    return rows.select("source", "block", "row", F.lit(0).alias("pos"), fields_map(names).alias("fields"))
 
 
 def read_csv(spark: SparkSession, files: FileSet, csv_only: bool | None = None) -> DataFrame | None:
