@@ -158,4 +158,4 @@ def reject_reasons(r: Readings, spec: FilterSpec) -> Readings:
     ]
     reasons = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     df = prepared.df.withColumn("reasons", reasons).where(F.size("reasons") > 0)
-    return r.with_df(df.withColumn("reason", F.col("reasons")[0]).drop(*helpers))
+    return r.with_df(df.withColumn("reason", F.get("reasons", F.lit(0))).drop(*helpers))
