@@ -28,7 +28,9 @@ def duration_text(seconds: Column) -> Column:
 
 def json_string(text: Column) -> Column:
     """A JSON string literal with quotes and escapes."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    # {"x":"..."} without its braces and key.
+    wrapped = F.rtrim(F.to_json(F.struct(text.alias("x"))), F.lit("}"))
+    return F.substring(wrapped, 6, (1 << 31) - 1)
 
 
 def json_scalar(text: Column) -> Column:

@@ -12,8 +12,10 @@ string and the text ``null`` are values of their own.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,9 +134,8 @@ class Readings:
             if isinstance(kind, T.TimestampType):
                 return F.unix_seconds(column)
             if isinstance(kind, T.TimestampNTZType):
-                days = F.unix_date(column.cast("date")).cast("bigint") * dates.DAY_SECONDS
-                wall = days + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-                return dates.wall_to_epoch(wall, self.tz)
+                # For a timestamp without zone these are the seconds on its own clock, whatever the session zone.
+                return dates.wall_to_epoch(F.unix_timestamp(column), self.tz)
             if isinstance(kind, T.DateType):
                 return dates.wall_to_epoch(F.unix_date(column).cast("bigint") * dates.DAY_SECONDS, self.tz)
             if isinstance(kind, _INTEGRAL):
@@ -142,30 +143,34 @@ class Readings:
         parsed = dates.parse_date(self.field("timestamp"), self.tz, strict=self.strict)
         return F.nullif(parsed, F.lit(0).cast("bigint"))
 
-    def timestamp_between(self, low: Column, high: Column) -> Column:
-        """``low <= timestamp <= high`` for foldable bounds, where a bound of 0 or less is open.
+    def timestamp_between(self, low: int, high: int) -> Column:
+        """``low <= timestamp <= high``, where a bound of 0 or less is open; NULL without a timestamp.
 
         Stated on the stored column where its type allows, so that the file scan can skip data.
         """
-        column, upper = self.timestamp(), high
-        strict_upper = False
-        if not self.is_raw and "timestamp" in self.columns:
-            kind = self.type_of("timestamp")
-            if isinstance(kind, T.TimestampType):
-                column, strict_upper = self.native("timestamp"), True
-                low_bound, upper = F.timestamp_seconds(low), F.timestamp_seconds(high + 1)
-            elif isinstance(kind, T.TimestampNTZType) and self.tz == dates.UTC:
-                origin = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-                column, strict_upper = self.native("timestamp"), True
-                low_bound = origin + _seconds_interval(low)
-                upper = origin + _seconds_interval(high + 1)
-            else:
-                low_bound = low
+        kind = None if self.is_raw or "timestamp" not in self.columns else self.type_of("timestamp")
+        if isinstance(kind, T.TimestampType):
+            column, stop = self.native("timestamp"), high + 1
+
+            def moment(seconds: int) -> Column:
+                return F.timestamp_seconds(F.lit(seconds))
+
+        elif isinstance(kind, T.TimestampNTZType) and self.tz == dates.UTC:
+            column, stop = self.native("timestamp"), high + 1
+
+            def moment(seconds: int) -> Column:
+                wall = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
+                return F.expr(f"TIMESTAMP_NTZ'{wall.isoformat(sep=' ')}'")
+
         else:
-            low_bound = low
-        above = F.when(low > 0, column >= low_bound).otherwise(column.isNotNull())
-        below = F.when(high > 0, column < upper if strict_upper else column <= upper).otherwise(column.isNotNull())
-        return above & below
+            column, stop = self.timestamp(), high + 1
+
+            def moment(seconds: int) -> Column:
+                return F.lit(seconds).cast("bigint")
+
+        tests = [column >= moment(low)] if low > 0 else []
+        tests += [column < moment(stop)] if high > 0 else []
+        return reduce(Column.__and__, tests) if tests else column.isNotNull()
 
     # -- arrival order ---------------------------------------------------------------------------------------
 
@@ -198,8 +203,3 @@ def _is_canonical_integer(text: str) -> bool:
         return str(int(text)) == text
     except ValueError:
         return False
-
-
-def _seconds_interval(seconds: Column) -> Column:
-    zero = F.lit(0)
-    return F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))

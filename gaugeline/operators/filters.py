@@ -100,8 +100,8 @@ def conditions(r: Readings, spec: FilterSpec) -> list[tuple[str, Column]]:
     if spec.has_dates:
         low = date_bound(spec.min_date, r.tz, strict=r.strict)
         high = date_bound(spec.max_date, r.tz, end_of_day=True, strict=r.strict)
-        inactive = (low <= 0) & (high <= 0)
-        found.append(("outside date range", inactive | r.timestamp_between(low, high)))
+        if low > 0 or high > 0:
+            found.append(("outside date range", r.timestamp_between(low, high)))
     for name in spec.not_empty:
         found.append((f"empty or missing: {name}", r.field(name) != ""))
     for name in spec.not_null:

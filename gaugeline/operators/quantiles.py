@@ -1,8 +1,8 @@
 """Exact quantiles per group, whatever the size of a group.
 
-Small groups use Spark's exact ``percentile``.  For a group above the limit that would hold all its distinct
-values in one task, so there the search is narrowed first: a sketch of fixed size gives for each quantile an
-interval that must contain it, everything outside only needs counting, and the few values inside are ranked.
+Small groups are sorted, each in one task, and read off at the wanted ranks.  For a group above the limit the
+search is narrowed first: a sketch of fixed size gives for each quantile an interval that must contain it,
+everything outside only needs counting, and the few values inside are ranked.
 """
 
 from __future__ import annotations
@@ -14,15 +14,55 @@ from pyspark.sql import functions as F
 
 from .skew import GROUP_ROWS, flag_large
 
-SKETCH_ACCURACY = 20_000
+SKETCH_ACCURACY = 10_000
 # Interval half width in units of the sketch's own rank error.
-SAFETY = 3
+SAFETY = 2
 INFINITY = float("inf")
 
 
+def _between(below: Column, above: Column, position: Column) -> Column:
+    """Linear interpolation between the values at the ranks around a position."""
+    return below + (above - below) * (position - F.floor(position))
+
+
+def _ranked(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, Window]:
+    """Add ``_rank`` (from 0) and the group's ``_n``; both, like what is added later over the returned window of
+    the whole group, use one and the same sort."""
+    ascending = Window.partitionBy(*by).orderBy(value)
+    whole = ascending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = df.select(
+        "*", (F.row_number().over(ascending) - 1).alias("_rank"), F.count(F.lit(1)).over(whole).alias("_n")
+    )
+    return ranked, whole
+
+
+def _ends(p: float, n: Column, value: str) -> tuple[Column, Column]:
+    """Maxima that pick the values at the ranks around a quantile out of a ranked group."""
+    position = F.lit(p) * (n - 1)
+    return (
+        F.max(F.when(F.col("_rank") == F.floor(position), F.col(value))),
+        F.max(F.when(F.col("_rank") == F.ceil(position), F.col(value))),
+    )
+
+
+def with_small_group_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], name: str = "quantiles"
+) -> DataFrame:
+    """Add the quantiles of its group to each row; the rows come out partitioned by ``by``."""
+    ranked, whole = _ranked(df, by, value)
+    n = F.col("_n")
+    found = []
+    for p in probabilities:
+        below, above = _ends(p, n, value)
+        found.append(_between(below.over(whole), above.over(whole), F.lit(p) * (n - 1)))
+    return ranked.withColumn(name, F.array(*found)).drop("_rank", "_n")
+
+
 def small_group_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    exact = F.percentile(value, F.array(*[F.lit(p) for p in probabilities]))
-    return df.groupBy(*by).agg(exact.alias("quantiles"))
+    ranked, _ = _ranked(df.select(*by, value), by, value)
+    found = [_between(*_ends(p, F.col("_n"), value), F.lit(p) * (F.max("_n") - 1)) for p in probabilities]
+    # The window has put each group into one task, so this needs no further shuffle.
+    return ranked.groupBy(*by).agg(F.array(*found).alias("quantiles"))
 
 
 def large_group_quantiles(
@@ -37,33 +77,37 @@ def large_group_quantiles(
         F.percentile_approx(value, lows + highs, accuracy).alias("_cuts"), F.count(value).alias("_n")
     )
     v, k = F.col(value), len(probabilities)
-
-    def binned(i: int) -> Column:
-        cuts = F.col("_cuts")
-        low = F.lit(-INFINITY) if lows[i] == 0.0 else cuts[i]
-        high = F.lit(INFINITY) if highs[i] == 1.0 else cuts[k + i]
-        inside = F.when(v < low, F.lit(-INFINITY)).when(v > high, F.lit(INFINITY)).otherwise(v)
-        return F.struct(F.lit(i).alias("q"), inside.alias("bin"))
+    low_cut = [F.lit(-INFINITY) if lows[i] == 0.0 else F.col("_cuts")[i] for i in range(k)]
+    high_cut = [F.lit(INFINITY) if highs[i] == 1.0 else F.col("_cuts")[k + i] for i in range(k)]
+    inside = F.lit(False)
+    for low, high in zip(low_cut, high_cut):
+        inside = inside | v.between(low, high)
+    # A value outside of all intervals only counts; it is put right behind the last interval below it.
+    passed = F.greatest(F.lit(-INFINITY), F.lit(-INFINITY), *[F.when(v > high, high) for high in high_cut])
 
     # One row per large group, and there are at most rows / limit of these.
-    near = df.join(F.broadcast(sketch), list(by)).select(
-        *by, "_n", F.explode(F.array(*[binned(i) for i in range(k)])).alias("_b")
-    ).select(*by, "_n", "_b.q", "_b.bin")
-    counts = near.groupBy(*by, "_n", "q", "bin").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by, "_n", "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    near = df.join(F.broadcast(sketch), list(by))
+    binned = near.select(*by, "_n", F.when(inside, v).otherwise(passed).alias("bin"), (~inside).alias("gap"))
+    counts = binned.groupBy(*by, "_n", "bin", "gap").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*by).orderBy("bin", "gap").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("c").over(upto))
 
-    position = F.element_at(F.array(*[F.lit(p) for p in probabilities]), F.col("q") + 1) * (F.col("_n") - 1)
-    ranked = ranked.withColumn("position", position)
-    below = F.min(F.when(F.col("upto") > F.floor("position"), F.col("bin")))
-    above = F.min(F.when(F.col("upto") > F.ceil("position"), F.col("bin")))
-    found = ranked.groupBy(*by, "q").agg(below.alias("below"), above.alias("above"), F.max("position").alias("position"))
-    part = F.col("position") - F.floor("position")
-    exact = F.col("below") + (F.col("above") - F.col("below")) * part
-    bracketed = (F.abs(F.col("below")) < INFINITY) & (F.abs(F.col("above")) < INFINITY)
-    checked = F.when(bracketed, exact).otherwise(F.raise_error(F.lit("quantile outside its interval")).cast("double"))
-    listed = F.array_sort(F.collect_list(F.struct("q", checked.alias("x"))))
-    return found.groupBy(*by).agg(F.transform(listed, lambda e: e["x"]).alias("quantiles"))
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.struct("bin", "gap")))
+
+    found = ranked.groupBy(*by).agg(
+        F.max("_n").alias("_n"),
+        *[at(F.floor(F.lit(p) * (F.col("_n") - 1))).alias(f"below{i}") for i, p in enumerate(probabilities)],
+        *[at(F.ceil(F.lit(p) * (F.col("_n") - 1))).alias(f"above{i}") for i, p in enumerate(probabilities)],
+    )
+
+    def quantile(i: int, p: float) -> Column:
+        below, above = F.col(f"below{i}"), F.col(f"above{i}")
+        exact = _between(below["bin"], above["bin"], F.lit(p) * (F.col("_n") - 1))
+        missed = F.raise_error(F.lit("quantile outside its interval")).cast("double")
+        return F.when(below["gap"] | above["gap"], missed).otherwise(exact)
+
+    return found.select(*by, F.array(*[quantile(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"))
 
 
 def quantiles(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,8 +43,8 @@ def range_by_sensor(r: Readings, ids: Ids, start: int, end: int, ordered: bool =
     """Points with ``start <= timestamp <= end``, oldest first."""
     if start >= end:
         raise ValueError("start must be before end")
-    low, high = F.lit(start).cast("bigint"), F.lit(end).cast("bigint")
-    within = r.with_df(r.df.where(r.timestamp_between(low, high) & r.timestamp().between(low, high)))
+    # The second test is for bounds of 0 and less, which the first one takes for open.
+    within = r.with_df(r.df.where(r.timestamp_between(start, end) & r.timestamp().between(start, end)))
     found = series(within, ids, r.order)
     if ordered:
         found = found.orderBy("sensor_id", "timestamp", *r.order)
@@ -78,7 +79,7 @@ def bucket_start(index: Column, start: int, end: int, buckets: int) -> Column:
 
 
 def bucket_of(timestamp: Column, start: int, end: int, buckets: int) -> Column:
-    """Index of the bucket ``[start + floor(i w), start + floor((i + 1) w))``, NULL outside of all.
+    """Index of the bucket ``[start + floor(i w), start + floor((i + 1) w))`` for a timestamp inside of one.
 
     The index is computed, so no table of buckets has to be joined; a neighbour is taken where rounding of the
     division and of the bounds disagree.
@@ -86,8 +87,12 @@ def bucket_of(timestamp: Column, start: int, end: int, buckets: int) -> Column:
     width = (end - start) / buckets
     guess = F.ceil((timestamp - start + 1) / F.lit(width)) - 1
     low, high = bucket_start(guess, start, end, buckets), bucket_start(guess + 1, start, end, buckets)
-    index = F.when(timestamp < low, guess - 1).when(timestamp >= high, guess + 1).otherwise(guess)
-    return F.when(index.between(0, buckets - 1), index.cast("int"))
+    return (guess + F.when(timestamp < low, -1).when(timestamp >= high, 1).otherwise(0)).cast("int")
+
+
+def bucket_span(start: int, end: int, buckets: int) -> tuple[int, int]:
+    """First timestamp of the first bucket and the one after the last bucket."""
+    return start, start + math.floor(buckets * ((end - start) / buckets))
 
 
 def downsample(
@@ -99,13 +104,14 @@ def downsample(
     """
     if buckets <= 0 or buckets > MAX_BUCKETS:
         buckets = MAX_BUCKETS
+    low, high = bucket_span(start, max(start, end), buckets)
+    within = r.with_df(r.df.where(r.timestamp_between(low, high)))
+    points = series(within, ids).where((F.col("timestamp") >= low) & (F.col("timestamp") < high))
     if start >= end:
-        return series(r, ids).limit(0).select(
-            "sensor_id", F.lit(0).alias("bucket"), F.col("timestamp").alias("bucket_start"), "value",
-        )
-    within = r.with_df(r.df.where(r.timestamp_between(F.lit(start).cast("bigint"), F.lit(end).cast("bigint"))))
-    points = series(within, ids).withColumn("bucket", bucket_of(F.col("timestamp"), start, end, buckets))
-    means = points.where(F.col("bucket").isNotNull()).groupBy("sensor_id", "bucket").agg(F.avg("value").alias("value"))
+        indexed = points.limit(0).withColumn("bucket", F.lit(0)).withColumn("bucket_start", F.col("timestamp"))
+        return indexed.select("sensor_id", "bucket", "bucket_start", "value")
+    bucket = bucket_of(F.col("timestamp"), start, end, buckets).alias("bucket")
+    means = points.groupBy("sensor_id", bucket).agg(F.avg("value").alias("value"))
     found = means.select(
         "sensor_id", "bucket", bucket_start(F.col("bucket"), start, end, buckets).alias("bucket_start"), "value"
     )

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from ..functions.dates import epoch_text
 from ..functions.text import duration_text
 from ..model import MISSING, Readings
 from .ordered import change_summary, with_previous
-from .quantiles import quantiles
+from .quantiles import large_group_quantiles, quantiles, with_small_group_quantiles
 from .skew import GROUP_ROWS, flag_large
 
 ALL = "all"
@@ -58,20 +57,24 @@ def _keys(by: Sequence[str]) -> list[str]:
     return [*by, "column"]
 
 
-def basic(r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = ()) -> DataFrame:
-    """``count, min, max, range, mean, stddev`` (sample deviation, 0 for a single value)."""
+def _basic(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     low, high = F.min("measure"), F.max("measure")
-    return measurements(r, columns, by).groupBy(*_keys(by)).agg(
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"), low.alias("min"), high.alias("max"), (high - low).alias("range"),
         F.avg("measure").alias("mean"), F.coalesce(F.stddev_samp("measure"), F.lit(0.0)).alias("stddev"),
     )
 
 
+def basic(r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = ()) -> DataFrame:
+    """``count, min, max, range, mean, stddev`` (sample deviation, 0 for a single value)."""
+    return _basic(measurements(r, columns, by), _keys(by))
+
+
 def quartiles(
     r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS,
     approximate: bool = False,
 ) -> DataFrame:
-    """``q1, median, q3, iqr``."""
+    """``q1, median, q3, iqr``; ``approximate`` takes them from a sketch in a single pass."""
     found = quantiles(measurements(r, columns, by), _keys(by), "measure", QUARTILES, limit, approximate)
     q = F.col("quantiles")
     return found.select(
@@ -79,33 +82,51 @@ def quartiles(
     )
 
 
+def _fenced(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Quartiles, and the number of values strictly outside ``q1 - 1.5 iqr .. q3 + 1.5 iqr``.
+
+    Rows first get the quartiles of their group: small groups while they are sorted, large ones - there are few -
+    by a broadcast.
+    """
+    marked = flag_large(rows, keys, limit)
+    small_rows, large_rows = marked.where(~F.col("_large")), marked.where("_large")
+    small = with_small_group_quantiles(small_rows, keys, "measure", QUARTILES)
+    large = large_rows.join(F.broadcast(large_group_quantiles(large_rows, keys, "measure", QUARTILES, limit)), keys)
+    q = F.col("quantiles")
+    reach = (q[2] - q[0]) * FENCE_FACTOR
+    outside = (F.col("measure") < q[0] - reach) | (F.col("measure") > q[2] + reach)
+
+    def counted(part: DataFrame) -> DataFrame:
+        number = F.sum(outside.cast("bigint"))
+        percent = F.lit(100.0) * number / F.count(F.lit(1))
+        return part.groupBy(*keys).agg(
+            F.max("quantiles").alias("q"), number.alias("outliers"), percent.alias("outlier_percent")
+        )
+
+    q = F.col("q")
+    return counted(small).unionByName(counted(large)).select(
+        *keys, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), "outliers",
+        "outlier_percent",
+    )
+
+
 def outliers(
-    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS,
-    approximate: bool = False,
+    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS
 ) -> DataFrame:
-    """``outliers, outlier_percent``: values strictly outside ``q1 - 1.5 iqr .. q3 + 1.5 iqr``.
+    """``outliers, outlier_percent``: values strictly outside ``q1 - 1.5 iqr .. q3 + 1.5 iqr``."""
+    keys = _keys(by)
+    return _fenced(measurements(r, columns, by).select(*keys, "measure"), keys, limit).select(
+        *keys, "outliers", "outlier_percent"
+    )
 
-    The fences of large groups are few and broadcast; the other groups are bounded, so their join cannot skew.
-    """
+
+def value_summary(
+    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS
+) -> DataFrame:
+    """What :func:`basic`, :func:`quartiles` and :func:`outliers` give, with one sort of the data."""
     keys = _keys(by)
     rows = measurements(r, columns, by).select(*keys, "measure")
-    quarts = quartiles(r, columns, by, limit, approximate)
-    reach = F.col("iqr") * FENCE_FACTOR
-    fences = quarts.select(*keys, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    if by:
-        marked = flag_large(rows, keys, limit)
-        large_keys = marked.where("_large").select(*keys).distinct()
-        large = marked.where("_large").join(F.broadcast(fences.join(F.broadcast(large_keys), keys, "left_semi")), keys)
-        small = marked.where(~F.col("_large")).join(fences, keys)
-        fenced = large.unionByName(small)
-    else:
-        # One row per column name.
-        fenced = rows.join(F.broadcast(fences), keys)
-    outside = (F.col("measure") < F.col("low")) | (F.col("measure") > F.col("high"))
-    number = F.sum(outside.cast("bigint"))
-    return fenced.groupBy(*keys).agg(
-        number.alias("outliers"), (F.lit(100.0) * number / F.count(F.lit(1))).alias("outlier_percent")
-    )
+    return _basic(rows, keys).join(_fenced(rows, keys, limit), keys)
 
 
 def changes(
@@ -189,15 +210,10 @@ def sampling(r: Readings, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> Da
 
 def stats(
     r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), order: str = "arrival",
-    limit: int = GROUP_ROWS, approximate: bool = False,
+    limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """All value statistics in one row per group and column; no rows when there are no numbers.
 
     The time line is reported by :func:`time_range` and :func:`sampling`.
     """
-    keys = _keys(by)
-    parts = [
-        basic(r, columns, by), quartiles(r, columns, by, limit, approximate),
-        outliers(r, columns, by, limit, approximate), changes(r, columns, by, order, limit),
-    ]
-    return reduce(lambda left, right: left.join(right, keys, "left"), parts)
+    return value_summary(r, columns, by, limit).join(changes(r, columns, by, order, limit), _keys(by), "left")

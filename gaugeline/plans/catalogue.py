@@ -500,9 +500,7 @@ def stats_sampling_by_sensor(spark, sf):
         round(100.0 * outliers / b.count, 6) AS outlier_percent FROM b JOIN q USING ("column") JOIN o USING ("column")""",
 )
 def stats_all_columns(spark, sf):
-    r = lineitem(spark, sf)
-    parts = [stats.basic(r, ITEM_COLUMNS), stats.quartiles(r, ITEM_COLUMNS), stats.outliers(r, ITEM_COLUMNS)]
-    return rounded(parts[0].join(parts[1], "column").join(parts[2], "column"))
+    return rounded(stats.value_summary(lineitem(spark, sf), ITEM_COLUMNS))
 
 
 @register(

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import json_scalar, json_string
 from ..model import Readings
 from ..operators.columns import widen
 
 
-def _entries(r: Readings) -> Column:
-    """The reading's fields as an array of (key, value), sorted by key, missing fields left out."""
-    if r.is_raw:
-        return F.array_sort(F.map_entries("fields"))
-    pairs = [
-        F.when(r.field(n).isNotNull(), F.struct(F.lit(n).alias("key"), r.field(n).alias("value"))) for n in sorted(r.columns)
-    ]
-    return F.array_compact(F.array(*pairs))
-
-
 def json_line(r: Readings, compact: bool = False) -> Column:
-    """``[ { "a": 1, "b": "x" } ]``: keys sorted, numbers, booleans and null bare."""
+    """``[ { "a": 1, "b": "x" } ]``: keys sorted, numbers, booleans and null bare, missing fields left out."""
     blank = "" if compact else " "
+    if r.is_raw:
 
-    def pair(entry: Column) -> Column:
-        return F.concat(json_string(entry["key"]), F.lit(":" + blank), json_scalar(entry["value"]))
+        def pair(entry: Column) -> Column:
+            return F.concat(json_string(entry["key"]), F.lit(":" + blank), json_scalar(entry["value"]))
 
-    body = F.array_join(F.transform(_entries(r), pair), "," + blank)
+        body = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), pair), "," + blank)
+    else:
+        # NULL, for a missing field, is skipped by concat_ws.
+        pairs = [
+            F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":" + blank), _typed_scalar(r, name)) for name in sorted(r.columns)
+        ]
+        body = F.concat_ws("," + blank, *pairs)
     return F.concat(F.lit("[" + blank + "{" + blank), body, F.lit(blank + "}" + blank + "]"))
 
 
+def _typed_scalar(r: Readings, name: str) -> Column:
+    text = r.field(name)
+    bare = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+    return text if isinstance(r.type_of(name), bare) else F.when(text.isNotNull(), json_scalar(text))
+
+
 def rendered_json(r: Readings, compact: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     return r.df.select(*keep, json_line(r, compact).alias("line"))
 

