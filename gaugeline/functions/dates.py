@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 UTC = "UTC"
 NO_DATE = "(no-date)"
 DAY_SECONDS = 86400
+START_OF_DAY = (0, 0, 0)
+END_OF_DAY = (23, 59, 59)
 
-# Accepted years and the date layouts that are read.
-FIRST_YEAR = 1970
-LAST_YEAR = 2100
-SLASH_DATE = r"^\s*(\d{1,9})/\s*(\d{1,9})/\s*(\d{1,9})"
-DASH_DATE = r"^(\d{4})-(\d{2})-\s*(\d{1,9})"
-CLOCK = r"^\s*(\d{1,9})(?::\s*(\d{1,9})(?::\s*(\d{1,9}))?)?"
-STRICT_MARK = r"^[^T]*T"
-CLOCK_MARK = r"^(?:[^T]*T|\S+ +(?=\d))"
+# The layouts that are read, with years from 1970 to 2100.
+YEAR = r"(19[7-9]\d|20\d\d|2100)"
+SLASH_DATE = r"(?s)^\s*0*(\d{1,2})/\s*0*(\d{1,2})/\s*0*" + YEAR + r"(?!\d).*"
+DASH_DATE = r"(?s)^(?=.{10})" + YEAR + r"-(\d\d)-\s*0*(\d{1,2})(?!\d).*"
 EPOCH = r"^-?\d+\z"
+# A clock follows a T or, unless strict, a blank.  Its later parts may be missing.
+MARK = r"^(?:[^T]*T|\S+ +(?=\d))"
+STRICT_MARK = r"^[^T]*T"
+CLOCK = r"\s*0*([01]?\d|2[0-3])(?!\d)(?::\s*0*([0-5]?\d)(?!\d)(?::\s*0*([0-5]?\d)(?!\d))?)?(?!:\s*\d)"
+ANY_CLOCK = r"\s*\d"
 
 
 def wall_to_epoch(seconds: Column, tz: str) -> Column:
@@ -42,47 +45,31 @@ def epoch_to_wall(seconds: Column, tz: str) -> Column:
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), tz))
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
-
-
-def _calendar_seconds(year: Column, month: Column, day: Column, clock: Column | int) -> Column:
-    """Seconds since 1970 of a calendar day plus a clock offset, NULL when there is no such day."""
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string"))
-    valid = year.between(FIRST_YEAR, LAST_YEAR) & month.between(1, 12) & day.between(1, 31)
-    date = F.when(valid, text).try_cast("date")
-    return F.unix_date(date).cast("bigint") * DAY_SECONDS + clock
-
-
 def parse_date(text: Column, tz: str = UTC, end_of_day: bool = False, strict: bool = False) -> Column:
     """Epoch seconds of ``d/m/Y``, ``Y-m-d``, ``Y-m-dTH:M:S`` or epoch text; NULL when unreadable.
 
     ``end_of_day`` gives 23:59:59 to texts without a clock part.  A blank may stand in for the ``T``
     unless ``strict``.
     """
-    hour, minute, second = (23, 59, 59) if end_of_day else (0, 0, 0)
-    default_clock = hour * 3600 + minute * 60 + second
-
-    slash = _calendar_seconds(
-        _part(text, SLASH_DATE, 3), _part(text, SLASH_DATE, 2), _part(text, SLASH_DATE, 1), F.lit(default_clock)
-    )
-
-    mark = STRICT_MARK if strict else CLOCK_MARK
-    clock_text = F.when(text.rlike(mark), F.regexp_replace(text, mark, ""))
+    defaults = END_OF_DAY if end_of_day else START_OF_DAY
+    default_clock = defaults[0] * 3600 + defaults[1] * 60 + defaults[2]
 
-    def clock_part(group: int, default: int) -> Column:
-        found = F.regexp_extract(clock_text, CLOCK, group)
-        return F.when(F.coalesce(found, F.lit("")) == "", F.lit(default)).otherwise(found.try_cast("int"))
-
-    h, m, s = clock_part(1, hour), clock_part(2, minute), clock_part(3, second)
-    clock_ok = h.between(0, 23) & m.between(0, 59) & s.between(0, 59)
-    clock = F.when(clock_text.isNull(), F.lit(default_clock)).when(clock_ok, h * 3600 + m * 60 + s)
-    dash = _calendar_seconds(_part(text, DASH_DATE, 1), _part(text, DASH_DATE, 2), _part(text, DASH_DATE, 3), clock)
+    def day_seconds(layout: str, ymd: str) -> Column:
+        date = F.regexp_replace(text, layout, ymd).try_cast("date")
+        return F.unix_date(date).cast("bigint") * DAY_SECONDS
 
+    mark = STRICT_MARK if strict else MARK
+    hour, minute, second = (
+        F.coalesce(F.regexp_extract(text, mark + CLOCK, i + 1).try_cast("int"), F.lit(defaults[i])) for i in range(3)
+    )
+    clock = F.when(~text.rlike(mark + ANY_CLOCK), F.lit(default_clock)).when(
+        text.rlike(mark + CLOCK), hour * 3600 + minute * 60 + second
+    )
+    # The layouts exclude each other; epochs, the usual case, come first.
     return (
-        F.when(text.rlike(SLASH_DATE), wall_to_epoch(slash, tz))
-        .when(text.rlike(DASH_DATE), wall_to_epoch(dash, tz))
-        .when(text.rlike(EPOCH), text.try_cast("bigint"))
+        F.when(text.rlike(EPOCH), text.try_cast("bigint"))
+        .when(text.rlike(DASH_DATE), wall_to_epoch(day_seconds(DASH_DATE, "$1-$2-$3") + clock, tz))
+        .when(text.rlike(SLASH_DATE), wall_to_epoch(day_seconds(SLASH_DATE, "$3-$2-$1") + default_clock, tz))
     )
 
 
@@ -99,20 +86,18 @@ def date_bound(value: str | int | None, tz: str = UTC, end_of_day: bool = False,
         return value or 0
     if re.search(EPOCH.replace(r"\z", r"\Z"), value):
         return int(value) if abs(int(value)) < 1 << 63 else 0
-    clock = [23, 59, 59] if end_of_day else [0, 0, 0]
-    found = re.search(SLASH_DATE, value)
-    if found:
+    clock = list(END_OF_DAY if end_of_day else START_OF_DAY)
+    if found := re.search(SLASH_DATE, value):
         day, month, year = map(int, found.groups())
-    else:
-        found = re.search(DASH_DATE, value)
-        if not found:
-            return 0
+    elif found := re.search(DASH_DATE, value):
         year, month, day = map(int, found.groups())
-        mark = re.search(STRICT_MARK if strict else CLOCK_MARK, value)
-        parts = re.search(CLOCK, value[mark.end() :]) if mark else None
-        if parts:
+        mark = STRICT_MARK if strict else MARK
+        if re.search(mark + ANY_CLOCK, value):
+            parts = re.search(mark + CLOCK, value)
+            if not parts:
+                return 0
             clock = [default if part is None else int(part) for part, default in zip(parts.groups(), clock)]
-    if not FIRST_YEAR <= year <= LAST_YEAR:
+    else:
         return 0
     try:
         return int(dt.datetime(year, month, day, *clock, tzinfo=ZoneInfo(tz)).timestamp())

@@ -25,12 +25,15 @@ def count_by(r: Readings, *fields: str, period: str | None = None, ordered: bool
     """
     if not fields and period is None:
         raise ValueError("name at least one field or a period")
-    groups = [_group(r, name) for name in fields]
+    rows = [_group(r, name) for name in fields]
+    groups = [F.col(f"`{name}`") for name in fields]
     names = list(fields)
     if period is not None:
-        groups.append(PERIODS[period](r.timestamp(), r.tz).alias(period))
+        # As a column of its own, so that the text of a timestamp is parsed once.
+        rows.append(r.timestamp().alias("_epoch"))
+        groups.append(PERIODS[period](F.col("_epoch"), r.tz).alias(period))
         names.append(period)
-    counts = r.df.groupBy(*groups).agg(F.count(F.lit(1)).alias("count"))
+    counts = r.df.select(*rows).groupBy(*groups).agg(F.count(F.lit(1)).alias("count"))
     if not ordered:
         return counts
     return counts.orderBy(*([F.desc("count")] if fields else []), *names)

@@ -36,9 +36,9 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
-    return df.select(*[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, places).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 def _events_sql(k: str = "{k}") -> str:

@@ -96,8 +96,8 @@ def stage(r: Readings, path: str, mode: str = "errorifexists") -> Readings:
     Saves parsing the text again in every query, and lets date filters skip whole days.
     """
     spark = r.df.sparkSession
-    epoch = r.timestamp()
-    staged = r.df.withColumn("_epoch", epoch).withColumn("_day", day_label(epoch, r.tz))
+    staged = r.df.withColumn("_epoch", r.timestamp())
+    staged = staged.withColumn("_day", day_label(F.col("_epoch"), r.tz)).drop("_epoch")
     # Days are spread over several tasks each, so that a day with most of the data is not written by one.
     spread = F.pmod(F.xxhash64(*r.order), F.lit(32))
     staged.repartition("_day", spread).write.mode(mode).partitionBy("_day").parquet(path)

@@ -30,6 +30,8 @@ CASES = [
     ("-5", -5, -5),
     ("", None, None), ("abc", None, None), ("2026-13-01", None, None), ("2026-02-30", None, None), ("2023-02-29", None, None),
     ("1969-12-31", None, None), ("2101-01-01", None, None), ("32/01/2026", None, None), ("2026-01-17T24:00:00", None, None),
+    ("2026-01-7", None, None), ("2026-01-17T14:75:00", None, None), ("2026-01-17Tx", epoch(2026, 1, 17), epoch(2026, 1, 17, 23, 59, 59)),
+    ("2026-01-17T14:30:99", None, None), ("2026-01-17T1:2", epoch(2026, 1, 17, 1, 2), epoch(2026, 1, 17, 1, 2, 59)),
     ("99999999999999999999", None, None), ("12.5", None, None), ("2026-1-1", None, None),
 ]
 
