@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 SCHEMA = "array<map<string,string>>"
 
 # The shape of the text.
-OBJECTS = r"(?s)\{.*\}"
 EMPTY_LIST = r"^\s*\[\s*\]\s*\z"
 TOUCHING_OBJECTS = r"\}\s*\{"
 NESTED_VALUE = r":\s*[\[{]"
@@ -16,8 +15,8 @@ NESTED_VALUE = r":\s*[\[{]"
 FRAGILE_NUMBER = (
     r"\.(?:[0-9]*[1-9]0+|0{2,})[\s,}\]]|[0-9][eE]|[0-9]{16}|[0-9]{7}\.|\.[0-9]{15}|0\.00|-0[\s,}\]]|[:\s\[,]0[0-9]"
 )
-# The rest of a line behind its last closing brace, and the whole pairs at the start of an object that is cut off there.
-OPEN_END = r"(?s)([^}]*)\z"
+NEEDS_REPAIR = TOUCHING_OBJECTS + "|" + FRAGILE_NUMBER
+# The whole pairs at the start of an object that is cut off.
 WHOLE_PAIRS = (
     r'(?s)(\{(?:[\s,]*+"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:\s*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s,"{}\[\]][^,"{}\[\]]*+))*+)'
 )
@@ -25,9 +24,11 @@ TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'
 NUMBER_TOKEN = r"-?[0-9][0-9.eE+\-]*"
 
 
-def _repaired(text: Column) -> Column:
-    """Put commas between touching objects, and quotes around numbers so that these keep their text."""
-    nested = text.rlike(NESTED_VALUE)
+def _repaired(text: Column, nested: Column) -> Column:
+    """Put commas between touching objects, and quotes around numbers so that these keep their text.
+
+    Numbers inside of ``nested`` values stay as they are, because such a value is text as a whole.
+    """
 
     def outside_strings(token: Column) -> Column:
         spaced = F.regexp_replace(token, TOUCHING_OBJECTS, "},{")
@@ -37,19 +38,38 @@ def _repaired(text: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(outside_strings(t))), "")
 
 
-def parsed_objects(line: Column) -> Column:
-    """``ARRAY<MAP<STRING,STRING>>`` of a line; NULL when it cannot be read.
+def _object_texts(lines: DataFrame) -> DataFrame:
+    """Replace ``value`` by ``_text``, the comma separated objects of a line as text that can be read as JSON.
 
-    An object that is cut off at the end of the line keeps the pairs that are complete.
+    An object that is cut off at the end of the line keeps the pairs that are complete.  Every step is a
+    projection of its own, so that no step is computed twice.
     """
-    objects = F.regexp_extract(line, OBJECTS, 0)
-    rest = F.regexp_extract(line, OPEN_END, 1)
-    pairs = F.concat(F.regexp_extract(rest, WHOLE_PAIRS, 1), F.lit("}"))
-    cut_off = F.contains(rest, F.lit("{"))
-    text = F.when(cut_off, F.concat(objects, F.when(objects != "", F.lit(",")).otherwise(F.lit("")), pairs)).otherwise(objects)
-    needs_repair = cut_off | text.rlike(TOUCHING_OBJECTS) | text.rlike(FRAGILE_NUMBER)
-    body = F.when(needs_repair, _repaired(text)).otherwise(text)
-    return F.from_json(F.concat(F.lit("["), body, F.lit("]")), SCHEMA)
+    places = [c for c in lines.columns if c != "value"]
+    value = F.col("value")
+    located = lines.select(
+        *places, "value", F.substring_index(value, "}", -1).alias("_rest"), F.instr(value, "{").alias("_start")
+    )
+    length = F.length(value) - F.length("_rest") - F.col("_start") + 1
+    cut = located.select(
+        *places, "_rest", F.contains("_rest", F.lit("{")).alias("_cut_off"),
+        F.when(length > 0, F.substring(value, F.col("_start"), length)).otherwise(F.lit("")).alias("_objects"),
+    )
+    pairs = F.concat(F.regexp_extract("_rest", WHOLE_PAIRS, 1), F.lit("}"))
+    comma = F.when(F.col("_objects") != "", F.lit(",")).otherwise(F.lit(""))
+    closed = cut.select(
+        *places, "_cut_off",
+        F.when(F.col("_cut_off"), F.concat("_objects", comma, pairs)).otherwise(F.col("_objects")).alias("_text"),
+    )
+    text = F.col("_text")
+    judged = closed.select(
+        *places, "_text", (F.col("_cut_off") | text.rlike(NEEDS_REPAIR)).alias("_repair"), text.rlike(NESTED_VALUE).alias("_nested")
+    )
+    return judged.select(*places, F.when(F.col("_repair"), _repaired(text, F.col("_nested"))).otherwise(text).alias("_text"))
+
+
+def _objects() -> Column:
+    """``ARRAY<MAP<STRING,STRING>>``; NULL when the text is no JSON."""
+    return F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")), SCHEMA)
 
 
 def _first_keys(fields: Column) -> Column:
@@ -63,14 +83,14 @@ def _first_keys(fields: Column) -> Column:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Replace ``value`` by ``pos, fields``: one row per non-empty object."""
     places = [c for c in lines.columns if c != "value"]
-    objects = lines.where(F.contains("value", F.lit("{"))).select(
-        *places, F.posexplode(parsed_objects(F.col("value"))).alias("pos", "_fields")
-    )
+    texts = _object_texts(lines.where(F.contains("value", F.lit("{"))))
+    objects = texts.select(*places, F.posexplode(_objects()).alias("pos", "_fields"))
     return objects.where(F.size("_fields") > 0).select(*places, "pos", _first_keys(F.col("_fields")).alias("fields"))
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines in which no object can be read and which are no empty list."""
     blank = (F.trim("value", F.lit(" \t\r\n")) == "") | F.col("value").rlike(EMPTY_LIST)
-    objects = F.coalesce(F.size(parsed_objects(F.col("value"))), F.lit(0))
-    return lines.where(~blank & (objects <= 0))
+    texts = _object_texts(lines.where(~blank).withColumn("_line", F.col("value")))
+    unread = texts.where(F.coalesce(F.size(_objects()), F.lit(0)) <= 0)
+    return unread.select(*[F.col("_line").alias("value") if c == "value" else F.col(c) for c in lines.columns])
