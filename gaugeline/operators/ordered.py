@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .skew import GROUP_ROWS, sliced
 
-# First and last n: rows of one key are first cut down within this many groups of tasks.
-TASK_GROUPS = 64
+# First and last n: rows of one key are cut down within groups of tasks, then within fewer groups, then overall.
+# Spark trims a ranking inside of the tasks that produce the rows only up to FEW, so longer lists need more rounds.
+FEW = 1000
+ROUNDS = (64, 1)
+LONG_ROUNDS = (4096, 64, 1)
 
 
 def with_previous(
@@ -105,13 +108,14 @@ def change_summary(
 def first_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each ``by`` group in the given order.
 
-    Ranked twice: first among the rows of a group of tasks, so that no task receives ``n`` rows from every task
+    Ranked in rounds: first among the rows from a few tasks, so that no task receives ``n`` rows from every task
     of the scan for a key that is everywhere, then among what is left.
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    rows = df.withColumn("_tasks", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)))
-    for groups in ([*by, "_tasks"], list(by)):
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n)
-    return rows.drop("_rank", "_tasks")
+    rows = df.withColumn("_task", F.spark_partition_id())
+    for groups in ROUNDS if n <= FEW else LONG_ROUNDS:
+        rows = rows.withColumn("_tasks", F.pmod("_task", F.lit(groups)))
+        window = Window.partitionBy(*by, "_tasks") if groups > 1 else Window.partitionBy(*by)
+        rows = rows.withColumn("_rank", F.row_number().over(window.orderBy(*order))).where(F.col("_rank") <= n)
+    return rows.drop("_rank", "_task", "_tasks")

@@ -45,7 +45,10 @@ def measurements(r: Readings, columns: Sequence[str] | str = ("value",), by: Seq
     else:
         names = numeric_columns(r) if columns == ALL else ([columns] if isinstance(columns, str) else list(columns))
         if len(names) == 1:
-            rows = r.df.select(*groups, F.lit(names[0]).alias("column"), r.number(names[0]).alias("measure"), *order)
+            rows = r.df.select(*groups, r.number(names[0]).alias("measure"), *order)
+            # Not a literal: a constant key would turn the joins on it into nested loops.
+            column = F.when(F.col("measure").isNotNull(), F.lit(names[0])).alias("column")
+            rows = rows.select(*by, column, "measure", *order)
         else:
             pairs = [F.struct(F.lit(n).alias("column"), r.number(n).alias("measure")) for n in names]
             rows = r.df.select(*groups, *order, F.explode(F.array(*pairs)).alias("_m"))

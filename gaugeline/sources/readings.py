@@ -98,9 +98,8 @@ def stage(r: Readings, path: str, mode: str = "errorifexists") -> Readings:
     spark = r.df.sparkSession
     staged = r.df.withColumn("_epoch", r.timestamp())
     staged = staged.withColumn("_day", day_label(F.col("_epoch"), r.tz)).drop("_epoch")
-    # Days are spread over several tasks each, so that a day with most of the data is not written by one.
-    spread = F.pmod(F.xxhash64(*r.order), F.lit(32))
-    staged.repartition("_day", spread).write.mode(mode).partitionBy("_day").parquet(path)
+    # Rebalancing splits a day with much data over many tasks and puts small days together.
+    staged.hint("rebalance", F.col("_day")).write.mode(mode).partitionBy("_day").parquet(path)
     return staged_readings(spark, path, r)
 
 

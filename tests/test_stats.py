@@ -166,9 +166,9 @@ def test_previous_reading(spark):
 
 def test_first_n(spark):
     rows, r = skewed(spark)
-    found = first_n(r.df, ["sensor"], [F.col("ts").desc(), F.col("id").desc()], 7).collect()
-    for sensor in {x[1] for x in rows}:
-        wanted = sorted(((x[2], x[0]) for x in rows if x[1] == sensor), reverse=True)[:7]
+    for n, sensor in [(n, s) for n in (7, 1500) for s in ("hot", "s1")]:
+        found = first_n(r.df, ["sensor"], [F.col("ts").desc(), F.col("id").desc()], n).collect()
+        wanted = sorted(((x[2], x[0]) for x in rows if x[1] == sensor), reverse=True)[:n]
         assert sorted(((x["ts"], x["id"]) for x in found if x["sensor"] == sensor), reverse=True) == wanted
 
 
