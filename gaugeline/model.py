@@ -27,7 +27,7 @@ MISSING = "(missing)"
 RAW_ORDER = ("source", "block", "row", "pos")
 
 # A slice of the arrival order holds at most 2**SLICE_BITS consecutive positions.
-SLICE_BITS = 20
+SLICE_BITS = 18
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)

@@ -55,7 +55,7 @@ def change_summary(
     """
     rows, slices = sliced(df, by, levels, limit, always)
     window = Window.partitionBy(*by, *slices).orderBy(*order)
-    rows = rows.withColumn("_before", F.lag(value).over(window))
+    rows = rows.select("*", F.lag(value).over(window).alias("_before"), F.lead(value).over(window).alias("_after"))
     rows = rows.withColumn("_change", F.abs(F.col(value) - F.col("_before")))
 
     def jump(change: Column, at: Sequence[Column], before: Column, after: Column) -> Column:
@@ -64,6 +64,7 @@ def change_summary(
         return F.when(change.isNotNull(), ranked)
 
     at = [F.col(c) for c in order]
+    placed = F.struct(*order, F.col(value).alias("value"))
     per_slice = rows.groupBy(*by, *slices).agg(
         F.count("_change").alias("n"),
         F.min("_change").alias("low"),
@@ -71,8 +72,9 @@ def change_summary(
         F.avg("_change").alias("mean"),
         (F.var_pop("_change") * F.count("_change")).alias("spread"),
         F.min(jump(F.col("_change"), at, F.col("_before"), F.col(value))).alias("jump"),
-        F.min(F.struct(*order, F.col(value).alias("value"))).alias("head"),
-        F.max(F.struct(*order, F.col(value).alias("value"))).alias("tail"),
+        # Values are not NULL, so these pick the one row at either end of the slice.
+        F.min(F.when(F.col("_before").isNull(), placed)).alias("head"),
+        F.max(F.when(F.col("_after").isNull(), placed)).alias("tail"),
     )
 
     along = Window.partitionBy(*by).orderBy("head")
