@@ -17,7 +17,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = tempfile.mkdtemp(prefix="gaugeline-")
         context.setCheckpointDir(found)
-        spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 
 

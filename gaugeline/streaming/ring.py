@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +29,10 @@ STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Python workers get the processor itself, as this package need not be installed where they run.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class LastPoints(StatefulProcessor):
     """Holds at most ``size`` points per sensor; preloaded ones are counted as historical until they drop out."""
 
