@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .op10_html_text import op10_html_text
+from .op2_license_scan import op2_license_scan
 from .op4_token_files import op4_token_files
+from .op5_nearest import op5_nearest
 from .op6_bpe import op6_bpe
 from .op7_token_counts import op7_token_counts
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op4_token_files": op4_token_files,
+    "op5_nearest": op5_nearest,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
