@@ -8,6 +8,9 @@ from .op4_token_files import op4_token_files
 from .op5_nearest import op5_nearest
 from .op6_bpe import op6_bpe
 from .op7_token_counts import op7_token_counts
+from .op8_quality import op8_quality
+from .op9_line_dedup import SQL as LINE_DEDUP_SQL
+from .op9_line_dedup import op9_line_dedup
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
@@ -15,6 +18,10 @@ QUERIES = {
     "op5_nearest": op5_nearest,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_html_text": op10_html_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": LINE_DEDUP_SQL,
+}

@@ -2,7 +2,8 @@
 
 Method: inverted multi-index.  Both halves of the normalised vectors are quantised separately; a cell is a pair of centroids.
 A query visits cells in the order of its summed distance to both centroids, found with a heap, until they hold enough
-vectors.  What is in these cells is ranked by the exact cosine in double precision.
+vectors.  What is in these cells is ranked by the exact cosine in double precision.  How many vectors are enough is measured: for
+``TRIALS`` vectors of the sample, the share of the sample that must be visited to meet ``RECALL`` of their exact neighbours.
 
 The codebooks are fitted on ``SAMPLE`` vectors (those with the smallest hash of their id) and their size follows the number of
 vectors up to ``MAX_CENTROIDS``; every vector is indexed.  Equal vectors are one class with its smallest ids, which is all that a
@@ -16,6 +17,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,11 @@ from . import common
 
 SAMPLE = 20_000
 MAX_CENTROIDS = 256
-PER_CELL = 32
+PER_CELL = 128
 BLOCK = 4096
-CANDIDATES = 4000
+LEAST = 1000
+RECALL = 0.97
+TRIALS = 300
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -100,6 +104,24 @@ class Books:
         return out
 
 
+def share_needed(books: Books, sample: np.ndarray, k: int, recall: float = RECALL, trials: int = TRIALS) -> float:
+    """The share of all vectors to visit so that the exact ``k`` nearest of the trial vectors are met with ``recall``."""
+    if len(sample) <= k + 1:
+        return 1.0
+    x, cells = normal(sample), books.cells(sample)
+    counts = np.bincount(cells, minlength=len(books.first) * len(books.second))
+    a, b = books.distances(sample[:trials])
+    needed = []
+    for n in range(len(a)):
+        order = books.visits(a[n], b[n], counts, len(sample))
+        met = np.zeros(len(counts))
+        met[order] = np.cumsum(counts[order]) - counts[order]
+        scores = x @ x[n]
+        scores[n] = -2
+        needed += (met[cells[np.argpartition(-scores, k)[:k]]] / len(sample)).tolist()
+    return float(np.quantile(needed, recall))
+
+
 def best(rep: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to the smaller id."""
     if len(score) > 4 * k:
@@ -109,7 +131,7 @@ def best(rep: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((rep[some], -score[some]))[:k]]
 
 
-def nearest(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
+def nearest(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """The ``k`` nearest other rows of every row whose id is divisible by ``every``."""
     spark = df.sparkSession
     common.ship(spark)
@@ -126,7 +148,9 @@ def nearest(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vecto
         .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids"), "classes")
     total = classes.count()
     sample = [r["v"] for r in classes.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    books = Books(np.array(sample, np.float32), int(min(MAX_CENTROIDS, max(2, round((total / PER_CELL) ** 0.5)))))
+    sample = np.array(sample, np.float32)
+    books = Books(sample, int(min(MAX_CENTROIDS, max(2, round((total / PER_CELL) ** 0.5)))))
+    enough = max(LEAST, math.ceil(share_needed(books, sample, k, recall) * total) + 1)
     n_cells = len(books.first) * len(books.second)
 
     def assign(batches):
@@ -146,7 +170,7 @@ def nearest(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vecto
             reps, rows = batch.column(0).to_numpy(), matrix(batch.column(1), width)
             for begin in range(0, len(rows), 256):
                 a, b = books.distances(rows[begin:begin + 256])
-                found = [books.visits(x, y, counts, candidates) for x, y in zip(a, b, strict=True)]
+                found = [books.visits(x, y, counts, enough) for x, y in zip(a, b, strict=True)]
                 where = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 flat = pa.array(rows[begin:begin + 256][where].ravel())
                 offsets = pa.array(np.arange(len(where) + 1) * width, pa.int32())
