@@ -318,16 +318,17 @@ class Memo:
         return list(map(known.__getitem__, keys))
 
 
-class Codec:
-    """Whole texts to ids and back."""
+class Pieces:
+    """Whole texts to ids by pieces; how a word is encoded is left to ``word``."""
 
-    def __init__(self, path: str):
-        self.t = transducer(path)
+    def __init__(self, path: str, special: dict[str, int]):
         self.cut = Cutter(path)
-        self.special = re.compile("(" + "|".join(map(re.escape, self.t.m.special)) + ")")
+        self.specials = special
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile("(?!)()")
         self.encoded = Memo(self._encode, 500_000)
-        self.decoded = Memo(self._decode, 500_000)
-        self.counted = Memo(self.count, 1_200_000)
+
+    def word(self, w: bytes) -> list[int]:
+        raise NotImplementedError
 
     def parts(self, piece: str):
         """(special token or None, words) of a piece; special tokens are found before the text is normalised."""
@@ -335,7 +336,7 @@ class Codec:
             yield None, self.cut(piece)
             return
         for i, part in enumerate(self.special.split(piece)):
-            yield (self.t.m.special[part], []) if i % 2 else (None, self.cut(part))
+            yield (self.specials[part], []) if i % 2 else (None, self.cut(part))
 
     def tokens(self, piece: str) -> list[int]:
         out = []
@@ -343,23 +344,34 @@ class Codec:
             if special is not None:
                 out.append(special)
             for w in found:
-                out += self.t.encode(w)
+                out += self.word(w)
         return out
 
     def _encode(self, piece: str) -> bytes:
         ids = self.tokens(piece)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(self.encoded.all(pieces(text)))
+
+
+class Codec(Pieces):
+    """Whole texts to ids and back, by the transducer."""
+
+    def __init__(self, path: str):
+        self.t = transducer(path)
+        super().__init__(path, self.t.m.special)
+        self.word = self.t.encode
+        self.decoded = Memo(self._decode, 500_000)
+        self.counted = Memo(self.count, 1_200_000)
+
     def _decode(self, ids: bytes) -> str:
         return " ".join(map(self.t.m.strings.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
     def count(self, piece: str) -> int:
         return sum((special is not None) + sum(map(self.t.count, found)) for special, found in self.parts(piece))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(self.encoded.all(pieces(text)))
-
     def both(self, text: str) -> tuple[bytes, str]:
         """The ids, and the text that the library's decoder makes of them: token strings joined by spaces."""
         found = [x for x in self.encoded.all(pieces(text)) if x]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op1_decontaminate import op1_decontaminate
 from .op10_html_text import op10_html_text
 from .op2_license_scan import op2_license_scan
 from .op4_token_files import op4_token_files
@@ -13,6 +14,7 @@ from .op9_line_dedup import SQL as LINE_DEDUP_SQL
 from .op9_line_dedup import op9_line_dedup
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_license_scan": op2_license_scan,
     "op4_token_files": op4_token_files,
     "op5_nearest": op5_nearest,

@@ -5,8 +5,8 @@ tokenizers library, and packed into containers of about ``container_tokens`` ids
 itself.  The containers are the rows of a Parquet table, so any store that Spark writes to can hold them and a lost
 executor's files are written again as a whole.  ``read_ids`` and ``read_tokens`` read the files back.
 
-The library encodes every distinct stretch between white space once per batch and remembers it; this vocabulary's tokenizer
-never joins anything across white space, so the ids are those of the whole text.
+The library's model encodes every different word once and its ids are remembered for the stretches between white space that hold it;
+this vocabulary's tokenizer never joins anything across words, so the ids are those of the whole text.
 
 Defined results: a null text is empty and has the end id alone; rows with equal doc_id follow in the order of their texts; a
 null doc_id comes first; other columns are ignored; an empty table gives no containers.
@@ -14,7 +14,6 @@ null doc_id comes first; other columns are ignored; an empty table gives no cont
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from functools import lru_cache
@@ -33,26 +32,26 @@ CONTAINER_TOKENS = 1 << 21
 COLUMNS = "part int, seq int, first_doc long, n_docs long, n_tokens long, payload binary"
 
 
-class LibraryCodec:
-    """The library's ids of whole texts, a stretch between white space at a time."""
+class LibraryCodec(bpe.Pieces):
+    """The library's ids of whole texts: its model encodes every different word once and the ids are remembered."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
-        self.t.no_truncation()
-        self.t.no_padding()
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        super().__init__(path, {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()})
+        self.model = tokenizer.model
+        self.chars = bpe.byte_chars()
+        self.words: dict[bytes, list[int]] = {}
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [bpe.pieces(x) for x in texts]
-        if len(self.known) > 800_000:
-            self.known.clear()
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
-        found = self.t.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((x, struct.pack(f"<{len(e.ids)}I", *e.ids)) for x, e in zip(new, found, strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+    def word(self, w: bytes) -> list[int]:
+        ids = self.words.get(w)
+        if ids is None:
+            if len(self.words) > 400_000:
+                self.words.clear()
+            shown = w.decode() if w.isascii() and w.isalpha() else "".join(map(self.chars.__getitem__, w))
+            ids = self.words[w] = [x.id for x in self.model.tokenize(shown)]
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -78,15 +77,13 @@ def write_ids(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: in
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                some = batch.slice(begin, 64)
-                found = codec.encode_all(some.column(1).to_pylist())
-                for doc, ids in zip(some.column(0).to_pylist(), found, strict=True):
-                    docs.append((doc, ids + end))
-                    size += len(ids) // 4 + 1
-                    if size >= container_tokens:
-                        yield container()
-                        seq, docs, size = seq + 1, [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = codec.encode(text.as_py())
+                docs.append((doc, ids + end))
+                size += len(ids) // 4 + 1
+                if size >= container_tokens:
+                    yield container()
+                    seq, docs, size = seq + 1, [], 0
         if docs:
             yield container()
 
