@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1_decontaminate import op1_decontaminate
 from .op10_html_text import op10_html_text
 from .op2_license_scan import op2_license_scan
+from .op3_jaccard import op3_jaccard
 from .op4_token_files import op4_token_files
 from .op5_nearest import op5_nearest
 from .op6_bpe import op6_bpe
@@ -16,6 +17,7 @@ from .op9_line_dedup import op9_line_dedup
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_license_scan": op2_license_scan,
+    "op3_jaccard": op3_jaccard,
     "op4_token_files": op4_token_files,
     "op5_nearest": op5_nearest,
     "op6_bpe": op6_bpe,
