@@ -1,29 +1,55 @@
 """The corpus pipeline: quality, repeated lines, near duplicates, benchmark passages, tokens.
 
-Each stage works on the documents that the one before it kept, written as Parquet in the shared folder and read again.
+Each stage works on the documents that the one before it kept, written as Parquet in the shared folder and read again.  All but the last
+return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeline.llm import common
-from gaugeline.llm.op6_bpe import encode
+from gaugeline.llm import common, op1_decontaminate, op3_jaccard, op6_bpe, op8_quality, op9_line_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model does not reject."""
+    judged = op8_quality.judged(docs, common.table(spark, sf_dir, "labels"), docs.columns)
+    return judged.where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that come earlier, up to one edit; documents that have nothing else go."""
+    return op9_line_dedup.deduplicate(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return op3_jaccard.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return op1_decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE ids of every document that is left."""
-    return encode(docs)
+    """BPE ids of every document that is left, with digests of them and of the text decoded from them."""
+    return op6_bpe.encode(docs)
 
 
 STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("tokens", tokens),
 ]
-ORACLE_SQL = None  # a language model and an edit-distance join over words cannot be said in SQL
+ORACLE_SQL = None  # a language model and an edit distance over words cannot be said in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
