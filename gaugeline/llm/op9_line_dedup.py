@@ -26,6 +26,7 @@ from . import common
 MIN_CHARS = 12
 SMALL = 16
 WAYS = 8
+BITS = 1 << 26
 ID = ["h1", "h2"]
 
 
@@ -72,10 +73,25 @@ def postings(firsts: DataFrame) -> DataFrame:
     return firsts.select(*ID, "place", F.explode(rows).alias("x")).select(*ID, "place", "x.*")
 
 
+def sieve(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash may be among those wanted, before they are shuffled to find out; a bit table of ``BITS`` bits at most."""
+    def bit(c):
+        return (F.pmod(F.col(c), F.lit(BITS)) + 1).cast("long")
+
+    table = wanted.select(F.bitmap_bucket_number(bit(column)).alias("_bucket"), F.bitmap_bit_position(bit(column)).alias("_at")).groupBy("_bucket").agg(
+        F.bitmap_construct_agg("_at").alias("_bits"))
+    at = F.bitmap_bit_position(bit(column))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    held = rows.withColumn("_bucket", F.bitmap_bucket_number(bit(column))).join(F.broadcast(table), "_bucket")
+    return held.where(is_set).select(*rows.columns)
+
+
 def sized(rows: DataFrame) -> DataFrame:
     """Postings whose entry holds an indexed line and another one, with the number of lines there."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("met"), F.count_if(~F.col("probe")).alias("indexed")).where("met > 1 and indexed > 0")
-    return rows.join(sizes, "key")
+    sizes = common.saved(sizes, "sizes")
+    return sieve(rows, "key", sizes).join(sizes, "key")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -107,7 +123,7 @@ def near_edges(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     met = common.saved(sized(postings(firsts)), "met")
     wanted = met.select(*ID, "place").distinct()
     at = lines.select(*ID, "line", place().alias("place"))
-    texts = common.saved(at.join(wanted, [*ID, "place"], "left_semi").dropDuplicates(ID).select(*ID, "line"), "lines")
+    texts = common.saved(sieve(at, "h1", wanted).join(wanted, [*ID, "place"], "left_semi").dropDuplicates(ID).select(*ID, "line"), "lines")
 
     def named(t: str) -> DataFrame:
         return texts.select(F.col("h1").alias(f"h1_{t}"), F.col("h2").alias(f"h2_{t}"), F.col("line").alias(f"line_{t}"))
@@ -175,14 +191,14 @@ def per_document(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without the removed lines; one that loses all it had is gone.  ``n_chars`` follows if there is one."""
-    plain = common.texts(docs)
-    marked = docs.join(per_document(plain).select(F.col("doc_id").alias("_doc"), "gone"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    out = marked.withColumn("text", text).where(F.col("gone").isNull() | (F.trim("text") != "")).drop("gone")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = per_document(common.texts(docs)).select("doc_id", "gone")
+    marked = whole.join(gone, F.col("doc").eqNullSafe(F.col("doc_id")), "left").select("row", "gone")
+    left = F.array_join(F.filter(F.split(F.col("row")["text"], "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = marked.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(left).alias("left"))
+    out = out.where(F.col("gone").isNull() | (F.trim("left") != ""))
+    given = {"text": F.col("left"), "n_chars": F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("left")) if "n_chars" in docs.columns else None}
+    return out.select(*[given.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
