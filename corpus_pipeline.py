@@ -7,15 +7,13 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gaugeline.llm import common, op1_decontaminate, op3_jaccard, op6_bpe, op8_quality, op9_line_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model does not reject."""
-    judged = op8_quality.judged(docs, common.table(spark, sf_dir, "labels"), docs.columns)
-    return judged.where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return op8_quality.kept(docs, common.table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
