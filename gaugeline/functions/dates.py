@@ -78,14 +78,16 @@ def parse_date_end_of_day(text: Column, tz: str = UTC, strict: bool = False) ->
 
 
 def date_bound(value: str | int | None, tz: str = UTC, end_of_day: bool = False, strict: bool = False) -> int:
-    """A filter bound as epoch seconds; 0 when absent or unreadable, which means "no bound".
+    """A filter bound as epoch seconds; 0, which means "no bound", only when it is absent.
 
-    Reads what :func:`parse_date` reads, but at once, so that plans hold plain literals.
+    Raises ValueError when it cannot be read.  Reads what :func:`parse_date` reads, but at once, so that plans hold plain literals.
     """
     if value is None or isinstance(value, int):
         return value or 0
     if re.search(EPOCH.replace(r"\z", r"\Z"), value):
-        return int(value) if abs(int(value)) < 1 << 63 else 0
+        if abs(int(value)) >= 1 << 63:
+            raise ValueError(f"date out of range: {value!r}")
+        return int(value)
     clock = list(END_OF_DAY if end_of_day else START_OF_DAY)
     if found := re.search(SLASH_DATE, value):
         day, month, year = map(int, found.groups())
@@ -95,14 +97,25 @@ def date_bound(value: str | int | None, tz: str = UTC, end_of_day: bool = False,
         if re.search(mark + ANY_CLOCK, value):
             parts = re.search(mark + CLOCK, value)
             if not parts:
-                return 0
+                raise ValueError(f"not a time of day: {value!r}")
             clock = [default if part is None else int(part) for part, default in zip(parts.groups(), clock)]
+    elif value.strip():
+        raise ValueError(f"not a date: {value!r}")
     else:
         return 0
     try:
         return int(dt.datetime(year, month, day, *clock, tzinfo=ZoneInfo(tz)).timestamp())
-    except ValueError:
-        return 0
+    except ValueError as error:
+        raise ValueError(f"no such date: {value!r}") from error
+
+
+# The last day but one with four digits in its year, in any zone.
+LAST_EPOCH = 253_402_214_400
+
+
+def day_of(epoch: int, tz: str = UTC) -> str:
+    """The label of the day of an instant, as :func:`day_label` gives it."""
+    return dt.datetime.fromtimestamp(min(epoch, LAST_EPOCH), ZoneInfo(tz)).date().isoformat()
 
 
 def _dated(epoch: Column, tz: str, label) -> Column:

@@ -13,7 +13,7 @@ string and the text ``null`` are values of their own.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -39,7 +39,8 @@ class Readings:
 
     ``columns`` maps field names to columns of a typed frame and is ``None`` for a raw frame.  ``order`` names
     the columns that together give each reading its unique place; their sort order is the arrival order.
-    ``order_depth`` states that readings which agree in the first so many order columns are few.
+    ``order_depth`` states that readings which agree in the first so many order columns are few.  ``day`` names the
+    column of a staged table's partitions, the day of each reading as ``YYYY-MM-DD``.
     """
 
     df: DataFrame
@@ -48,6 +49,7 @@ class Readings:
     tz: str = dates.UTC
     strict: bool = False
     order_depth: int | None = None
+    day: str | None = None
     _types: Mapping[str, T.DataType] = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -78,10 +80,6 @@ class Readings:
 
     # -- fields ----------------------------------------------------------------------------------------------
 
-    def has(self, name: str) -> bool:
-        """False only when no reading can have the field."""
-        return self.is_raw or name in self.columns
-
     def field(self, name: str) -> Column:
         """The field as text, NULL when missing."""
         if self.is_raw:
@@ -148,6 +146,16 @@ class Readings:
 
         Stated on the stored column where its type allows, so that the file scan can skip data.
         """
+        exact = self._moments_between(low, high)
+        if self.day is None or self.day not in self._types:
+            return exact
+        # Text, as readings without a date have a label of their own, which sorts before any day.
+        day = F.col(self.day).cast("string")
+        days = [day >= dates.day_of(low, self.tz)] if low > 0 else []
+        days += [day <= dates.day_of(high, self.tz)] if 0 < high < dates.LAST_EPOCH else []
+        return reduce(Column.__and__, days, exact)
+
+    def _moments_between(self, low: int, high: int) -> Column:
         kind = None if self.is_raw or "timestamp" not in self.columns else self.type_of("timestamp")
         if isinstance(kind, T.TimestampType):
             column, stop = self.native("timestamp"), high + 1
@@ -192,11 +200,6 @@ class Readings:
         high = {i: F.shiftright(F.col(self.order[i]).cast("bigint"), SLICE_BITS) for i in at}
         return [[F.col(c) for c in self.order[:i]] + [high[i]] for i in at]
 
-    # -- chaining --------------------------------------------------------------------------------------------
-
-    def pipe(self, operator: Callable, *args, **kwargs):
-        return operator(self, *args, **kwargs)
-
 
 def _is_canonical_integer(text: str) -> bool:
     try:

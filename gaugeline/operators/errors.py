@@ -1,7 +1,7 @@
 """Known error codes: which readings are errors, and why.
 
 A definition says that a sensor type (compared ignoring case) reporting a certain text in a certain field is
-an error.  Definitions are configuration, a short ordered list; the first match wins.
+an error.  Definitions are an ordered list, or a table of any size; the first match wins.
 """
 
 from __future__ import annotations
@@ -9,17 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Readings
 
 TOTAL = "(total)"
 
-# Above this many definitions the match is a broadcast lookup instead of a CASE expression; above the second
-# number the list is no configuration any more and is refused.
-MAX_FOLDED = 200
-MAX_DEFINITIONS = 200_000
+TABLE = "sensor string, field string, value string, description string, rank bigint"
 
 
 @dataclass(frozen=True)
@@ -58,32 +55,33 @@ def _folded(r: Readings, definitions: Sequence[ErrorDefinition]) -> Column:
     return result if result is not None else F.lit(None).cast("string")
 
 
-def with_error(r: Readings, definitions: Sequence[ErrorDefinition] = BUILTIN, name: str = "_error") -> Readings:
-    """Add a column with the description of the reading's error, NULL for good readings."""
-    definitions = list(definitions)
-    if len(definitions) <= MAX_FOLDED:
-        return r.with_df(r.df.withColumn(name, _folded(r, definitions)))
-    if len(definitions) > MAX_DEFINITIONS:
-        raise ValueError(f"more than {MAX_DEFINITIONS} error definitions")
+Definitions = Sequence[ErrorDefinition] | DataFrame
 
-    # One lookup per field named in the definitions; the list is bounded by the check above.
+
+def definition_table(spark: SparkSession, definitions: Sequence[ErrorDefinition]) -> DataFrame:
+    """A list as a table; ``rank`` keeps its order."""
+    return spark.createDataFrame([(d.sensor, d.field, d.value, d.description, i) for i, d in enumerate(definitions)], TABLE)
+
+
+def with_error(r: Readings, definitions: Definitions = BUILTIN, name: str = "_error") -> Readings:
+    """Add a column with the description of the reading's error, NULL for good readings.
+
+    A list is folded into an expression.  A table of any size (``sensor, field, value, description, rank``) is joined, once for
+    each field that it names; the names of these fields are read at once.
+    """
+    if not isinstance(definitions, DataFrame):
+        return r.with_df(r.df.withColumn(name, _folded(r, list(definitions))))
+    fields = sorted(x["field"] for x in definitions.select("field").distinct().collect())
+    if not fields:
+        return r.with_df(r.df.withColumn(name, F.lit(None).cast("string")))
     df, found = r.df, []
-    spark = df.sparkSession
-    for i, field_name in enumerate(sorted({d.field for d in definitions})):
+    for i, field_name in enumerate(fields):
         sensor, value, hit = f"_sensor{i}", f"_value{i}", f"_hit{i}"
-        rows: dict[tuple[str, str], tuple[int, str]] = {}
-        for rank, d in enumerate(definitions):
-            if d.field == field_name:
-                rows.setdefault((d.sensor.lower(), d.value), (rank, d.description))
-        table = spark.createDataFrame(
-            [(s, v, rank, text) for (s, v), (rank, text) in rows.items()],
-            f"{sensor} string, {value} string, rank int, description string",
-        ).select(sensor, value, F.struct("rank", "description").alias(hit))
+        codes = definitions.where(F.col("field") == field_name).groupBy(F.lower("sensor").alias(sensor), F.col("value").alias(value)).agg(
+            F.min(F.struct("rank", "description")).alias(hit))
         df = (
-            df.withColumn(sensor, F.lower(r.field("sensor")))
-            .withColumn(value, r.field(field_name))
-            .join(F.broadcast(table), [sensor, value], "left")
-            .drop(sensor, value)
+            df.withColumn(sensor, F.lower(r.field("sensor"))).withColumn(value, r.field(field_name))
+            .join(codes, [sensor, value], "left").drop(sensor, value)
         )
         found.append(hit)
     first = F.least(*found) if len(found) > 1 else F.col(found[0])
@@ -93,7 +91,7 @@ def with_error(r: Readings, definitions: Sequence[ErrorDefinition] = BUILTIN, na
 LISTED_FIELDS = ("sensor", "sensor_id", "name", "value", "temperature")
 
 
-def list_errors(r: Readings, definitions: Sequence[ErrorDefinition] = BUILTIN) -> DataFrame:
+def list_errors(r: Readings, definitions: Definitions = BUILTIN) -> DataFrame:
     """The error readings: their place, the fields that identify them and the description."""
     marked = with_error(r, definitions)
     place = [c for c in ("source", "line_no", *r.order) if c in r.df.columns]
@@ -102,7 +100,7 @@ def list_errors(r: Readings, definitions: Sequence[ErrorDefinition] = BUILTIN) -
     return marked.df.where(F.col("_error").isNotNull()).select(*place, *fields, F.col("_error").alias("description"))
 
 
-def summarise_errors(r: Readings, definitions: Sequence[ErrorDefinition] = BUILTIN, total: bool = True) -> DataFrame:
+def summarise_errors(r: Readings, definitions: Definitions = BUILTIN, total: bool = True) -> DataFrame:
     """Readings per error description, ascending, with a closing total row."""
     counts = (
         with_error(r, definitions).df.where(F.col("_error").isNotNull())

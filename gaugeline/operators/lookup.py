@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A table of values is broadcast only after it was counted and found no larger than this.
-MAX_BROADCAST_VALUES = 1_000_000
-MAX_BROADCAST_CHARACTERS = 100_000_000
-
-# Beyond that both sides are shuffled; copies of the table meet a value that many readings share.
-SALTS = 16
-
 
 def cleaned_values(table: DataFrame) -> DataFrame:
     """Distinct trimmed non-blank values of the first column, as ``_value``."""
@@ -20,18 +13,15 @@ def cleaned_values(table: DataFrame) -> DataFrame:
 
 
 def flag_in(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
-    """Add the BOOLEAN column ``name``: is ``key`` among the values of ``table``?"""
-    values = cleaned_values(table)
-    size = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("_value")), F.lit(0)).alias("c")).first()
-    if size["n"] == 0:
-        raise ValueError("empty table of allowed values")
-    keyed = df.withColumn("_value", key)
-    if size["n"] <= MAX_BROADCAST_VALUES and size["c"] <= MAX_BROADCAST_CHARACTERS:
-        joined = keyed.join(F.broadcast(values.withColumn(name, F.lit(True))), "_value", "left")
-    else:
-        salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-        copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", salt).join(
-            copies.withColumn(name, F.lit(True)), ["_value", "_salt"], "left"
-        ).drop("_salt")
+    """Add the BOOLEAN column ``name``: is ``key`` among the values of ``table``?  None are in an empty table.
+
+    A plain join: adaptive execution sends a small table to all tasks and splits a value that many readings share.
+    """
+    values = cleaned_values(table).withColumn(name, F.lit(True))
+    joined = df.withColumn("_value", key).join(values, "_value", "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(False))).drop("_value")
+
+
+def keep_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among the values of ``table``."""
+    return df.withColumn("_value", key).join(cleaned_values(table), "_value", "left_semi").drop("_value")

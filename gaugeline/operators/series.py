@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Readings
-from .lookup import flag_in
+from .lookup import keep_in
 from .ordered import first_n
 
-MAX_BUCKETS = 400
+BUCKETS = 400
 
 # Lengths of the plot windows in seconds.
 VIEWS = {"hour": 3600, "day": 86400, "week": 7 * 86400, "month": 30 * 86400, "year": 365 * 86400}
@@ -24,7 +24,7 @@ def _of_sensors(r: Readings, ids: Ids) -> DataFrame:
     if ids is None:
         return r.df.where(r.field("sensor_id").isNotNull())
     if isinstance(ids, DataFrame):
-        return flag_in(r.df, r.field("sensor_id"), ids, "_wanted").where("_wanted").drop("_wanted")
+        return keep_in(r.df, r.field("sensor_id"), ids)
     wanted = [ids] if isinstance(ids, str) else list(ids)
     return r.df.where(r.equals_any("sensor_id", wanted))
 
@@ -96,14 +96,14 @@ def bucket_span(start: int, end: int, buckets: int) -> tuple[int, int]:
 
 
 def downsample(
-    r: Readings, ids: Ids, start: int, end: int, buckets: int = MAX_BUCKETS, ordered: bool = True
+    r: Readings, ids: Ids, start: int, end: int, buckets: int = BUCKETS, ordered: bool = True
 ) -> DataFrame:
     """Mean value per sensor and time bucket; empty buckets are left out.
 
-    ``buckets`` outside 1 to 400 means 400; a window that ends before it starts has no buckets.
+    Any positive number of buckets; without one there are 400.  A window that ends before it starts has none.
     """
-    if buckets <= 0 or buckets > MAX_BUCKETS:
-        buckets = MAX_BUCKETS
+    if buckets <= 0:
+        buckets = BUCKETS
     low, high = bucket_span(start, max(start, end), buckets)
     within = r.with_df(r.df.where(r.timestamp_between(low, high)))
     points = series(within, ids).where((F.col("timestamp") >= low) & (F.col("timestamp") < high))
@@ -124,7 +124,7 @@ def view_window(mode: str, end: int) -> tuple[int, int]:
 
 
 def multi_series_view(
-    r: Readings, ids: Ids, start: int, end: int, buckets: int = MAX_BUCKETS, ordered: bool = True
+    r: Readings, ids: Ids, start: int, end: int, buckets: int = BUCKETS, ordered: bool = True
 ) -> DataFrame:
     """Downsampled series over one window, each with its own scale ``min_value, max_value``."""
     points = downsample(r, ids, start, end, buckets, ordered=False)

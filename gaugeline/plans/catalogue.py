@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Readings
+from ..model import SLICE_BITS, Readings
 from ..operators import columns, counts, errors, series, stats, tail
 from ..operators.filters import FilterSpec, apply_filter, reject_reasons
 from ..operators.ordered import with_previous
@@ -336,14 +336,13 @@ def stats_quartiles_by_sensor(spark, sf):
     return rounded(stats.quartiles(events(spark, sf), by=["sensor_id"]))
 
 
-# The same search as for a group of a billion rows, made to apply to this table's groups.
 @register(
     "stats_quartiles_large_groups",
     f"""{EV}, q AS (SELECT sensor, {QUARTS} FROM ev GROUP BY sensor) SELECT sensor, 'value' AS "column",
       round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr FROM q""",
 )
 def stats_quartiles_large_groups(spark, sf):
-    return rounded(stats.quartiles(events(spark, sf), by=["sensor"], limit=1000))
+    return rounded(stats.quartiles(events(spark, sf), by=["sensor"]))
 
 
 @register(
@@ -405,7 +404,7 @@ def stats_deltas_by_sensor(spark, sf):
     _changes_sql(EV, "sensor", "timestamp, event_id", "ev") + _changes_select("sensor", VALUE_COLUMN),
 )
 def stats_deltas_large_groups(spark, sf):
-    return rounded(stats.changes(events(spark, sf), by=["sensor"], order="timestamp", limit=500))
+    return rounded(stats.changes(events(spark, sf), by=["sensor"], order="timestamp"))
 
 
 @register(
@@ -427,7 +426,7 @@ def stats_max_jump(spark, sf):
 def previous_reading(spark, sf):
     rows = event_rows(events(spark, sf))
     levels = [[F.shiftright("timestamp", stats.TIME_BITS)], [F.col("timestamp"), F.shiftright("event_id", 20)]]
-    found = with_previous(rows, ["sensor"], ["timestamp", "event_id"], levels, ["value", "timestamp"], limit=1000)
+    found = with_previous(rows, ["sensor"], ["timestamp", "event_id"], levels, ["value", "timestamp"])
     return rounded(found.select(
         "event_id", "sensor", "value", F.col("previous.value").alias("previous_value"),
         F.col("previous.timestamp").alias("previous_timestamp"),
@@ -440,8 +439,7 @@ def previous_reading(spark, sf):
 )
 def previous_reading_overall(spark, sf):
     rows = event_rows(events(spark, sf))
-    # Slices of 1024 events, so that the borders between slices matter on this table.
-    found = with_previous(rows, [], ["event_id"], [[F.shiftright("event_id", 10)]], ["value"])
+    found = with_previous(rows, [], ["event_id"], [[F.shiftright("event_id", SLICE_BITS)]], ["value"])
     return rounded(found.select("event_id", "value", F.col("previous.value").alias("previous_value")))
 
 
@@ -618,6 +616,41 @@ def downsample(spark, sf):
     return rounded(series.downsample(events(spark, sf), None, LOW, HIGH, 37))
 
 
+@register(
+    "downsample_1000",
+    _downsample_sql(1000, LOW, HIGH, f"WHERE sensor_id IN {IDS_SQL}") + "SELECT sensor_id, bucket, bucket_start, round(value, 6) AS value FROM p",
+)
+def downsample_1000(spark, sf):
+    return rounded(series.downsample(events(spark, sf), IDS, LOW, HIGH, 1000))
+
+
+@register(
+    "update_unmapped_column",
+    f"""{EV} SELECT event_id, sensor_id, sensor, CASE WHEN sensor = 'view' THEN '9' END AS patched, k FROM ev""",
+)
+def update_unmapped_column(spark, sf):
+    """A new field with the name of a column that is mapped to none leaves that column, the order of events, alone."""
+    r = apply_updates(events(spark, sf), [Update("sensor", "view", "event_id", "9")])
+    return r.df.select("event_id", r.field("sensor_id").alias("sensor_id"), r.field("sensor").alias("sensor"), r.field("event_id").alias("patched"), r.field("k").alias("k"))
+
+
+@register(
+    "error_table",
+    f"""{EV}, d AS (SELECT DISTINCT CAST(l_quantity AS INTEGER)::VARCHAR AS code FROM lineitem)
+      SELECT event_id, sensor, k, concat('code ', k) AS description FROM ev WHERE sensor = 'view' AND k IN (SELECT code FROM d)""",
+)
+def error_table(spark, sf):
+    """Error definitions that are a table, one for every row of ``lineitem``."""
+    lines = table(spark, sf, "lineitem")
+    code = F.col("l_quantity").cast("int").cast("string")
+    codes = lines.select(
+        F.lit("VIEW").alias("sensor"), F.lit("k").alias("field"), code.alias("value"), F.concat(F.lit("code "), code).alias("description"),
+        F.col("l_orderkey").alias("rank"))
+    r = events(spark, sf)
+    marked = errors.with_error(r, codes).df.where(F.col("_error").isNotNull())
+    return marked.select("event_id", r.field("sensor").alias("sensor"), r.field("k").alias("k"), F.col("_error").alias("description"))
+
+
 VIEW_END = 1706659200
 VIEW_START = VIEW_END - 7 * 86400
 

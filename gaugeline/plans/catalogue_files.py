@@ -154,8 +154,32 @@ def staged_count_by_day(spark, sf):
     return counts.count_by_period(stage(r, fresh_path(spark, "staged")), "day")
 
 
-@register("parquet_export", f"{EV} SELECT CAST(event_id AS VARCHAR) AS event_id, k, sensor, sensor_id, CAST(timestamp AS VARCHAR) AS timestamp FROM ev")
+@register(
+    "staged_filtered",
+    f"""{EV} SELECT event_id, sensor_id, sensor, value, timestamp, k FROM ev WHERE timestamp BETWEEN 1704412800 AND 1705276799""",
+)
+def staged_filtered(spark, sf):
+    staged = stage(read_readings(spark, json_log(spark, sf), format="json"), fresh_path(spark, "staged"))
+    return _values(apply_filter(staged, FilterSpec().dates("2024-01-05", "2024-01-14")))
+
+
+@register("csv_blanks", f"{EV} SELECT event_id, concat(' ', sensor, '  ') AS sensor, concat(k, ' ') AS k FROM ev")
+def csv_blanks(spark, sf):
+    """Blanks around values survive writing and reading."""
+    df = event_rows(events(spark, sf)).select(
+        "event_id", F.concat(F.lit(" "), "sensor", F.lit("  ")).alias("sensor"), F.concat("k", F.lit(" ")).alias("k"))
+    path = fresh_path(spark, "blanks")
+    text.write_csv(Readings.typed(df, ["event_id", "sensor", "k"], ["event_id"]), path)
+    r = read_readings(spark, path)
+    return r.df.select(r.field("event_id").cast("bigint").alias("event_id"), r.field("sensor").alias("sensor"), r.field("k").alias("k"))
+
+
+@register(
+    "parquet_export",
+    f"""{EV} SELECT CAST(event_id AS VARCHAR) AS event_id, k, sensor, sensor_id, CAST(timestamp AS VARCHAR) AS timestamp,
+      value FROM ev""",
+)
 def parquet_export(spark, sf):
     path = fresh_path(spark, "export")
     text.write_parquet(_plain(spark, sf), path)
-    return spark.read.parquet(path).drop("value")
+    return spark.read.parquet(path).withColumn("value", F.col("value").cast("double"))

@@ -95,5 +95,5 @@ class Query:
     def last(self, ids, n: int) -> DataFrame:
         return series.tail_by_sensor(self.result(), ids, n)
 
-    def downsample(self, ids, start: int, end: int, buckets: int = series.MAX_BUCKETS) -> DataFrame:
+    def downsample(self, ids, start: int, end: int, buckets: int = series.BUCKETS) -> DataFrame:
         return series.downsample(self.result(), ids, start, end, buckets)

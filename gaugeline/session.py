@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new local one where none is set, as in tests on one machine."""
+    """The cluster's shared folder; where none is named, one in the warehouse, which all executors see as well."""
     context = spark.sparkContext
     found = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="gaugeline-")
+        found = spark.conf.get(WAREHOUSE_DIR).rstrip("/") + "/_shared"
         context.setCheckpointDir(found)
     return found.rstrip("/")
 

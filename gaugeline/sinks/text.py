@@ -60,7 +60,8 @@ def write_parquet(r: Readings, path: str, columns: Sequence[str] | None = None,
 def write_result_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A result table (counts, distinct values, latest, ...) as CSV."""
     writer = df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
-    writer.csv(path)
+    # Blanks around a value are part of it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_result_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

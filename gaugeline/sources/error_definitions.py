@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from ..operators.errors import BUILTIN, MAX_DEFINITIONS, ErrorDefinition
+from ..operators.errors import BUILTIN, ErrorDefinition
 from .files import exists
 from .lines import place
 
 SUFFIX = ".errors"
 
 
-def load_error_definitions(spark: SparkSession, directory: str | None) -> tuple[ErrorDefinition, ...]:
-    """Lines ``field:value:description``; ``#`` starts a comment line.  Built-in definitions when there are none."""
-    if directory is None or not exists(spark, directory):
-        return BUILTIN
+def error_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines ``field:value:description``; ``#`` starts a comment line.  A table of any size, for ``with_error``."""
     files = spark.read.option("pathGlobFilter", f"*{SUFFIX}").text(directory)
     lines = files.select(F.col("_metadata.file_name").alias("file"), *place(), trim(F.col("value")).alias("line"))
     lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
@@ -27,8 +25,14 @@ def load_error_definitions(spark: SparkSession, directory: str | None) -> tuple[
     )
     # A line that ends after the second colon has no description and does not count.
     whole = rows.where((F.col("field") != "") & (F.col("value") != "") & (F.col("description") != ""))
-    found = whole.orderBy("source", "block", "row").limit(MAX_DEFINITIONS + 1).collect()
-    if len(found) > MAX_DEFINITIONS:
-        raise ValueError(f"more than {MAX_DEFINITIONS} error definitions")
-    definitions = tuple(ErrorDefinition(x["sensor"], x["field"], x["value"], x["description"]) for x in found)
-    return definitions or BUILTIN
+    # Only the order of lines with the same code matters.
+    same = Window.partitionBy(F.lower("sensor"), "field", "value").orderBy("source", "block", "row")
+    return whole.withColumn("rank", F.row_number().over(same).cast("bigint")).select("sensor", "field", "value", "description", "rank", "source", "block", "row")
+
+
+def load_error_definitions(spark: SparkSession, directory: str | None) -> tuple[ErrorDefinition, ...]:
+    """The definitions of a configuration directory as a list; the built-in ones when there are none."""
+    if directory is None or not exists(spark, directory):
+        return BUILTIN
+    found = error_table(spark, directory).orderBy("source", "block", "row").collect()
+    return tuple(ErrorDefinition(x["sensor"], x["field"], x["value"], x["description"]) for x in found) or BUILTIN

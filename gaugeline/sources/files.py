@@ -51,7 +51,8 @@ class FileSet:
                 is_csv = F.lower(name).endswith(".csv")
                 frame = frame.where(is_csv if csv else ~is_csv)
             if self.recursive and self.max_depth is not None:
-                frame = frame.where(_depth(F.col("_metadata.file_path")) <= _depth_of(spark, directory) + self.max_depth)
+                below = levels_below(F.col("_metadata.file_path"), path_of(spark, directory))
+                frame = frame.where(below <= self.max_depth)
             frames.append(frame)
         return frames
 
@@ -60,8 +61,11 @@ def _reader(spark: SparkSession) -> DataFrameReader:
     return spark.read.option("ignoreMissingFiles", "true")
 
 
-def _depth(path):
-    return F.size(F.split(F.regexp_replace(path, "^[a-zA-Z0-9+.-]+:/*", ""), "/")) - 1
+def levels_below(path, directory: str):
+    """Sub-directories between ``directory`` and a file in it; both without scheme and host, whatever the store."""
+    plain = F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/*", "/")
+    above = [part for part in directory.split("/") if part]
+    return F.size(F.filter(F.split(plain, "/"), lambda part: part != "")) - len(above) - 1
 
 
 def _file_status(spark: SparkSession, path: str):
@@ -72,9 +76,8 @@ def _file_status(spark: SparkSession, path: str):
     return system.getFileStatus(hadoop_path) if system.exists(hadoop_path) else None
 
 
-def _depth_of(spark: SparkSession, directory: str) -> int:
-    path = _file_status(spark, directory).getPath().toUri().getPath()
-    return len(path.strip("/").split("/"))
+def path_of(spark: SparkSession, directory: str) -> str:
+    return _file_status(spark, directory).getPath().toUri().getPath()
 
 
 def exists(spark: SparkSession, path: str) -> bool:

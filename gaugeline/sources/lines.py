@@ -45,10 +45,3 @@ def block_offsets(lines: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint"))
     return blocks.withColumn("before", before).drop("n")
-
-
-def with_line_numbers(df: DataFrame, lines: DataFrame, header_lines: int = 0) -> DataFrame:
-    """Add 1-based ``line_no`` to rows that carry a place; ``lines`` is the scan which gave them theirs."""
-    offsets = block_offsets(lines)
-    number = F.col("before") + (F.col("row") - F.col("first_row")) + (1 + header_lines)
-    return df.join(offsets, ["source", "block"]).withColumn("line_no", number).drop("before", "first_row")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +15,16 @@ from ..operators.tail import tail_rows
 from .csv_files import read_csv
 from .files import FileSet, collect_files, exists
 from .json_lines import malformed_lines, parse_lines
-from .lines import block_offsets, scan_lines, with_line_numbers
+from .lines import block_offsets, scan_lines
 
 FORMATS = ("auto", "json", "csv")
 EMPTY = "source string, block bigint, row bigint, pos int, fields map<string,string>"
 
 
+# The partition column of staged tables.
+DAY = "_day"
+
+
 @dataclass(frozen=True)
 class Log:
     """Files of readings: JSON lines, CSV, or (``auto``) CSV where the name ends in ``.csv`` and JSON elsewhere."""
@@ -97,20 +101,24 @@ def stage(r: Readings, path: str, mode: str = "errorifexists") -> Readings:
     """
     spark = r.df.sparkSession
     staged = r.df.withColumn("_epoch", r.timestamp())
-    staged = staged.withColumn("_day", day_label(F.col("_epoch"), r.tz)).drop("_epoch")
+    staged = staged.withColumn(DAY, day_label(F.col("_epoch"), r.tz)).drop("_epoch")
     # Rebalancing splits a day with much data over many tasks and puts small days together.
-    staged.hint("rebalance", F.col("_day")).write.mode(mode).partitionBy("_day").parquet(path)
+    staged.hint("rebalance", F.col(DAY)).write.mode(mode).partitionBy(DAY).parquet(path)
     return staged_readings(spark, path, r)
 
 
 def staged_readings(spark: SparkSession, path: str, like: Readings) -> Readings:
-    return like.with_df(spark.read.parquet(path).select(*like.df.columns))
+    """``like``'s columns and the day of each partition, by which date filters skip whole days."""
+    return replace(like, df=spark.read.parquet(path).select(*like.df.columns, DAY), day=DAY)
 
 
 def allowed_values(spark: SparkSession, values: str) -> list[str] | DataFrame:
     """A comma separated list, or the name of a file with one value per line."""
-    if exists(spark, values):
-        return spark.read.text(values)
+    try:
+        if values and exists(spark, values):
+            return spark.read.text(values)
+    except Exception:  # noqa: BLE001  no path, so a list: a colon, for one, makes no valid path
+        pass
     found = [v.strip() for v in values.split(",") if v.strip()]
     if not found:
         raise ValueError("empty list of allowed values")

@@ -13,11 +13,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..model import Readings
 from ..operators.ordered import first_n
-from ..operators.series import MAX_BUCKETS, series
+from ..operators.series import BUCKETS, series
 from ..session import fresh_path
 from .running import version_path
 
-RING_SIZE = MAX_BUCKETS
+RING_SIZE = BUCKETS
 PRELOADED = 200
 
 STATE_SCHEMA = "timestamps array<bigint>, readings array<double>, historical int"

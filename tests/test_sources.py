@@ -11,7 +11,7 @@ from gaugeline.sources.error_definitions import load_error_definitions
 from gaugeline.sources.readings import allowed_values, open_log, read_readings, stage
 from gaugeline.operators.errors import BUILTIN
 
-from .helpers import fields, write
+from .helpers import raw, fields, write
 
 
 def test_objects_arrays_and_several_objects_per_line(spark, tmp_path):
@@ -198,3 +198,36 @@ def test_staged_readings_are_the_same(spark, tmp_path):
     again = stage(r, str(tmp_path / "staged"))
     assert fields(again) == fields(r)
     assert counts.count_by_period(again, "day").collect() == counts.count_by_period(r, "day").collect()
+
+
+@pytest.mark.parametrize("path, root, levels", [
+    ("file:///a/b/f", "/a/b", 0), ("hdfs://nn:8020/a/b/f", "/a/b", 0), ("hdfs://nn:8020/a/b/c/f", "/a/b", 1),
+    ("s3a://bucket/a/x/y/f.csv", "/a", 2), ("viewfs://store/a/f", "/", 1), ("/a/b/f", "/a", 1),
+])
+def test_levels_below(spark, path, root, levels):
+    from gaugeline.sources.files import levels_below
+
+    assert spark.range(1).select(levels_below(F.lit(path), root)).first()[0] == levels
+
+
+@pytest.mark.parametrize("text, values", [("12:30,13:00", ["12:30", "13:00"]), ("a:b", ["a:b"])])
+def test_lists_that_are_no_paths(spark, text, values):
+    assert allowed_values(spark, text) == values
+
+
+def test_staged_days_are_pruned(spark, tmp_path):
+    import contextlib
+    import io
+
+    from gaugeline import FilterSpec
+    from gaugeline.operators.filters import apply_filter
+    from gaugeline.sources.readings import stage
+
+    rows = [{"sensor": "a", "value": i, "timestamp": f"2024-01-{i:02d} 12:00:00"} for i in range(1, 29)] + [{"sensor": "b", "value": 1}]
+    staged = stage(raw(spark, rows), str(tmp_path / "staged"))
+    kept = apply_filter(staged, FilterSpec().dates("2024-01-05", "2024-01-07")).df
+    assert kept.count() == 3 and staged.df.count() == 29
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        kept.explain("formatted")
+    assert "_day" in out.getvalue().split("PartitionFilters: [")[1].split("]")[0]
