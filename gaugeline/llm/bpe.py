@@ -325,7 +325,7 @@ class Pieces:
         self.cut = Cutter(path)
         self.specials = special
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile("(?!)()")
-        self.encoded = Memo(self._encode, 500_000)
+        self.encoded = Memo(self._encode, 400_000)
 
     def word(self, w: bytes) -> list[int]:
         raise NotImplementedError
@@ -363,8 +363,8 @@ class Codec(Pieces):
         self.t = transducer(path)
         super().__init__(path, self.t.m.special)
         self.word = self.t.encode
-        self.decoded = Memo(self._decode, 500_000)
-        self.counted = Memo(self.count, 1_200_000)
+        self.decoded = Memo(self._decode, 300_000)
+        self.counted = Memo(self.count, 800_000)
 
     def _decode(self, ids: bytes) -> str:
         return " ".join(map(self.t.m.strings.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))

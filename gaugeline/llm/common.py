@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from ..session import fresh_path
 
 _SHIPPED = "_gaugeline_shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+#: Rows here are whole texts, so an Arrow batch has at most so many.
+BATCH_ROWS = 1024
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context; Spark's own file server distributes it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, _SHIPPED, False):
         return
@@ -56,10 +62,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256):
     """Fewer rows per Arrow batch while actions run inside, for rows that carry whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)

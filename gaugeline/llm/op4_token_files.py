@@ -120,7 +120,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     pa.array([zlib.crc32(x.tobytes()) for x in cut], pa.int64())]
                 names = ["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"]
                 if ids:
-                    arrays.append(pa.array([x.tolist() for x in cut], pa.list_(pa.int32())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(box.starts, pa.int32()), pa.array(values.astype("<i4"))))
                 yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * ids)
 
     found = containers(spark, path).select("part", "seq", "payload").mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +31,19 @@ def encode(df: DataFrame, vocabulary: str = VOCABULARY, ids: bool = True) -> Dat
     def run(batches):
         codec = bpe.codec(public_tokenizers.path(vocabulary))
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sizes, id_digests, text_digests, encoded = [], [], [], []
+            for text in batch.column(1):
                 found, decoded = codec.both(text.as_py())
-                row = (doc, len(found) // 4, hashlib.sha256(found).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, memoryview(found).cast("i")) if ids else row)
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(4 + ids)]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
-            arrays = [pa.array([x.tolist() for x in c] if n == "ids" else c, t) for c, t, n in zip(columns, types, names, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                sizes.append(len(found) // 4)
+                id_digests.append(hashlib.sha256(found).hexdigest())
+                text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if ids:
+                    encoded.append(found)
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+            if ids:
+                offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(encoded), "<i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
     return common.texts(df).mapInArrow(run, schema)
 
