@@ -31,7 +31,10 @@ def update_value(r: Readings, rule: Update) -> Readings:
         others = F.map_filter("fields", lambda k, _: k != rule.target)
         patched = F.map_concat(others, F.create_map(F.lit(rule.target), F.lit(rule.value)))
         return r.with_df(r.df.withColumn("fields", F.when(hit, patched).otherwise(F.col("fields"))))
-    column = f"_updated_{rule.target}"  # no other field is kept there, and no column of the frame is lost
+    # A column that holds another field or the order too, or one that is no field, is left alone.
+    column = r.columns.get(rule.target)
+    if column is None or column in r.order or list(r.columns.values()).count(column) > 1:
+        column = f"_updated_{rule.target}" if rule.target in r.df.columns else rule.target
     patched = F.when(hit, F.lit(rule.value)).otherwise(r.field(rule.target))
     return r.with_df(r.df.withColumn(column, patched), {**r.columns, rule.target: column})
 
