@@ -7,7 +7,8 @@ vectors.  What is in these cells is ranked by the exact cosine in double precisi
 
 The codebooks are fitted on ``SAMPLE`` vectors (those with the smallest hash of their id) and their size follows the number of
 vectors up to ``MAX_CENTROIDS``; every vector is indexed.  Equal vectors are one class with its smallest ids, which is all that a
-result can hold.  Cells are cut into blocks of bounded size, for vectors and for the queries that visit them.
+result can hold.  Neighbouring cells form buckets, and these are cut into blocks of bounded size, for vectors and for the queries that
+visit them; a query gives a few rows per block it visits.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part; a vec_id that occurs twice counts as two candidates, none of which is a result of its own queries; other
@@ -162,54 +163,66 @@ def nearest(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vecto
     counts = np.zeros(n_cells, np.int64)  # bounded by the codebooks, whatever the number of vectors
     for r in indexed.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
+    # Neighbouring cells share a bucket of about BLOCK vectors.
+    bucket_of = (np.cumsum(counts) - counts) // BLOCK
 
     def traverse(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reps, rows = batch.column(0).to_numpy(), matrix(batch.column(1), width)
-            for begin in range(0, len(rows), 256):
-                a, b = books.distances(rows[begin:begin + 256])
-                found = [books.visits(x, y, counts, enough) for x, y in zip(a, b, strict=True)]
-                where = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                flat = pa.array(rows[begin:begin + 256][where].ravel())
-                offsets = pa.array(np.arange(len(where) + 1) * width, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps[begin:begin + 256][where]), pa.ListArray.from_arrays(offsets, flat), pa.array(np.concatenate(found) if found else [], pa.int32())],
-                    ["query", "v", "cell"])
+            reps, rows = batch.column(0).to_pylist(), matrix(batch.column(1), width)
+            a, b = books.distances(rows)
+            names, vectors, buckets, cells = [], [], [], []
+            for n, rep in enumerate(reps):
+                found = np.sort(books.visits(a[n], b[n], counts, enough))
+                cut = np.flatnonzero(np.diff(bucket_of[found])) + 1
+                for part in np.split(found, cut):
+                    names.append(rep)
+                    vectors.append(n)
+                    buckets.append(bucket_of[part[0]])
+                    cells.append(part.tolist())
+            flat = pa.array(rows[vectors].ravel())
+            offsets = pa.array(np.arange(len(vectors) + 1) * width, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(buckets, pa.int64()), pa.array(cells, pa.list_(pa.int32()))],
+                ["query", "v", "bucket", "cells"])
 
     asking = good.where(F.col("vec_id") % every == 0)
     members = asking.join(classes.select("rep", "v"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
     query_classes = indexed.join(members.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "v")
-    visits = common.saved(query_classes.mapInArrow(traverse, "query long, v array<float>, cell int"), "visits")
-    asked = np.zeros(n_cells, np.int64)
-    for r in visits.groupBy("cell").count().collect():
-        asked[r["cell"]] = r["count"]
+    visits = common.saved(query_classes.mapInArrow(traverse, "query long, v array<float>, bucket long, cells array<int>"), "visits")
+    asked = {r["bucket"]: r["count"] for r in visits.groupBy("bucket").count().collect()}  # at most a row per cell
+    held = np.bincount(bucket_of, weights=counts).astype(np.int64)
     blocks = spark.createDataFrame(
-        [(c, int(-(-counts[c] // BLOCK)), int(-(-asked[c] // BLOCK))) for c in range(n_cells) if counts[c] and asked[c]],
-        "cell int, nv int, nq int")  # bounded by the codebooks
-    side = F.broadcast(blocks)
-    left = visits.join(side, "cell").withColumn("qb", F.pmod(F.hash("query"), "nq")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    right = indexed.join(side, "cell").withColumn("vb", F.pmod(F.hash("rep"), "nv")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+        [(int(b), int(-(-held[b] // (2 * BLOCK))), int(-(-n // BLOCK))) for b, n in asked.items()], "bucket long, nv int, nq int")
+    places = spark.createDataFrame([(c, int(bucket_of[c])) for c in range(n_cells) if counts[c]], "cell int, bucket long")
+    side = F.broadcast(blocks)  # both bounded by the codebooks
+    left = visits.join(side, "bucket").withColumn("qb", F.pmod(F.hash("query"), "nq")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
+    right = indexed.join(F.broadcast(places), "cell").join(side, "bucket").withColumn("vb", F.pmod(F.hash("rep"), "nv")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
 
     def rank(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = ([], [], [])
         if len(queries) and len(vectors):
             v = np.stack(vectors["v"].to_numpy()).astype(np.float64)
             rep, norm = vectors["rep"].to_numpy(), np.linalg.norm(v, axis=1)
+            cells, local = np.unique(vectors["cell"].to_numpy(), return_inverse=True)
             for begin in range(0, len(queries), 256):
                 some = queries.iloc[begin:begin + 256]
                 q = np.stack(some["v"].to_numpy()).astype(np.float64)
                 scores = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * norm[None])
-                for name, row in zip(some["query"].to_numpy(), scores, strict=True):
-                    top = best(rep, row, keep)
-                    out.append(pd.DataFrame({"query": name, "rep": rep[top], "score": row[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    keys = ["cell", "vb", "qb"]
+                for name, visited, row in zip(some["query"].to_numpy(), some["cells"], scores, strict=True):
+                    mine = np.flatnonzero(np.isin(cells, visited)[local])
+                    top = mine[best(rep[mine], row[mine], keep)]
+                    for out, x in zip(found, (np.full(len(top), name), rep[top], row[top]), strict=True):
+                        out.append(x)
+        kinds = (("query", np.int64), ("rep", np.int64), ("score", np.float64))
+        return pd.DataFrame({n: np.concatenate(x) if x else np.empty(0, t) for (n, t), x in zip(kinds, found, strict=True)})
+
+    keys = ["bucket", "vb", "qb"]
     ranked = (
-        left.select(*keys, "query", "v").groupBy(*keys)
-        .cogroup(right.select(*keys, "rep", "v").groupBy(*keys)).applyInPandas(rank, "query long, rep long, score double"))
+        left.select(*keys, "query", "v", "cells").groupBy(*keys)
+        .cogroup(right.select(*keys, "rep", "v", "cell").groupBy(*keys)).applyInPandas(rank, "query long, rep long, score double"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     few = ranked.withColumn("n", F.row_number().over(top)).where(F.col("n") <= keep)
     entry = F.transform("ids", lambda x: F.struct((-F.col("score")).alias("s"), x.alias("vec_id")))
