@@ -56,7 +56,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of steps that are done
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by ``saved`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
