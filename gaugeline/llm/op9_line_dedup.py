@@ -27,6 +27,7 @@ MIN_CHARS = 12
 SMALL = 16
 WAYS = 8
 BITS = 1 << 26
+BEFORE_ALL = str(-(1 << 63) - 1)  # below every 64-bit doc_id
 ID = ["h1", "h2"]
 
 
@@ -48,7 +49,9 @@ def halves(line, own, index_len) -> list:
 
 
 def place(doc_id="doc_id", line_no="line_no"):
-    return F.struct(F.col(doc_id).alias("doc_id"), F.col(line_no).alias("line_no"))
+    """Where a line is, as one number in the order of (doc_id, line_no), null doc_ids first; a flat value can be folded by hash."""
+    doc = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(BEFORE_ALL).cast("decimal(20,0)"))
+    return (doc * F.lit(1 << 31).cast("decimal(10,0)") + F.col(line_no).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -174,11 +177,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, near of all lines that are removed; near: not an exact copy of an earlier line."""
     lines = split_lines(docs)
     firsts = common.saved(distinct_lines(lines), "firsts")
-    near = near_edges(lines, firsts)
+    near = common.saved(near_edges(lines, firsts), "near")
+    known = firsts.select(*ID, "place", "n")
+    maybe = known.where("n > 1").unionByName(sieve(known.where("n = 1"), "h1", near))  # other lines stay in any case
     judged = common.saved(
-        firsts.select(*ID, "place", "n").join(near, ID, "left").where("n > 1 or earlier is not null")
-        .select(*ID, "place", F.col("earlier").isNotNull().alias("near")), "judged")
-    at = lines.select(*ID, "doc_id", "line_no")
+        maybe.join(near, ID, "left").where("n > 1 or earlier is not null").select(*ID, "place", F.col("earlier").isNotNull().alias("near")), "judged")
+    at = sieve(lines.select(*ID, "doc_id", "line_no"), "h1", judged)
     first = place().eqNullSafe(F.col("place"))
     return at.join(judged, ID).where(F.col("near") | ~first).select("doc_id", "line_no", first.alias("near"))
 
