@@ -126,7 +126,8 @@ def near_edges(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     met = common.saved(sized(postings(firsts)), "met")
     wanted = met.select(*ID, "place").distinct()
     at = lines.select(*ID, "line", place().alias("place"))
-    texts = common.saved(sieve(at, "h1", wanted).join(wanted, [*ID, "place"], "left_semi").dropDuplicates(ID).select(*ID, "line"), "lines")
+    # An inner join with distinct rows: a semi join would be moved below the sieve, and all lines shuffled.
+    texts = common.saved(sieve(at, "h1", wanted).join(wanted, [*ID, "place"]).dropDuplicates(ID).select(*ID, "line"), "lines")
 
     def named(t: str) -> DataFrame:
         return texts.select(F.col("h1").alias(f"h1_{t}"), F.col("h2").alias(f"h2_{t}"), F.col("line").alias(f"line_{t}"))
