@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from .op1_decontaminate import op1_decontaminate
 from .op10_html_text import op10_html_text
+from .op11_simhash import op11_simhash
+from .op12_alignment import op12_alignment
+from .op13_prefix_trie import SQL as PREFIX_TRIE_SQL
+from .op13_prefix_trie import op13_prefix_trie
 from .op2_license_scan import op2_license_scan
 from .op3_jaccard import op3_jaccard
 from .op4_token_files import op4_token_files
@@ -25,7 +29,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_text": op10_html_text,
+    "op11_simhash": op11_simhash,
+    "op12_alignment": op12_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op9_line_dedup": LINE_DEDUP_SQL,
+    "op13_prefix_trie": PREFIX_TRIE_SQL,
 }
