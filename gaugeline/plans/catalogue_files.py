@@ -69,6 +69,36 @@ def read_json_arrays(spark, sf):
     return _values(read_readings(spark, array_log(spark, sf), format="json"))
 
 
+LOOSE = [  # lines as loggers leave them, by event_id modulo 8; {0} is the id and {1} the sensor
+    '{{"event_id":{0},"value":nan,"sensor":"{1}"}}', '{{"event_id":{0},"sensor":"{1}",}}', '{{"sensor":"{1}" "event_id":{0}}}',
+    'boot {{"event_id":{0},"sensor":"{1}"}} ok {{"event_id":-}}', '[{{"event_id":{0},"sensor":"{1}"}},{{"event_id":{0}x,"sensor":abc}}]',
+    "{{'event_id':{0}}}", '{{"event_id":{0},"sensor":"{1}","k":"cut', '{{"event_id":+{0},"sensor":"x\\q{1}","o":{{"a":[1,{{"b":2}}]}}}}',
+]
+
+
+@register(
+    "read_malformed",
+    f"""{EV} SELECT CAST(event_id AS VARCHAR) AS event_id, sensor, CASE WHEN event_id % 8 = 0 THEN 'nan' END AS value, NULL AS o FROM ev
+      WHERE event_id % 8 NOT IN (5, 7)
+      UNION ALL SELECT '+' || event_id, 'x\\q' || sensor, NULL, '{{"a":[1,{{"b":2}}]}}' FROM ev WHERE event_id % 8 = 7
+      UNION ALL SELECT '-', NULL, NULL, NULL FROM ev WHERE event_id % 8 = 3
+      UNION ALL SELECT event_id || 'x', 'abc', NULL, NULL FROM ev WHERE event_id % 8 = 4
+      UNION ALL SELECT '(unread)', CAST(count(*) AS VARCHAR), NULL, NULL FROM ev WHERE event_id % 8 = 5""",
+)
+def read_malformed(spark, sf):
+    """Readings out of lines that are no proper JSON, and the number of lines without any."""
+    ev = event_rows(events(spark, sf))
+    lines = [F.format_string(x.replace("%", "%%").format("%1$s", "%2$s"), F.col("event_id").cast("string"), "sensor") for x in LOOSE]
+    path = fresh_path(spark, "events-loose")
+    ev.select(F.element_at(F.array(*lines), (F.col("event_id") % 8 + 1).cast("int")).alias("value")).write.text(path)
+    log = open_log(spark, path, format="json")
+    r = log.readings()
+    found = r.df.select(*[r.field(c).alias(c) for c in ("event_id", "sensor", "value", "o")])
+    nothing = F.lit(None).cast("string")
+    unread = log.malformed().agg(F.count(F.lit(1)).cast("string").alias("n"))
+    return found.union(unread.select(F.lit("(unread)"), "n", nothing, nothing))
+
+
 @register("read_csv", ALL_ROWS)
 def read_csv(spark, sf):
     return _values(read_readings(spark, csv_log(spark, sf)))

@@ -57,11 +57,45 @@ def test_escapes_are_decoded(spark, tmp_path):
 
 
 def test_malformed_lines_are_reported(spark, tmp_path):
-    path = write(tmp_path / "a.out", '{"a":1}\n\n{"a":tru}\nplain text\n{"a":2}\n[]\n')
+    path = write(tmp_path / "a.out", '{"a":1}\n\n{\'a\':tru}\nplain text\n{"a":2}\n[]\n')
     log = open_log(spark, path)
     assert [f["a"] for f in fields(log.readings())] == ["1", "2"]
     bad = log.numbered(log.malformed()).orderBy("line_no").select("line_no", "value").collect()
-    assert [tuple(b) for b in bad] == [(3, '{"a":tru}'), (4, "plain text")]
+    assert [tuple(b) for b in bad] == [(3, "{'a':tru}"), (4, "plain text")]
+
+
+@pytest.mark.parametrize("line, readings", [
+    ('{"sensor":"a","value":nan}', [{"sensor": "a", "value": "nan"}]),
+    ('{"b":1,}', [{"b": "1"}]),
+    ('{"value":-}', [{"value": "-"}]),
+    ('{"value":+5}', [{"value": "+5"}]),
+    ('{"sensor":"f" "value":2}', [{"sensor": "f", "value": "2"}]),
+    (r'{"s":"x\q"}', [{"s": r"x\q"}]),
+    ('junk {"g":1} more {"h":2}', [{"g": "1"}, {"h": "2"}]),
+    ('[{"good":1},{"value":abc}]', [{"good": "1"}, {"value": "abc"}]),
+    ("{'sensor':'q'}", []),
+    ('{"a":tru}', [{"a": "tru"}]),
+    ('{"a":}', [{"a": ""}]),
+    ('{"t":12:30:00,"u":  x y  , ,"n":null}', [{"t": "12:30:00", "u": "x y", "n": "null"}]),
+    ('{"v": 007 ,"w":1.50,"a":1,"a":2}', [{"v": "007", "w": "1.50", "a": "1"}]),
+    ('{"o":{"k": 1.50, "x":[{"}":2}]},"l":[1, [2]],"b":"[{"}', [{"o": '{"k": 1.50, "x":[{"}":2}]}', "l": "[1, [2]]", "b": "[{"}]),
+    ('[[{"n":1}],{"m":2}]', [{"n": "1"}]),
+    ('it"s {"a":1}', [{"a": "1"}]),
+    ('{oops "a":1} {"b" x : "2"}', [{"a": "1"}, {"b": "2"}]),
+    ('{"a":1] "b":2}', [{"a": "1", "b": "2"}]),
+    ('{"a":"never ends} {"b":1}', [{"a": "never ends} {"}]),
+    (r'{"k\"q":"t\tz\u00e9", x}', [{'k"q': "t\tzé"}]),
+    ('{{"a":1}}', [{"a": "1"}]),
+])
+def test_loose_json(spark, tmp_path, line, readings):
+    log = open_log(spark, write(tmp_path / "a.out", line + "\n"))
+    assert fields(log.readings()) == readings
+    assert log.malformed().count() == (0 if readings else 1)
+
+
+def test_many_loose_objects_in_a_line(spark, tmp_path):
+    line = "[" + ",".join(f'{{"a":nan,"b":{i}}}' for i in range(1000)) + "]"
+    assert [f["b"] for f in fields(read_readings(spark, write(tmp_path / "a.out", line)))] == [str(i) for i in range(1000)]
 
 
 def test_a_cut_off_object_keeps_its_whole_pairs(spark, tmp_path):
