@@ -17,8 +17,8 @@ from ..functions.dates import epoch_text
 from ..functions.text import duration_text
 from ..model import MISSING, Readings
 from .ordered import change_summary, with_previous
-from .quantiles import large_group_quantiles, quantiles, with_small_group_quantiles
-from .skew import GROUP_ROWS, flag_large
+from .quantiles import folded, quantiles, with_quantiles
+from .skew import GROUP_ROWS
 
 ALL = "all"
 QUARTILES = (0.25, 0.5, 0.75)
@@ -74,62 +74,45 @@ def basic(r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[s
 
 
 def quartiles(
-    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS,
+    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), ranges: int | None = None,
     approximate: bool = False,
 ) -> DataFrame:
     """``q1, median, q3, iqr``; ``approximate`` takes them from a sketch in a single pass."""
-    found = quantiles(measurements(r, columns, by), _keys(by), "measure", QUARTILES, limit, approximate)
+    found = quantiles(measurements(r, columns, by), _keys(by), "measure", QUARTILES, ranges, approximate)
     q = F.col("quantiles")
     return found.select(
         *_keys(by), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr")
     )
 
 
-def _fenced(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Quartiles, and the number of values strictly outside ``q1 - 1.5 iqr .. q3 + 1.5 iqr``.
-
-    Rows first get the quartiles of their group: small groups while they are sorted, large ones - there are few -
-    by a broadcast.
-    """
-    marked = flag_large(rows, keys, limit)
-    small_rows, large_rows = marked.where(~F.col("_large")), marked.where("_large")
-    small = with_small_group_quantiles(small_rows, keys, "measure", QUARTILES)
-    large = large_rows.join(F.broadcast(large_group_quantiles(large_rows, keys, "measure", QUARTILES, limit)), keys)
-    q = F.col("quantiles")
-    reach = (q[2] - q[0]) * FENCE_FACTOR
-    outside = (F.col("measure") < q[0] - reach) | (F.col("measure") > q[2] + reach)
-
-    def counted(part: DataFrame) -> DataFrame:
-        number = F.sum(outside.cast("bigint"))
-        percent = F.lit(100.0) * number / F.count(F.lit(1))
-        return part.groupBy(*keys).agg(
-            F.max("quantiles").alias("q"), number.alias("outliers"), percent.alias("outlier_percent")
-        )
-
-    q = F.col("q")
-    return counted(small).unionByName(counted(large)).select(
-        *keys, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), "outliers",
-        "outlier_percent",
+def _fenced(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    """Quartiles and outliers: every distinct value knows the size and the quartiles of its group, so a sum counts it."""
+    placed = with_quantiles(folded(rows, keys, "measure"), keys, "measure", QUARTILES, ranges)
+    v, q1, median, q3 = (F.col(c) for c in ("measure", "_q0", "_q1", "_q2"))
+    reach = (q3 - q1) * FENCE_FACTOR
+    outside = (v < q1 - reach) | (v > q3 + reach)
+    number = F.coalesce(F.sum(F.when(outside, F.col("_c"))), F.lit(0).cast("bigint"))
+    return placed.groupBy(*keys).agg(
+        F.max(q1).alias("q1"), F.max(median).alias("median"), F.max(q3).alias("q3"), (F.max(q3) - F.max(q1)).alias("iqr"),
+        number.alias("outliers"), (F.lit(100.0) * number / F.max("_n")).alias("outlier_percent"),
     )
 
 
 def outliers(
-    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS
+    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """``outliers, outlier_percent``: values strictly outside ``q1 - 1.5 iqr .. q3 + 1.5 iqr``."""
     keys = _keys(by)
-    return _fenced(measurements(r, columns, by).select(*keys, "measure"), keys, limit).select(
-        *keys, "outliers", "outlier_percent"
-    )
+    return _fenced(measurements(r, columns, by), keys, ranges).select(*keys, "outliers", "outlier_percent")
 
 
 def value_summary(
-    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), limit: int = GROUP_ROWS
+    r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """What :func:`basic`, :func:`quartiles` and :func:`outliers` give, with one sort of the data."""
+    """What :func:`basic`, :func:`quartiles` and :func:`outliers` give."""
     keys = _keys(by)
     rows = measurements(r, columns, by).select(*keys, "measure")
-    return _basic(rows, keys).join(_fenced(rows, keys, limit), keys)
+    return _basic(rows, keys).join(_fenced(rows, keys, ranges), keys)
 
 
 def changes(
@@ -219,4 +202,4 @@ def stats(
 
     The time line is reported by :func:`time_range` and :func:`sampling`.
     """
-    return value_summary(r, columns, by, limit).join(changes(r, columns, by, order, limit), _keys(by), "left")
+    return value_summary(r, columns, by).join(changes(r, columns, by, order, limit), _keys(by), "left")

@@ -12,7 +12,7 @@ from ..operators.unique import unique
 from ..session import fresh_path
 from ..sinks import text
 from ..sources.readings import open_log, read_readings, stage
-from .catalogue import EV, ERR, LATEST, LATEST_COLUMNS, register, rounded
+from .catalogue import BASIC, EV, ERR, QUARTS, LATEST, LATEST_COLUMNS, register, rounded
 from .tables import EVENT_ERRORS, event_rows, events
 
 FIELDS = ("sensor_id", "sensor", "value", "timestamp", "k")
@@ -167,12 +167,16 @@ def read_summarise_errors(spark, sf):
     f"""{EV}, it AS (SELECT 'value' AS "column", value FROM ev UNION ALL SELECT 'k', CAST(k AS DOUBLE) FROM ev
       UNION ALL SELECT 'sensor_id', CAST(sensor_id AS DOUBLE) FROM ev UNION ALL SELECT 'event_id', event_id FROM ev
       UNION ALL SELECT 'timestamp', timestamp FROM ev)
-      SELECT "column", count(*) AS count, round(min(value), 6) AS min, round(max(value), 6) AS max,
-      round(median(value), 6) AS median FROM it GROUP BY "column" """,
+      , q AS (SELECT "column", {QUARTS} FROM it GROUP BY "column"), b AS (SELECT "column", {BASIC} FROM it GROUP BY "column"),
+      o AS (SELECT "column", count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
+        FROM it JOIN q USING ("column") GROUP BY "column")
+      SELECT b.* REPLACE (round(stddev, 4) AS stddev), round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, outliers,
+        round(100.0 * outliers / b.count, 6) AS outlier_percent FROM b JOIN q USING ("column") JOIN o USING ("column")""",
 )
 def read_stats_all(spark, sf):
-    found = stats.value_summary(read_readings(spark, json_log(spark, sf), format="json"), stats.ALL)
-    return rounded(found.select("column", "count", "min", "max", "median"))
+    """All measures of every field; the deviation of times, some 1e6 around 1e9, to four decimals."""
+    found = rounded(stats.value_summary(read_readings(spark, json_log(spark, sf), format="json"), stats.ALL))
+    return found.withColumn("stddev", F.round("stddev", 4))
 
 
 @register(

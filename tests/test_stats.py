@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline import FilterSpec, Query, Readings
 from gaugeline.operators import stats
 from gaugeline.operators.ordered import first_n, with_previous
-from gaugeline.operators.quantiles import quantiles
+from gaugeline.operators.quantiles import folded, quantiles, ranked_pieces, wanted_pieces, with_quantiles
 
 from .helpers import raw, values
 
@@ -133,24 +133,48 @@ def test_sampling_of_large_groups_equals_brute_force(spark, limit):
         assert (got["typical_interval"], got["gaps"], got["max_gap"]) == (typical, len(gaps), max(gaps) if gaps else None)
 
 
-@pytest.mark.parametrize("limit", [30, 1_000_000])
-def test_quantiles_equal_numpy(spark, limit):
+@pytest.mark.parametrize("ranges", [None, 1, 9, 60])
+def test_quantiles_equal_numpy(spark, ranges):
     rows, r = skewed(spark)
-    found = {x["sensor"]: x["quantiles"] for x in quantiles(r.df, ["sensor"], "value", (0.0, 0.25, 0.5, 0.9, 1.0), limit).collect()}
+    found = {x["sensor"]: x["quantiles"] for x in quantiles(r.df, ["sensor"], "value", (0.0, 0.25, 0.5, 0.9, 1.0), ranges).collect()}
     for sensor in {x[1] for x in rows}:
         wanted = np.percentile([x[3] for x in rows if x[1] == sensor], [0, 25, 50, 90, 100])
         assert found[sensor] == pytest.approx(list(wanted)), sensor
     assert one(quantiles(spark.range(1, 11).selectExpr("double(id) x", "1 k"), ["k"], "x", (0.9,)))["quantiles"] == pytest.approx([9.1])
 
 
-@pytest.mark.parametrize("limit", [30, 1_000_000])
-def test_outliers_of_large_groups(spark, limit):
+@pytest.mark.parametrize("ranges", [None, 9, 60])
+def test_summary_of_large_groups(spark, ranges):
     rows, r = skewed(spark)
-    found = {x["sensor"]: x["outliers"] for x in stats.outliers(r, by=["sensor"], limit=limit).collect()}
+    found = {x["sensor"]: x for x in stats.value_summary(r, by=["sensor"], ranges=ranges).collect()}
     for sensor in {x[1] for x in rows}:
-        mine = np.array([x[3] for x in rows if x[1] == sensor])
-        q1, q3 = np.percentile(mine, [25, 75])
-        assert found[sensor] == int(((mine < q1 - 1.5 * (q3 - q1)) | (mine > q3 + 1.5 * (q3 - q1))).sum())
+        mine, got = np.array([x[3] for x in rows if x[1] == sensor]), found[sensor]
+        q1, q2, q3 = np.percentile(mine, [25, 50, 75])
+        assert got["outliers"] == int(((mine < q1 - 1.5 * (q3 - q1)) | (mine > q3 + 1.5 * (q3 - q1))).sum())
+        assert got["outlier_percent"] == pytest.approx(100 * got["outliers"] / len(mine))
+        assert [got[c] for c in ("count", "min", "max", "mean", "stddev", "q1", "median", "q3")] == pytest.approx(
+            [len(mine), mine.min(), mine.max(), mine.mean(), mine.std(ddof=1), q1, q2, q3])
+
+
+def test_extreme_values(spark):
+    wanted = [-1.7e308, -5e-324, 0.0, -0.0, 5e-324, 1e-300, 1.0, 1.0, 1.0000000000000002, 1.7e308]
+    df = spark.createDataFrame([("k", v) for v in wanted] + [("k", None), ("one", 3.5), (None, None)], "k string, v double")
+    for ranges in (None, 5):
+        found = {x["k"]: x["quantiles"] for x in quantiles(df, ["k"], "v", (0.0, 4 / 9, 5 / 9, 8 / 9, 1.0), ranges).collect()}
+        assert found == {"k": [-1.7e308, 5e-324, 1e-300, 1.0000000000000002, 1.7e308], "one": [3.5] * 5}
+
+
+@pytest.mark.parametrize("size, ranges", [(4000, 10), (40_000, 100)])
+def test_no_task_ranks_more_than_a_range(spark, size, ranges):
+    """Ten times the values and ten times the ranges: the longest run of values that is put in order stays as it was."""
+    rows = spark.range(size).selectExpr("if(id % 5 = 0, concat('s', id % 50), 'hot') k", "double(hash(id)) v")
+    kept = folded(rows, ["k"], "v")
+    wanted = wanted_pieces(kept, ["k"], "v", (0.25, 0.5, 0.75), ranges)
+    assert [x["k"] for x in wanted.collect()].count("hot") == 1
+    ranked = ranked_pieces(kept, ["k"], "v", wanted).groupBy("k", "_low").count().agg(F.max("count")).first()[0]
+    alone = with_quantiles(kept, ["k"], "v", (0.25, 0.5, 0.75), ranges)
+    few = kept.join(wanted, "k", "left_anti").groupBy("k").count().agg(F.max("count")).first()[0]
+    assert ranked <= 2 * 400 and (few or 0) <= 2 * 400 and alone.count() == kept.count()
 
 
 def test_previous_reading(spark):
