@@ -2,17 +2,23 @@
 
 No window here covers a group that grows with the data: groups above a limit are cut into slices of consecutive
 rows (see ``skew``), the work is done per slice, and what crosses slice borders is settled on one row per slice.
+Slices are stretches of a number line, so where numbers are sparse (hashed ids) there may be a slice per row.  Hence
+their summaries are merged as a tree: first within stretches of ``2 ** FAN_BITS`` slices, then these among each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import GROUP_ROWS, sliced
 
+# So many slices at most are merged at once; of 64-bit numbers there are then few enough stretches for a group.
+FAN_BITS = 22
+
 # First and last n: rows of one key are cut down within groups of tasks, then within fewer groups, then overall.
 # Spark trims a ranking inside of the tasks that produce the rows only up to FEW, so longer lists need more rounds.
 FEW = 1000
@@ -20,6 +26,12 @@ ROUNDS = (64, 1)
 LONG_ROUNDS = (4096, 64, 1)
 
 
+def stretches(df: DataFrame, levels: Sequence[Sequence[Column]], slices: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add what tells the stretch of slices a row belongs to; the slice columns are those of ``sliced``."""
+    *above, last = slices[:len(levels[0])]
+    return df.withColumn("_stretch", F.shiftright(last, FAN_BITS)), [*above, "_stretch"]
+
+
 def with_previous(
     df: DataFrame, by: Sequence[str], order: Sequence[str], levels: Sequence[Sequence[Column]],
     columns: Sequence[str], limit: int = GROUP_ROWS, name: str = "previous",
@@ -29,19 +41,21 @@ def with_previous(
     ``order`` must be unique within a group.
     """
     rows, slices = sliced(df, by, levels, limit)
-    window = Window.partitionBy(*by, *slices).orderBy(*order)
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = F.struct(*columns)
-    rows = (
-        rows.withColumn(name, F.lag(seen).over(window))
-        .withColumn("_first", F.row_number().over(window) == 1)
-        .withColumn("_last", F.last(seen).over(whole))
-    )
-    inner = rows.where(~F.col("_first"))
-    # One row per slice, so this window is as long as the list of slices.
-    heads = rows.where("_first").withColumn(name, F.lag("_last").over(Window.partitionBy(*by).orderBy(*order)))
-    drop = ["_first", "_last", *slices]
-    return inner.drop(*drop).unionByName(heads.drop(*drop))
+    rows, stretch = stretches(rows, levels, slices)
+    rows = rows.withColumn("_tail", F.struct(*columns))
+    drop = ["_first", "_last", "_tail", "_stretch", *slices]
+    done = []
+    # Of every slice the first row still lacks its predecessor, the last row of the slice before; then of every stretch.
+    for group in ([*slices, *stretch], stretch, []):
+        window = Window.partitionBy(*by, *dict.fromkeys(group)).orderBy(*order)
+        whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = (
+            rows.withColumn(name, F.lag("_tail").over(window)).withColumn("_first", F.row_number().over(window) == 1)
+            .withColumn("_last", F.last("_tail").over(whole))
+        )
+        done.append((rows.where(~F.col("_first")) if group else rows).drop(*drop))
+        rows = rows.where("_first").withColumn("_tail", F.col("_last"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def change_summary(
@@ -54,7 +68,9 @@ def change_summary(
     Changes are folded to one row per slice where they arise; the changes across slice borders join in then.
     """
     rows, slices = sliced(df, by, levels, limit, always)
-    window = Window.partitionBy(*by, *slices).orderBy(*order)
+    rows, stretch = stretches(rows, levels, slices)
+    group = list(dict.fromkeys([*by, *stretch, *slices]))
+    window = Window.partitionBy(*group).orderBy(*order)
     rows = rows.select("*", F.lag(value).over(window).alias("_before"), F.lead(value).over(window).alias("_after"))
     rows = rows.withColumn("_change", F.abs(F.col(value) - F.col("_before")))
 
@@ -65,7 +81,7 @@ def change_summary(
 
     at = [F.col(c) for c in order]
     placed = F.struct(*order, F.col(value).alias("value"))
-    per_slice = rows.groupBy(*by, *slices).agg(
+    per_slice = rows.groupBy(*group).agg(
         F.count("_change").alias("n"),
         F.min("_change").alias("low"),
         F.max("_change").alias("high"),
@@ -77,33 +93,37 @@ def change_summary(
         F.max(F.when(F.col("_after").isNull(), placed)).alias("tail"),
     )
 
-    along = Window.partitionBy(*by).orderBy("head")
-    group = Window.partitionBy(*by)
-    border = F.col("border")
-    joined = per_slice.withColumn("before", F.lag("tail").over(along)["value"])
-    joined = joined.withColumn("border", F.abs(F.col("head.value") - F.col("before")))
-    joined = joined.withColumn("total", F.sum(F.col("n") + border.isNotNull().cast("int")).over(group))
-    sums = F.coalesce(F.col("n") * F.col("mean"), F.lit(0.0)) + F.coalesce(border, F.lit(0.0))
-    joined = joined.withColumn("overall", F.sum(sums).over(group) / F.nullif(F.col("total"), F.lit(0)))
-    border_jump = jump(border, [F.col(f"head.{c}").alias(c) for c in order], F.col("before"), F.col("head.value"))
-    joined = joined.withColumn("jump", F.least("jump", border_jump))
-
-    off = F.col("mean") - F.col("overall")
-    border_off = border - F.col("overall")
-    spread = F.sum(
-        F.coalesce(F.col("spread") + F.col("n") * off * off, F.lit(0.0)) + F.coalesce(border_off * border_off, F.lit(0.0))
-    )
-    n = F.max("total")
-    best = F.min("jump")
-    return joined.groupBy(*by).agg(
-        n.alias("n_changes"),
-        F.min(F.least("low", "border")).alias("change_min"),
-        F.max(F.greatest("high", "border")).alias("change_max"),
-        F.max("overall").alias("change_mean"),
-        F.when(n > 1, F.sqrt(spread / (n - 1))).when(n == 1, F.lit(0.0)).alias("volatility"),
-        (-best["down"]).alias("jump_size"),
-        best["before"].alias("jump_from"),
-        best["after"].alias("jump_to"),
+    def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """One summary for all parts of a group, with the changes between neighbouring parts."""
+        along = Window.partitionBy(*keys).orderBy("head")
+        together = Window.partitionBy(*keys)
+        border = F.col("border")
+        joined = parts.withColumn("before", F.lag("tail").over(along)["value"])
+        joined = joined.withColumn("border", F.abs(F.col("head.value") - F.col("before")))
+        joined = joined.withColumn("total", F.sum(F.col("n") + border.isNotNull().cast("int")).over(together))
+        sums = F.coalesce(F.col("n") * F.col("mean"), F.lit(0.0)) + F.coalesce(border, F.lit(0.0))
+        joined = joined.withColumn("overall", F.sum(sums).over(together) / F.nullif(F.col("total"), F.lit(0)))
+        border_jump = jump(border, [F.col(f"head.{c}").alias(c) for c in order], F.col("before"), F.col("head.value"))
+        off = F.col("mean") - F.col("overall")
+        border_off = border - F.col("overall")
+        return joined.withColumn("jump", F.least("jump", border_jump)).groupBy(*keys).agg(
+            F.max("total").alias("n"),
+            F.min(F.least("low", "border")).alias("low"),
+            F.max(F.greatest("high", "border")).alias("high"),
+            F.max("overall").alias("mean"),
+            F.sum(F.coalesce(F.col("spread") + F.col("n") * off * off, F.lit(0.0)) + F.coalesce(border_off * border_off, F.lit(0.0)))
+            .alias("spread"),
+            F.min("jump").alias("jump"),
+            F.min("head").alias("head"),
+            F.max("tail").alias("tail"),
+        )
+
+    found = merged(merged(per_slice, [*by, *stretch]), by)
+    n, best = F.col("n"), F.col("jump")
+    return found.select(
+        *by, n.alias("n_changes"), F.col("low").alias("change_min"), F.col("high").alias("change_max"), F.col("mean").alias("change_mean"),
+        F.when(n > 1, F.sqrt(F.col("spread") / (n - 1))).when(n == 1, F.lit(0.0)).alias("volatility"),
+        (-best["down"]).alias("jump_size"), best["before"].alias("jump_from"), best["after"].alias("jump_to"),
     )
 
 

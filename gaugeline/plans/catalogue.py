@@ -407,6 +407,21 @@ def stats_deltas_large_groups(spark, sf):
     return rounded(stats.changes(events(spark, sf), by=["sensor"], order="timestamp"))
 
 
+@register(
+    "stats_deltas_sparse_ids",
+    f"""{EV}, h AS (SELECT value, (event_id * 2971215073 + 1134903170) % 4611686018427387847 * 911 % 4611686018427387847 AS id FROM (
+        SELECT value, CAST(event_id AS HUGEINT) AS event_id FROM ev)), """
+    + _changes_sql("", "", "id", "h").lstrip(", ") + _changes_select("", VALUE_COLUMN),
+)
+def stats_deltas_sparse_ids(spark, sf):
+    """Changes in the order of ids that are spread over 62 bits."""
+    r = events(spark, sf)
+    prime = F.lit("4611686018427387847").cast("decimal(38,0)")
+    first = (F.col("event_id").cast("decimal(19,0)") * F.lit("2971215073").cast("decimal(10,0)") + F.lit(1134903170).cast("decimal(10,0)")) % prime
+    spread = (first.cast("decimal(19,0)") * F.lit(911).cast("decimal(3,0)") % prime).cast("bigint")
+    return rounded(stats.changes(Readings.typed(r.df.withColumn("id", spread), r.columns, ["id"])))
+
+
 @register(
     "stats_max_jump",
     _changes_sql(EV, "sensor", "event_id", "ev")

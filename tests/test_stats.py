@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gaugeline import FilterSpec, Query, Readings
 from gaugeline.operators import stats
-from gaugeline.operators.ordered import first_n, with_previous
+from gaugeline.operators.ordered import first_n, stretches, with_previous
 from gaugeline.operators.quantiles import folded, quantiles, ranked_pieces, wanted_pieces, with_quantiles
+from gaugeline.operators.skew import sliced
 
 from .helpers import raw, values
 
@@ -188,6 +189,31 @@ def test_previous_reading(spark):
     assert {x["id"]: x["previous"]["value"] if x["previous"] else None for x in found} == wanted
 
 
+def test_sparse_ids_are_merged_as_a_tree(spark, monkeypatch):
+    """With a slice per row, slices meet within stretches, and stretches among each other."""
+    monkeypatch.setattr("gaugeline.operators.ordered.FAN_BITS", 40)
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(62), f"s{rng.randrange(3)}", float(rng.randrange(100))) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, sensor string, value double").repartition(7)
+    r = Readings.typed(df, ["sensor", "value"], ["id"])
+    kept, slices = sliced(df, ["sensor"], r.arrival_levels(), 20)
+    wide, stretch = stretches(kept, r.arrival_levels(), slices)
+    assert kept.select("sensor", *slices).distinct().count() == 2000  # hashed ids leave every row a slice of its own
+    assert 3 < wide.select("sensor", *stretch).distinct().count() <= 3 * 2 ** (62 - 18 - 40)
+    rows.sort()
+    for by in ([], ["sensor"]):
+        found = stats.changes(r, by=by, limit=20).collect()
+        for x in found:
+            for name, wanted in brute([v for _, s, v in rows if not by or s == x["sensor"]]).items():
+                assert x[name] == pytest.approx(wanted), name
+    wanted, before = {}, {}
+    for i, s, v in rows:
+        wanted[i] = before.get(s)
+        before[s] = v
+    found = with_previous(df, ["sensor"], ["id"], r.arrival_levels(), ["value"], limit=20).collect()
+    assert {x["id"]: x["previous"]["value"] if x["previous"] else None for x in found} == wanted
+
+
 def test_first_n(spark):
     rows, r = skewed(spark)
     for n, sensor in [(n, s) for n in (7, 1500) for s in ("hot", "s1")]:
