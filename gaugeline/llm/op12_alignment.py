@@ -13,21 +13,18 @@ Method: inverted pair bitmaps.  A *block* is a run of at most ``BLOCK_DOCS`` doc
 What is shuffled is one small row per block and pair, so a pair that every document holds costs one row per block, and a block has a bounded
 number of documents and links (a longer document is a block by itself).  Nothing is broadcast or collected.
 
-Encoding: a text is cut where no token of either tokenizer can cross, and the ids of short pieces are remembered, at most ``MEMO`` pieces of
-at most ``PIECE`` characters.  Texts with rare kinds of white space, and vocabularies with a blank inside a piece, are encoded whole.
-
 Defined results: a null or empty text, and one whose joined token bytes are not a blank and the text, has no tokens, zero counts and an empty
-digest; every row is a document of its own, also if its doc_id is null or repeated; a very long text is encoded in pieces, but its ids and
-links are held at once; an empty table gives no rows; other columns are ignored; ties for the best count are all best.
+digest; every row is a document of its own, also if its doc_id is null or repeated; the ids and links of a
+very long text are held at once, so memory is bounded by the longest text; an empty table gives no rows; other columns are ignored; ties for the best count are all best.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,50 +41,26 @@ BLOCK_DOCS = 1 << BLOCK_BITS
 BLOCK_LINKS = 1 << 20
 WORD_BITS = BLOCK_BITS - 6
 ID_BITS = 20
-MEMO, PIECE = 200_000, 48
-_CHUNK = 1 << 15
-
-# Blanks other than the space and the line feed, of any version of Unicode.
-_RARE_BLANK = re.compile("[^\\S\n ]|[\x1c-\x1f\u180e]")
-_WORDS_A = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
-_WORDS_B = re.compile(r" +[^ ]+(?: +\Z)?| +\Z")  # the model gives a lone blank no token, so blanks at the end stay with their word
+# Fixed value: how byte-level vocabularies split a text.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Anything but characters that every version of Unicode has classed alike: Latin, Greek, Cyrillic, punctuation, kana, Han.
+_UNSURE = re.compile("[^\n -~\u00a1-\u00ac\u00ae-\u0217\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]|[ \n]{1000}")
 
 
 class Side:
     """One tokenizer: ids of a text that begins with a blank, and the bytes of every id."""
 
-    def __init__(self, pieces: re.Pattern | None, entries: list[bytes]):
-        self.pieces, self.entries = pieces, entries
+    def __init__(self, entries: list[bytes]):
+        self.entries = entries
         self.lengths = np.array([len(x) for x in entries], np.int64)
-        self.memo: dict[str, bytes | None] = {}
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, text: str) -> list[int]:
         raise NotImplementedError
 
-    def checked(self, text: str, ids: list[int]) -> bytes | None:
-        """The ids as 32-bit numbers, or None if their bytes are not the text's."""
-        if b"".join([self.entries[i] for i in ids]) != text.encode():
-            return None
-        return np.array(ids, np.int32).tobytes()
-
     def encode(self, text: str) -> np.ndarray | None:
-        if self.pieces is None or _RARE_BLANK.search(text):
-            found = self.checked(text, self.batch([text])[0])
-            return None if found is None else np.frombuffer(found, np.int32)
-        out, pieces = [], (m.group() for m in self.pieces.finditer(text))
-        while chunk := list(islice(pieces, _CHUNK)):
-            new = list({p for p in chunk if p not in self.memo})
-            once = {}
-            for piece, ids in zip(new, self.batch(new) if new else [], strict=True):
-                (self.memo if len(piece) <= PIECE else once)[piece] = self.checked(piece, ids)
-            known = self.memo
-            parts = [known[p] if p in known else once[p] for p in chunk]
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            if None in parts:
-                return None
-            out.append(b"".join(parts))
-        return np.frombuffer(b"".join(out), np.int32)
+        """The ids, or None if their bytes are not the text's."""
+        ids, entries = self.ids(text), self.entries
+        return np.array(ids, np.int32) if b"".join([entries[i] for i in ids]) == text.encode() else None
 
 
 def byte_characters() -> dict[str, int]:
@@ -98,6 +71,12 @@ def byte_characters() -> dict[str, int]:
 
 
 class ByteLevel(Side):
+    """A vocabulary whose ids follow its merges is also read by ``tiktoken``, which gives the same ids in less time.
+
+    Texts with characters of which two libraries may think differently (classes changed over the versions of Unicode), or with very
+    long runs of blanks, are left to ``tokenizers``.
+    """
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -106,14 +85,32 @@ class ByteLevel(Side):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         of = byte_characters()
+        added = {int(i) for i in self.tokenizer.get_added_tokens_decoder()}
         entries = []
         for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True)):
             entry = self.tokenizer.id_to_token(i) or ""
-            entries.append(bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode())
-        super().__init__(_WORDS_A, entries)
+            entries.append(bytes(of[c] for c in entry) if i not in added and all(c in of for c in entry) else entry.encode())
+        super().__init__(entries)
+        self.fast = self._ranked(path, {e: i for i, e in enumerate(entries) if i not in added})
+
+    @staticmethod
+    def _ranked(path: str, ranks: dict[bytes, int]):
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, split, of = made["model"], made["pre_tokenizer"] or {}, byte_characters()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        follows = all(ranks.get(bytes(of[c] for c in a + b)) == 256 + i for i, (a, b) in enumerate(merges))
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and made["normalizer"] is None
+        if not (follows and usual and model["type"] == "BPE" and len(ranks) == 256 + len(merges)):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or _UNSURE.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 class Pieces(Side):
@@ -125,12 +122,10 @@ class Pieces(Side):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         byte = re.compile(r"<0x([0-9A-F]{2})>")
-        entries = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(n)) else n.replace("▁", " ").encode() for n in names]
-        inner = any("▁" in n.lstrip("▁") for n in names)  # a token could cross from a word to the blank behind it
-        super().__init__(None if inner else _WORDS_B, entries)
+        super().__init__([bytes([int(m[1], 16)]) if (m := byte.fullmatch(n)) else n.replace("▁", " ").encode() for n in names])
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode([t[1:] for t in texts], num_threads=1)
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text[1:])
 
 
 @lru_cache(maxsize=2)

@@ -123,10 +123,12 @@ def test_small_blocks_merge(models):
     assert dict(zip(ids, docs.tolist())) == count and dict(zip(ids, links.tolist())) == total
 
 
-def test_memory_of_pieces_is_bounded(monkeypatch, models):
-    monkeypatch.setattr(op12_alignment, "MEMO", 10)
+def test_both_libraries_give_the_same_ids(models):
+    """The faster reader of the byte-level vocabulary, on texts that it gets and on texts that it does not."""
     left = op12_alignment.ByteLevel(A)
-    for k in range(30):
-        text = " " + " ".join(f"w{k}x{j}" for j in range(5)) + " " + "long" * 40
-        assert left.encode(text).tolist() == models[0].encode(text, add_special_tokens=False).ids
-        assert len(left.memo) <= 16 and all(len(p) <= op12_alignment.PIECE for p in left.memo)
+    assert left.fast is not None
+    rng = random.Random(2)
+    marks = "aZé ßΩж日の’—\n  .,'s't're1٣²½\t\u00a0\u2003😀́"
+    texts = ODD + ["".join(rng.choice(marks) for _ in range(rng.randint(1, 80))) for _ in range(3000)] + [" " * 5000 + "x", "ab" * 50_000]
+    for t in texts:
+        assert left.ids(" " + t) == models[0].encode(" " + t, add_special_tokens=False).ids
