@@ -176,15 +176,15 @@ def intervals(r: Readings, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> D
     return pairs.groupBy(*by, "seconds").agg(F.sum("n").alias("n"))
 
 
-def sampling(r: Readings, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> DataFrame:
-    """``typical_interval`` (upper median), ``gaps`` (strictly more than 3 times that) and ``max_gap``.
+def sampling_of(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``typical_interval`` (upper median), ``gaps`` (strictly more than 3 times that) and ``max_gap`` of a histogram of gaps.
 
     The windows see one row per distinct interval.  These add up to the length of the time line, so a group of
     k distinct intervals spans at least k * k / 2 seconds, which bounds k.
     """
     group = Window.partitionBy(*by)
     upto = group.orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = intervals(r, by, limit).withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
+    ranked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
     middle = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("seconds"))).over(group)
     ranked = ranked.withColumn("typical_interval", middle)
     gap = F.col("seconds") > F.col("typical_interval") * GAP_FACTOR
@@ -194,6 +194,11 @@ def sampling(r: Readings, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> Da
     )
 
 
+def sampling(r: Readings, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> DataFrame:
+    """What :func:`sampling_of` tells of the gaps between neighbouring timestamps."""
+    return sampling_of(intervals(r, by, limit), by)
+
+
 def stats(
     r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), order: str = "arrival",
     limit: int = GROUP_ROWS,

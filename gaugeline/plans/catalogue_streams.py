@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from ..operators.filters import FilterSpec
 from ..operators.updates import Update, apply_updates
 from ..session import fresh_path
 from ..streaming import changes, ring, running
-from .catalogue import EV, ERR, LATEST, LATEST_COLUMNS, QUARTS, _changes_sql, register, rounded
+from ..streaming.source import stream_readings
+from .catalogue import EV, ERR, LATEST, LATEST_COLUMNS, QUARTS, _changes_sql, _sampling_sql, register, rounded
 from .tables import EVENT_ERRORS, event_rows, events, table
 
 
@@ -24,10 +26,10 @@ def event_stream(spark, sf) -> Readings:
     return replace(r, df=df.withColumn("k", F.regexp_extract("props", r'"k": ([0-9]+)', 1)))
 
 
-def _complete(df: DataFrame) -> DataFrame:
+def _complete(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, "running")
-    running.write_running(df, path, fresh_path(spark, "state")).awaitTermination()
+    running.write_running(df, path, fresh_path(spark, "state"), keys=keys).awaitTermination()
     return running.read_latest(spark, path)
 
 
@@ -49,7 +51,7 @@ def stream_count(spark, sf):
       FROM ev GROUP BY 1, 2""",
 )
 def stream_counts(spark, sf):
-    return _complete(running.running_counts(event_stream(spark, sf), "sensor", period="week"))
+    return _complete(running.running_counts(event_stream(spark, sf), "sensor", period="week"), ["sensor", "week"])
 
 
 @register(
@@ -61,21 +63,22 @@ def stream_counts(spark, sf):
         round(q3 - q1, 6) AS iqr FROM q""",
 )
 def stream_stats(spark, sf):
-    return rounded(_complete(running.running_stats(event_stream(spark, sf), by=["sensor"], exact=True)))
+    return rounded(_complete(running.running_stats(event_stream(spark, sf), by=["sensor"], exact=True), ["sensor", "column"]))
 
 
 @register("stream_latest", f"{LATEST} SELECT {LATEST_COLUMNS} FROM l")
 def stream_latest(spark, sf):
-    return _complete(running.running_latest(event_stream(spark, sf)))
+    return _complete(running.running_latest(event_stream(spark, sf)), ["sensor_id"])
 
 
 @register(
     "stream_errors",
     f"""{EV}, e AS (SELECT ({ERR}) AS description FROM ev)
-      SELECT description, count(*) AS count FROM e WHERE description IS NOT NULL GROUP BY description""",
+      SELECT description, count(*) AS count FROM e WHERE description IS NOT NULL GROUP BY description
+      UNION ALL SELECT '(total)', count(*) FROM e WHERE description IS NOT NULL""",
 )
 def stream_errors(spark, sf):
-    return _complete(running.running_errors(event_stream(spark, sf), EVENT_ERRORS))
+    return _complete(running.running_errors(event_stream(spark, sf), EVENT_ERRORS, total=True), ["description"])
 
 
 @register(
@@ -133,9 +136,10 @@ KEPT, PRELOADED = 20, 12
         UNION ALL SELECT sensor_id, timestamp, event_id, value, 1 FROM ev WHERE timestamp >= {SPLIT}),
       k AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY timestamp DESC, event_id DESC) AS rn,
         max(fresh) OVER (PARTITION BY sensor_id) AS live FROM a)
-      SELECT sensor_id, CAST(count(*) AS INTEGER) AS points, CAST(count(*) FILTER (WHERE fresh = 0) AS INTEGER) AS historical,
-        min(value) AS min_value, max(value) AS max_value, max(timestamp) AS last_timestamp
-      FROM k WHERE rn <= {KEPT} AND live = 1 GROUP BY sensor_id""",
+      SELECT sensor_id, timestamp, value, CAST(KEEP - rn AS INTEGER) AS pos, fresh = 0 AS historical, min(value) OVER s AS min_value,
+        max(value) OVER s AS max_value
+      FROM (SELECT *, count(*) OVER (PARTITION BY sensor_id) AS KEEP FROM k WHERE rn <= {KEPT} AND live = 1)
+      WINDOW s AS (PARTITION BY sensor_id)""",
 )
 def stream_last_n(spark, sf):
     past, live = events(spark, sf), event_stream(spark, sf)
@@ -145,6 +149,52 @@ def stream_last_n(spark, sf):
     query = ring.write_last_points(live, path, fresh_path(spark, "state"), KEPT, ring.history(past, PRELOADED))
     query.awaitTermination()
     rings = ring.read_last_points(spark, path)
-    return rings.select(
-        "sensor_id", "points", "historical", "min_value", "max_value", F.array_max("timestamps").alias("last_timestamp")
-    )
+    points = F.arrays_zip("timestamps", "readings")
+    each = rings.select("sensor_id", "historical", "min_value", "max_value", F.posexplode(points).alias("pos", "p"))
+    return each.select(
+        "sensor_id", F.col("p.timestamps").alias("timestamp"), F.col("p.readings").alias("value"), "pos",
+        (F.col("pos") < F.col("historical")).alias("historical"), "min_value", "max_value")
+
+
+def _segments(spark, sf, parts: int, stamped: bool = True) -> str:
+    """The events as JSON lines in so many files, written one after the other in the order of their ids."""
+    source = fresh_path(spark, "text")
+    ev = event_rows(events(spark, sf))
+    ends = ev.agg(F.max("event_id")).first()[0] + 1
+    names = ["event_id", "sensor_id", "sensor", "value", *(["timestamp"] if stamped else [])]
+    for part in range(parts):
+        low, high = part * ends // parts, (part + 1) * ends // parts
+        rows = ev.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+        line = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), F.col(n).cast("string")) if n in ("event_id", "value", "timestamp")
+                                                        else F.concat(F.lit(f'"{n}": "'), F.col(n), F.lit('"')) for n in names]), F.lit("}"))
+        rows.orderBy("event_id").coalesce(1).select(line.alias("value")).write.mode("append").text(source)
+    return source
+
+
+@register(
+    "stream_text_changes",
+    _changes_sql(EV, "sensor_id", "event_id", "ev")
+    + """SELECT g.sensor_id, part, n_changes, round(change_min, 9) AS change_min, round(change_max, 9) AS change_max,
+      round(change_mean, 9) AS change_mean, round(volatility, 9) AS volatility, round(jump_size, 9) AS jump_size,
+      round(jump_from, 9) AS jump_from, round(jump_to, 9) AS jump_to
+      FROM g LEFT JOIN j ON j.k = 1 AND j.sensor_id = g.sensor_id, (VALUES (1), (7)) AS p(part)""",
+)
+def stream_text_changes(spark, sf):
+    """Changes in the order of arrival of text without timestamps, in one batch and in seven: the same."""
+    source, found = _segments(spark, sf, 7, stamped=False), None
+    for batches, files in ((1, 7), (7, 1)):
+        path = fresh_path(spark, "changes")
+        stream = stream_readings(spark, source, max_files=files)
+        changes.write_changes(stream, path, fresh_path(spark, "state"), by_time=False).awaitTermination()
+        one = rounded(changes.read_changes(spark, path), 9).drop("count", "first_ts", "last_ts").withColumn("part", F.lit(batches))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@register("stream_sampling", _sampling_sql("sensor_id"))
+def stream_sampling(spark, sf):
+    """Sampling gaps of events that arrive as text in five parts."""
+    path = fresh_path(spark, "gaps")
+    stream = stream_readings(spark, _segments(spark, sf, 5), max_files=1)
+    changes.write_sampling(stream, path, fresh_path(spark, "state")).awaitTermination()
+    return changes.read_sampling(spark, path)

@@ -1,9 +1,12 @@
-"""Running changes per sensor: deltas, the largest jump and the time line so far.
+"""Running changes per sensor: deltas, the largest jump, the time line and the sampling gaps so far.
 
 Each micro-batch is summarised with the batch operators, which cut up sensors that have too much data for one
-task, and the summaries are merged into a table with one row per sensor.  The table of batch n is computed from
-that of the previous batch and the data of batch n alone and is written under the number n, so repeating a
-batch after a failure gives the same table.
+task, and the summaries are merged into a kept table with one row per sensor, of which a batch writes the rows of its own
+sensors.  A row of batch n is computed from that of the batches before and the data of batch n alone and is written under
+the number n, so repeating a batch after a failure gives the same table.
+
+Within a batch readings are taken in the order of their timestamps or of their arrival; batches follow each other.  In arrival
+order the result does not depend on how the files are dealt out to batches.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from pyspark.sql import functions as F
 from ..model import Readings
 from ..operators import stats
 from ..operators.ordered import change_summary
-from .running import read_latest, version_path, versions
+from .running import read_latest
+from .source import in_order
+from .store import Kept
 
 STATE = (
     "sensor_id", "count", "first_ts", "last_ts", "head", "tail", "n_changes", "change_min", "change_max", "change_mean",
@@ -24,16 +29,19 @@ STATE = (
 )
 
 
-def summarise(r: Readings, field: str = "value") -> DataFrame:
+def summarise(r: Readings, field: str = "value", by_time: bool = True) -> DataFrame:
     """One row per sensor of a batch, in the form that :func:`merge` combines.
 
-    Readings are taken in the order of their timestamps.
+    Readings are taken in the order of their timestamps, or else in that of their arrival.
     """
     df = r.df.withColumn("sensor_id", r.field("sensor_id")).withColumn("_v", r.number(field))
     df = df.withColumn("_ts", F.coalesce(r.timestamp(), F.lit(0).cast("bigint")))
-    order = ["_ts", *r.order]
-    rows = df.where(F.col("sensor_id").isNotNull() & F.col("_v").isNotNull()).select("sensor_id", "_v", *order)
-    levels = [[F.shiftright("_ts", stats.TIME_BITS)], *[[F.col("_ts"), *level] for level in r.arrival_levels()]]
+    order = ["_ts", *r.order] if by_time else list(r.order)
+    kept = list(dict.fromkeys([*order, "_ts"]))
+    rows = df.where(F.col("sensor_id").isNotNull() & F.col("_v").isNotNull()).select("sensor_id", "_v", *kept)
+    levels = r.arrival_levels()
+    if by_time:
+        levels = [[F.shiftright("_ts", stats.TIME_BITS)], *[[F.col("_ts"), *level] for level in levels]]
     changes = change_summary(rows, ["sensor_id"], "_v", order, levels)
     placed = F.struct(*order, F.col("_v").alias("v"))
     present = F.when(F.col("_ts") > 0, F.col("_ts"))
@@ -105,16 +113,21 @@ def report(state: DataFrame) -> DataFrame:
     return state.withColumn("volatility", volatility).drop("head", "tail", "spread")
 
 
-def write_changes(r: Readings, path: str, checkpoint: str, field: str = "value", trigger: dict | None = None):
-    """Start the query; ``report(read_latest(spark, path))`` gives the result so far."""
-    spark = r.df.sparkSession
+def write_changes(
+    r: Readings, path: str, checkpoint: str, field: str = "value", trigger: dict | None = None, by_time: bool = True
+):
+    """Start the query; ``read_changes(spark, path)`` gives the result so far."""
+    kept = Kept(r.df.sparkSession, path, ["sensor_id"])
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        found = summarise(replace(r, df=batch), field)
-        earlier = [v for v in versions(spark, path) if v < batch_id]
-        if earlier:
-            found = merge(spark.read.parquet(version_path(path, earlier[-1])), found)
-        found.write.mode("overwrite").parquet(version_path(path, batch_id))
+        if kept.finished(batch_id):
+            return
+        found = summarise(in_order(r, batch), field, by_time)
+        before = kept.read(batch_id)
+        if before is not None:
+            # Only the sensors of this batch change.
+            found = merge(before.join(found.select("sensor_id"), "sensor_id", "left_semi"), found)
+        kept.write(found, batch_id)
 
     writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -122,3 +135,53 @@ def write_changes(r: Readings, path: str, checkpoint: str, field: str = "value",
 
 def read_changes(spark, path: str) -> DataFrame:
     return report(read_latest(spark, path))
+
+
+# -- sampling gaps ---------------------------------------------------------------------------------------------
+
+GAP_KEYS = ("sensor_id", "seconds")
+
+
+def batch_gaps(r: Readings, before: DataFrame | None) -> DataFrame:
+    """``sensor_id, seconds, n, last_ts``: the time differences that a batch adds, with that to the batch before it.
+
+    The last timestamp of a sensor so far is the row without ``seconds``.
+    """
+    named = r.with_df(r.df.where(r.field("sensor_id").isNotNull()))
+    inside = stats.intervals(named, ["sensor_id"]).select("sensor_id", "seconds", "n", F.lit(None).cast("bigint").alias("last_ts"))
+    nothing = F.lit(None).cast("bigint")
+    times = named.df.select(named.field("sensor_id").alias("sensor_id"), named.timestamp().alias("ts")).where("ts is not null")
+    ends = times.groupBy("sensor_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    if before is None:
+        return inside.union(ends.select("sensor_id", nothing, nothing, "last"))
+    known = before.where("seconds is null").select("sensor_id", F.col("last_ts").alias("until"))
+    ends = ends.join(known, "sensor_id", "left")
+    # A batch that begins before the last one's end is late; its distance counts all the same.
+    border = ends.where("until is not null").select(
+        "sensor_id", F.abs(F.col("first") - F.col("until")).alias("seconds"), F.lit(1).cast("bigint").alias("n"), nothing.alias("last_ts"))
+    last = ends.select("sensor_id", nothing.alias("seconds"), nothing.alias("n"), F.greatest("last", "until").alias("last_ts"))
+    added = inside.union(border).groupBy("sensor_id", "seconds").agg(F.sum("n").alias("n"))
+    old = before.where("seconds is not null").select("sensor_id", "seconds", F.col("n").alias("so_far"))
+    counted = added.join(old, list(GAP_KEYS), "left").select(
+        "sensor_id", "seconds", (F.col("n") + F.coalesce("so_far", F.lit(0))).alias("n"), nothing.alias("last_ts"))
+    return counted.union(last)
+
+
+def write_sampling(r: Readings, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start a query that counts the differences between neighbouring timestamps of every sensor.
+
+    Timestamps are sorted within a batch, and batches follow each other.  A batch writes the counts that it changed.
+    """
+    kept = Kept(r.df.sparkSession, path, GAP_KEYS)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        if not kept.finished(batch_id):
+            kept.write(batch_gaps(replace(r, df=batch), kept.read(batch_id)), batch_id)
+
+    writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_sampling(spark, path: str) -> DataFrame:
+    """``sensor_id, typical_interval, gaps, max_gap`` so far."""
+    return stats.sampling_of(read_latest(spark, path).where("seconds is not null").select("sensor_id", "seconds", "n"), ["sensor_id"])

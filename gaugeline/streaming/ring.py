@@ -1,84 +1,29 @@
-"""The last points of every sensor, kept while a stream runs."""
+"""The last points of every sensor, kept while a stream runs.
+
+A micro-batch is cut down to the newest points of each sensor first, in rounds over groups of tasks, so a sensor with a third
+of all readings does not bring them to one task.  What is left, at most ``size`` points per sensor, is put behind the points
+that were kept, and the oldest drop out.  A batch writes the sensors that got new points.
+"""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import Readings
 from ..operators.ordered import first_n
 from ..operators.series import BUCKETS, series
 from ..session import fresh_path
-from .running import version_path
+from .source import in_order
+from .store import Kept
 
 RING_SIZE = BUCKETS
 PRELOADED = 200
 
-STATE_SCHEMA = "timestamps array<bigint>, readings array<double>, historical int"
-OUTPUT_SCHEMA = (
-    "sensor_id string, points int, historical int, min_value double, max_value double, "
-    "timestamps array<bigint>, readings array<double>"
-)
-STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-# Python workers get the processor itself, as this package need not be installed where they run.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-class LastPoints(StatefulProcessor):
-    """Holds at most ``size`` points per sensor; preloaded ones are counted as historical until they drop out."""
-
-    def __init__(self, size: int = RING_SIZE) -> None:
-        self.size = size
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", STATE_SCHEMA)
-
-    def _load(self):
-        if not self.ring.exists():
-            return [], [], 0
-        timestamps, readings, historical = self.ring.get()
-        return list(timestamps), list(readings), int(historical)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        timestamps, readings, historical = self._load()
-        # Newest points of this batch, chunk by chunk, so that no more than a chunk and a ring are held.
-        recent = pd.DataFrame({"timestamp": [], "value": []})
-        arrived = 0
-        for chunk in rows:
-            arrived += len(chunk)
-            both = pd.concat([recent, chunk[["timestamp", "value"]]]) if len(recent) else chunk[["timestamp", "value"]]
-            recent = both.sort_values("timestamp", kind="stable").tail(self.size)
-        overflow = max(0, len(readings) + arrived - self.size)
-        historical = max(0, historical - overflow)
-        timestamps = (timestamps + [int(t) for t in recent["timestamp"]])[-self.size :]
-        readings = (readings + [float(v) for v in recent["value"]])[-self.size :]
-        self.ring.update((timestamps, readings, historical))
-        yield pd.DataFrame({
-            "sensor_id": [key[0]], "points": [len(readings)], "historical": [historical], "min_value": [min(readings)],
-            "max_value": [max(readings)], "timestamps": [timestamps], "readings": [readings],
-        })
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        timestamps = [int(t) for t in row["timestamps"]][-self.size :]
-        readings = [float(v) for v in row["readings"]][-self.size :]
-        self.ring.update((timestamps, readings, len(readings)))
-
-    def close(self) -> None:
-        pass
-
 
 def history(r: Readings, n: int = PRELOADED) -> DataFrame:
-    """The last n points of each sensor of a batch frame, as a state to start from."""
+    """The last n points of each sensor of a batch frame: ``sensor_id, timestamps, readings``, oldest first."""
     rows = first_n(series(r, None, r.order), ["sensor_id"], [F.col(c).desc() for c in ("timestamp", *r.order)], n)
     points = F.array_sort(F.collect_list(F.struct("timestamp", *r.order, "value")))
     rings = rows.groupBy("sensor_id").agg(points.alias("p"))
@@ -88,36 +33,73 @@ def history(r: Readings, n: int = PRELOADED) -> DataFrame:
     )
 
 
-def last_points(r: Readings, size: int = RING_SIZE, preloaded: DataFrame | None = None) -> DataFrame:
-    """A streaming frame with the ring of each sensor that got new points (update mode)."""
-    grouped = series(r).groupBy("sensor_id")
-    initial = None if preloaded is None else preloaded.groupBy("sensor_id")
-    return grouped.transformWithStateInPandas(LastPoints(size), OUTPUT_SCHEMA, "Update", "None", initialState=initial)
+def _ring(size: int, timestamps, readings, historical) -> list:
+    """The last ``size`` points; historical ones are the oldest, so they drop out first."""
+    surplus = F.greatest(F.size(readings) - size, F.lit(0))
+    return [
+        F.slice(timestamps, surplus + 1, F.lit(size)).alias("timestamps"), F.slice(readings, surplus + 1, F.lit(size)).alias("readings"),
+        F.greatest(historical - surplus, F.lit(0)).cast("int").alias("historical"),
+    ]
+
+
+def merged(before: DataFrame | None, recent: DataFrame, size: int) -> DataFrame:
+    """The rings of the sensors in ``recent``, behind what was kept of them."""
+    if before is None:
+        found = recent.withColumn("historical", F.lit(0))
+    else:
+        old = before.select(
+            "sensor_id", F.col("timestamps").alias("_timestamps"), F.col("readings").alias("_readings"), F.col("historical").alias("_historical"))
+        joined = recent.join(old, "sensor_id", "left")
+        found = joined.select(
+            "sensor_id", F.concat(F.coalesce("_timestamps", F.array().cast("array<bigint>")), "timestamps").alias("timestamps"),
+            F.concat(F.coalesce("_readings", F.array().cast("array<double>")), "readings").alias("readings"),
+            F.coalesce("_historical", F.lit(0)).alias("historical"))
+    return found.select("sensor_id", *_ring(size, F.col("timestamps"), F.col("readings"), F.col("historical")))
+
+
+def described(rings: DataFrame) -> DataFrame:
+    return rings.select(
+        "sensor_id", F.size("readings").alias("points"), "historical", F.array_min("readings").alias("min_value"),
+        F.array_max("readings").alias("max_value"), "timestamps", "readings")
 
 
 def write_last_points(
     r: Readings, path: str, checkpoint: str, size: int = RING_SIZE, preloaded: DataFrame | None = None,
     trigger: dict | None = None,
 ):
-    """Start the query; every micro-batch writes the rings that changed as one version."""
+    """Start the query; every micro-batch writes the rings that changed as one version.
+
+    ``preloaded`` rings (``history``) count as historical until they drop out.
+    """
     spark: SparkSession = r.df.sparkSession
-    spark.conf.set(STORE_CONF, ROCKSDB)
+    kept = Kept(spark, path, ["sensor_id"])
+    start = None
     if preloaded is not None:
-        # Written once: places of rows in files cannot be computed inside a streaming plan.
+        # Written once, so that every batch that needs it reads the same.
         written = fresh_path(spark, "history")
         preloaded.write.parquet(written)
-        preloaded = spark.read.parquet(written)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(version_path(path, batch_id))
-
-    frame = last_points(r, size, preloaded)
-    writer = frame.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+        first = spark.read.parquet(written).withColumn("historical", F.size("readings"))
+        start = first.select("sensor_id", *_ring(size, F.col("timestamps"), F.col("readings"), F.col("historical")))
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        if kept.finished(batch_id):
+            return
+        recent = history(in_order(r, batch), size)
+        before = kept.read(batch_id)
+        if before is not None:
+            before = before.select("sensor_id", "timestamps", "readings", "historical")
+        if start is not None:
+            before = start if before is None else before.union(
+                start.join(before.select("sensor_id"), "sensor_id", "left_anti").select(*before.columns))
+        kept.write(described(merged(before, recent, size)), batch_id)
+
+    writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_last_points(spark: SparkSession, path: str) -> DataFrame:
-    """The newest ring of every sensor."""
-    rows = spark.read.parquet(path)
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("version", "sensor_id")]), "version")
-    return rows.groupBy("sensor_id").agg(newest.alias("x")).select("sensor_id", "x.*")
+    """The newest ring of every sensor that got points."""
+    found = Kept(spark, path).read()
+    if found is None:
+        raise FileNotFoundError(f"no finished version in {path}")
+    return found

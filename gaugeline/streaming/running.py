@@ -17,6 +17,7 @@ from ..operators import counts, errors, stats
 from ..operators.filters import FilterSpec, apply_filter
 from ..operators.quantiles import SKETCH_ACCURACY
 from ..operators.unique import content
+from .store import Kept
 
 
 def running_count(r: Readings) -> DataFrame:
@@ -31,8 +32,11 @@ def running_latest(r: Readings) -> DataFrame:
     return counts.latest(r, ordered=False)
 
 
-def running_errors(r: Readings, definitions=errors.BUILTIN) -> DataFrame:
-    return errors.summarise_errors(r, definitions, total=False)
+def running_errors(r: Readings, definitions: errors.Definitions = errors.BUILTIN, total: bool = False) -> DataFrame:
+    """Readings per error description; ``total`` adds a row for all of them."""
+    found = errors.with_error(r, definitions).df.where(F.col("_error").isNotNull())
+    names = F.explode(F.array("_error", F.lit(errors.TOTAL))) if total else F.col("_error")
+    return found.select(names.alias("description")).groupBy("description").agg(F.count(F.lit(1)).alias("count"))
 
 
 def running_stats(
@@ -85,43 +89,26 @@ def running_filter(r: Readings, spec: FilterSpec, watermark: tuple[str, str] | N
 # -- keeping results -------------------------------------------------------------------------------------------
 
 
-def version_path(path: str, version: int) -> str:
-    return f"{path}/version={version}"
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a result, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return []
-    found = []
-    for status in system.listStatus(root):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and system.exists(done):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
-
-
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a running result."""
-    found = versions(spark, path)
-    if not found:
+    """The newest finished state of a running result."""
+    found = Kept(spark, path).read()
+    if found is None:
         raise FileNotFoundError(f"no finished version in {path}")
-    return spark.read.parquet(version_path(path, found[-1]))
+    return found
 
 
-def write_running(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Start a query which writes the complete result of every micro-batch as a version of its own.
+def write_running(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keys: Sequence[str] | None = None):
+    """Start a query which keeps the result so far (``read_latest``).
 
-    A repeated batch overwrites its version, so the result survives failures.
+    With the ``keys`` of the result, a micro-batch writes the rows that it changed; without, the whole result.  A repeated
+    batch finds its version finished or writes it anew, so the result survives failures.
     """
+    kept = Kept(df.sparkSession, path, keys or ())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(version_path(path, batch_id))
+        kept.write(batch, batch_id)
 
-    writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = df.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

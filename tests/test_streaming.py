@@ -10,7 +10,7 @@ from gaugeline.operators import counts, stats
 from gaugeline.operators.errors import summarise_errors
 from gaugeline.session import fresh_path
 from gaugeline.sources.readings import read_readings
-from gaugeline.streaming import changes, ring, running
+from gaugeline.streaming import changes, ring, running, store
 from gaugeline.streaming.source import stream_readings
 
 from .helpers import fields, json_lines, write
@@ -48,6 +48,92 @@ def test_running_results_equal_batch_results(spark, log):
     assert complete(spark, running.running_errors(stream)) == sorted(summarise_errors(batch, total=False).collect())
 
 
+def test_changed_rows_give_the_same_as_whole_results(spark, log):
+    batch, stream = read_readings(spark, log), stream_readings(spark, log, max_files=1)
+    for df, keys, wanted in (
+        (running.running_latest(stream), ["sensor_id"], counts.latest(batch)),
+        (running.running_counts(stream, "sensor_id", period="day"), ["sensor_id", "day"], counts.count_by(batch, "sensor_id", period="day")),
+        (running.running_errors(stream, total=True), ["description"], summarise_errors(batch)),
+    ):
+        path = fresh_path(spark, "result")
+        running.write_running(df, path, fresh_path(spark, "state"), keys=keys).awaitTermination()
+        assert sorted(running.read_latest(spark, path).collect()) == sorted(wanted.collect())
+
+
+def files_in(path):
+    import os
+
+    return [os.path.join(d, f) for d, _, names in os.walk(path.removeprefix("file:")) for f in names]
+
+
+def test_a_kept_result_stays_small(spark):
+    path = fresh_path(spark, "kept")
+    kept = store.Kept(spark, path, ["k"])
+    sizes = []
+    for version in range(50):
+        rows = [(None if i == 0 else f"k{i}", version) for i in range(20) if (i + version) % 3 == 0]
+        kept.write(spark.createDataFrame(rows, "k string, n int").coalesce(1), version)
+        sizes.append(len(files_in(path)))
+        assert len(kept.manifests()) <= 2
+    # Two versions: their deltas, and the manifests; two files per folder, each with a checksum.
+    assert max(sizes[25:]) <= 4 * (2 * store.DELTAS + 2) and max(sizes[25:]) == max(sizes[10:25])
+    wanted = {(None if i == 0 else f"k{i}"): max(v for v in range(50) if (i + v) % 3 == 0) for i in range(20)}
+    assert {r["k"]: r["n"] for r in store.Kept(spark, path).read().collect()} == wanted
+    assert {r["n"] for r in kept.read(49).collect()} <= set(range(49))
+
+
+def test_unfinished_versions_are_not_read(spark):
+    path = fresh_path(spark, "kept")
+    kept = store.Kept(spark, path, ["k"])
+    assert kept.read() is None
+    with pytest.raises(FileNotFoundError):
+        running.read_latest(spark, path)
+    kept.write(spark.createDataFrame([("a", 1)], "k string, n int"), 0)
+    # A folder without a manifest: the batch failed before it was done.
+    spark.createDataFrame([("a", 99)], "k string, n int").write.parquet(store.version_path(path, 1))
+    assert [tuple(r) for r in kept.read().collect()] == [("a", 1)]
+    kept.write(spark.createDataFrame([("a", 2)], "k string, n int"), 1)
+    assert [tuple(r) for r in kept.read().collect()] == [("a", 2)]
+    # A batch that is repeated although it was finished changes nothing.
+    kept.write(spark.createDataFrame([("a", 3)], "k string, n int"), 1)
+    assert [tuple(r) for r in kept.read().collect()] == [("a", 2)]
+
+
+@pytest.mark.parametrize("files", [1, 2, 6])
+def test_arrival_order_of_text_without_times(spark, tmp_path, files):
+    """Names and timestamps say nothing of the order, only when the files were written and the places in them."""
+    import os
+
+    wanted = []
+    for i, name in enumerate("fbdaec"):
+        rows = [{"sensor_id": "s", "value": (i * 37 + j * j * 11) % 101, "timestamp": 5} for j in range(30)]
+        wanted += [r["value"] for r in rows]
+        path = write(tmp_path / "in" / f"{name}.out", json_lines(rows[:15]) + "[" + ",".join(json.dumps(r) for r in rows[15:]) + "]\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    path = fresh_path(spark, "changes")
+    stream = stream_readings(spark, str(tmp_path / "in"), max_files=files)
+    changes.write_changes(stream, path, fresh_path(spark, "state"), by_time=False).awaitTermination()
+    steps = [abs(b - a) for a, b in zip(wanted, wanted[1:])]
+    found = changes.read_changes(spark, path).first()
+    at = steps.index(max(steps))
+    assert (found["n_changes"], found["change_max"], found["jump_from"], found["jump_to"]) == (179, max(steps), wanted[at], wanted[at + 1])
+    assert found["change_mean"] == pytest.approx(sum(steps) / len(steps))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_sampling_gaps(spark, tmp_path, files):
+    times = {"a": [T0 + 60 * i + (i > 50) * 900 + (i > 51) * 5000 for i in range(100)], "b": [T0 + 7 * (i // 2) for i in range(60)], "c": [T0]}
+    for i in range(4):
+        rows = [{"sensor_id": s, "value": 1, "timestamp": t} for s, ts in times.items() for t in ts[i * 25:(i + 1) * 25]]
+        write(tmp_path / "in" / f"{i}.out", json_lines(rows + [{"sensor_id": "d", "value": 1}]))
+    path = fresh_path(spark, "gaps")
+    changes.write_sampling(stream_readings(spark, str(tmp_path / "in"), max_files=files), path, fresh_path(spark, "state")).awaitTermination()
+    found = {x["sensor_id"]: tuple(x)[1:] for x in changes.read_sampling(spark, path).collect()}
+    batch = stats.sampling(read_readings(spark, str(tmp_path / "in")), by=["sensor_id"])
+    assert found == {x["sensor_id"]: tuple(x)[1:] for x in batch.collect()}
+    assert found["a"] == (60, 2, 5060)
+
+
 def test_running_stats(spark, log):
     batch, stream = read_readings(spark, log), stream_readings(spark, log, max_files=1)
     found = complete(spark, running.running_stats(stream, by=["sensor_id"], exact=True))
