@@ -12,6 +12,13 @@ def cleaned_values(table: DataFrame) -> DataFrame:
     return table.select(value.alias("_value")).where(F.col("_value") != "").distinct()
 
 
+def refusing_empty(values: DataFrame) -> DataFrame:
+    """``_value`` as it is; running it fails when there are none, so that an empty file does not reject everything."""
+    nothing = values.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 0)
+    refused = F.raise_error(F.lit("empty list of allowed values")).cast("string")
+    return values.union(nothing.select(F.when(F.col("_n") == 0, refused).alias("_value")))
+
+
 def flag_in(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
     """Add the BOOLEAN column ``name``: is ``key`` among the values of ``table``?  None are in an empty table.
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions.text import json_scalar
 from ..model import Readings
 from ..operators import counts, errors, stats
+from ..operators.columns import widen
 from ..operators.filters import FilterSpec, apply_filter
 from ..operators.unique import unique
 from ..session import fresh_path
 from ..sinks import text
-from ..sources.readings import open_log, read_readings, stage
+from ..sources.error_definitions import error_definitions
+from ..sources.readings import allowed_values, list_errors, open_log, read_readings, stage
 from .catalogue import BASIC, EV, ERR, QUARTS, LATEST, LATEST_COLUMNS, register, rounded
 from .tables import EVENT_ERRORS, event_rows, events
 
@@ -217,3 +222,160 @@ def parquet_export(spark, sf):
     path = fresh_path(spark, "export")
     text.write_parquet(_plain(spark, sf), path)
     return spark.read.parquet(path).withColumn("value", F.col("value").cast("double"))
+
+
+# -- discovery, configuration files, line numbers --------------------------------------------------------------
+
+
+def log_by_sensor(spark, sf) -> str:
+    """A directory per sensor with one JSON log, in the order of events."""
+    path = fresh_path(spark, "events-by-sensor")
+    r = _plain(spark, sf)
+    lines = text.rendered_json(r, keep=["event_id"]).withColumnRenamed("line", "value")
+    lines = lines.withColumn("kind", F.regexp_extract("value", '"sensor": "([a-z]+)"', 1))
+    lines.repartition("kind").sortWithinPartitions("kind", "event_id").select("value", "kind").write.partitionBy("kind").text(path)
+    return path
+
+
+@register(
+    "read_discovery",
+    f"""{EV}, n AS (SELECT sensor, count(*) AS n FROM ev GROUP BY sensor)
+      SELECT 'deep' AS how, sensor, n AS count FROM n UNION ALL SELECT 'txt', sensor, n FROM n
+      UNION ALL SELECT 'one', sensor, n FROM n WHERE sensor = 'view'""",
+)
+def read_discovery(spark, sf):
+    """What a directory of directories gives: all of it, nothing without going down, nothing of another extension, one directory."""
+    path, found = log_by_sensor(spark, sf), None
+    ways = {
+        "deep": (path, {"recursive": True}), "txt": (path, {"recursive": True, "extension": "txt", "max_depth": 1}), "flat": (path, {}),
+        "top": (path, {"recursive": True, "max_depth": 0}), "log": (path, {"recursive": True, "extension": ".log"}), "one": (f"{path}/kind=view", {}),
+    }
+    for how, (where, options) in ways.items():
+        r = read_readings(spark, where, format="json", **options)
+        one = counts.count_by(r, "sensor", ordered=False).withColumn("how", F.lit(how))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@register(
+    "read_list_errors",
+    f"""{EV}, n AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY event_id) AS line_no, ({ERR}) AS description FROM ev)
+      SELECT sensor, line_no, sensor_id, round(value, 6) AS value, description FROM n WHERE description IS NOT NULL""",
+)
+def read_list_errors(spark, sf):
+    """Error readings with the numbers of their lines."""
+    log = open_log(spark, log_by_sensor(spark, sf), format="json", recursive=True)
+    found = list_errors(log, EVENT_ERRORS)
+    return rounded(found.select("sensor", "line_no", "sensor_id", F.col("value").cast("double").alias("value"), "description"))
+
+
+def _config(spark, name: str, files: dict[str, list[str]]) -> str:
+    """A configuration directory with a few small files."""
+    path = fresh_path(spark, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file, lines in files.items():
+        out = system.create(spark._jvm.org.apache.hadoop.fs.Path(path, file), True)
+        out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
+        out.close()
+    return path
+
+
+@register(
+    "read_error_definitions",
+    f"""{EV}, e AS (SELECT CASE WHEN sensor = 'view' AND k = '5' THEN 'five: seen' WHEN sensor = 'view' AND k = '7' THEN 'seven'
+        WHEN sensor = 'click' AND k = '7' THEN 'clicked' END AS description FROM ev)
+      SELECT description, count(*) AS count FROM e WHERE description IS NOT NULL GROUP BY description
+      UNION ALL SELECT '(total)', count(*) FROM e WHERE description IS NOT NULL""",
+)
+def read_error_definitions(spark, sf):
+    path = _config(spark, "definitions", {
+        "VIEW.errors": ["# codes of views", " k : 5 : five: seen ", "k:7:seven", "k:7:not the first", "k:8:", "k:9", ""], "click.errors": ["k:7:clicked"],
+        "notes.txt": ["k:1:no definition"]})
+    return errors.summarise_errors(events(spark, sf), error_definitions(spark, path))
+
+
+@register(
+    "read_allowed_file",
+    f"""{EV} SELECT event_id, sensor_id, sensor, value, timestamp, k FROM ev WHERE CAST(sensor_id AS INTEGER) % 3 = 0""",
+)
+def read_allowed_file(spark, sf):
+    """Readings of the sensors that a file names, one per line, with blanks around them and empty lines between."""
+    r = events(spark, sf)
+    path = fresh_path(spark, "allowed")
+    named = r.df.select(r.field("sensor_id").alias("id")).where(F.col("id").cast("int") % 3 == 0).distinct()
+    named.select(F.explode(F.array(F.concat(F.lit("  "), "id", F.lit("\t")), F.lit(" "))).alias("value")).write.text(path)
+    return event_rows(apply_filter(r, FilterSpec().allow("sensor_id", allowed_values(spark, path))))
+
+
+@register(
+    "declared_columns",
+    f"""{EV} SELECT CAST(event_id AS VARCHAR) AS event_id, sensor, NULL AS unit FROM ev""",
+)
+def declared_columns(spark, sf):
+    """Columns that were declared: others are dropped, and one that no reading has is there."""
+    return widen(read_readings(spark, json_log(spark, sf), format="json"), ["event_id", "sensor", "unit"])
+
+
+@register(
+    "stats_without_numbers",
+    f"""{EV} SELECT 'numbers' AS what, count(*) AS count FROM (SELECT 1 FROM ev WHERE sensor SIMILAR TO '[0-9.]+' GROUP BY sensor)
+      UNION ALL SELECT 'times', count(*) FROM (SELECT 1 FROM ev HAVING count(*) > 0)""",
+)
+def stats_without_numbers(spark, sf):
+    """A field without numbers gives no row of statistics, though there are times."""
+    r = events(spark, sf)
+    one = F.count(F.lit(1)).alias("count")
+    numbers = stats.stats(r, "sensor").agg(one).withColumn("what", F.lit("numbers"))
+    return numbers.unionByName(stats.time_range(r).agg(one).withColumn("what", F.lit("times")))
+
+
+DATES = {  # layouts of a date by event_id modulo 8, and what is read: D the day, T the time, N nothing
+    "%d/%m/%Y": "D", "%Y-%m-%d": "D", "%Y-%m-%dT%H:%M:%S": "T", "31/02/%Y": "N", "%Y-13-01": "N", "1969-12-%d": "N", "2101-01-%d": "N", "%Y-%m-%dT25:00:00": "N",
+}
+
+
+@register(
+    "parse_dates",
+    f"""{EV}, d AS (SELECT event_id, timestamp AS ts, event_id % {len(DATES)} AS m FROM ev)
+      SELECT event_id, CASE WHEN m IN (0, 1) THEN ts - ts % 86400 WHEN m = 2 THEN ts END AS epoch FROM d""",
+)
+def parse_dates(spark, sf):
+    """Dates in all layouts, and what is none: no such day or month, years out of range, no such hour."""
+    ev = event_rows(events(spark, sf))
+    at = F.timestamp_seconds("timestamp")
+    codes = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%H": "HH", "%M": "mm", "%S": "ss"}
+    texts = [
+        F.concat(*[F.date_format(at, codes[p]) if p in codes else F.lit(p) for p in re.split("(%.)", layout) if p]) for layout in DATES
+    ]
+    text_ = F.element_at(F.array(*texts), (F.col("event_id") % len(DATES) + 1).cast("int"))
+    parsed = F.nullif(dates.parse_date(text_, strict=True), F.lit(0).cast("bigint"))
+    return ev.select("event_id", parsed.alias("epoch"))
+
+
+@register(
+    "json_compact",
+    f"""{EV} SELECT event_id, concat('[{{"event_id":', event_id, ',"k":', k, ',"sensor":"', sensor, '"}}]') AS line FROM ev""",
+)
+def json_compact(spark, sf):
+    r = events(spark, sf)
+    df = r.df.select("event_id", r.field("sensor").alias("sensor"), "k")
+    return text.rendered_json(Readings.typed(df, ["event_id", "sensor", "k"], ["event_id"]), compact=True, keep=["event_id"])
+
+
+@register(
+    "results_as_text",
+    f"""{EV}, n AS (SELECT sensor, count(*) AS count FROM ev GROUP BY sensor)
+      SELECT 'csv' AS form, sensor, count FROM n UNION ALL SELECT 'json', sensor, count FROM n""",
+)
+def results_as_text(spark, sf):
+    """A result table as CSV and as JSON lines, read back."""
+    found = counts.count_by(events(spark, sf), "sensor")
+    csv, json = fresh_path(spark, "result-csv"), fresh_path(spark, "result-json")
+    text.write_result_csv(found, csv)
+    text.write_result_json(found, json)
+    schema = "sensor string, count bigint"
+    return (
+        spark.read.schema(schema).option("header", True).csv(csv).withColumn("form", F.lit("csv"))
+        .unionByName(spark.read.schema(schema).json(json).withColumn("form", F.lit("json")))
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from ..operators.errors import BUILTIN, ErrorDefinition
+from ..operators.errors import BUILTIN, Definitions, ErrorDefinition
 from .files import exists
 from .lines import place
 
@@ -30,8 +30,16 @@ def error_table(spark: SparkSession, directory: str) -> DataFrame:
     return whole.withColumn("rank", F.row_number().over(same).cast("bigint")).select("sensor", "field", "value", "description", "rank", "source", "block", "row")
 
 
+def error_definitions(spark: SparkSession, directory: str | None) -> Definitions:
+    """The definitions of a configuration directory as a table, whatever their number; the built-in ones when there are none."""
+    if directory is None or not exists(spark, directory):
+        return BUILTIN
+    found = error_table(spark, directory)
+    return BUILTIN if found.isEmpty() else found
+
+
 def load_error_definitions(spark: SparkSession, directory: str | None) -> tuple[ErrorDefinition, ...]:
-    """The definitions of a configuration directory as a list; the built-in ones when there are none."""
+    """A few definitions as a list to look at or to change; ``error_definitions`` is for any number of them."""
     if directory is None or not exists(spark, directory):
         return BUILTIN
     found = error_table(spark, directory).orderBy("source", "block", "row").collect()

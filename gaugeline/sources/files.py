@@ -50,9 +50,11 @@ class FileSet:
             if csv is not None and not (csv and self.extension is None):
                 is_csv = F.lower(name).endswith(".csv")
                 frame = frame.where(is_csv if csv else ~is_csv)
-            if self.recursive and self.max_depth is not None:
+            # Without looking below, Spark still goes into directories named like values of a partition column.
+            depth = self.max_depth if self.recursive else 0 if _has_partitions(spark, directory) else None
+            if depth is not None:
                 below = levels_below(F.col("_metadata.file_path"), path_of(spark, directory))
-                frame = frame.where(below <= self.max_depth)
+                frame = frame.where(below <= depth)
             frames.append(frame)
         return frames
 
@@ -76,6 +78,12 @@ def _file_status(spark: SparkSession, path: str):
     return system.getFileStatus(hadoop_path) if system.exists(hadoop_path) else None
 
 
+def _has_partitions(spark: SparkSession, directory: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return any(s.isDirectory() and "=" in s.getPath().getName() for s in found)
+
+
 def path_of(spark: SparkSession, directory: str) -> str:
     return _file_status(spark, directory).getPath().toUri().getPath()
 

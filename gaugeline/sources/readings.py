@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import UTC, day_label
 from ..model import Readings
+from ..operators.errors import BUILTIN, Definitions
+from ..operators.errors import list_errors as errors_of
+from ..operators.lookup import cleaned_values, refusing_empty
 from ..operators.tail import tail_rows
 from .csv_files import read_csv
 from .files import FileSet, collect_files, exists
@@ -81,6 +87,12 @@ class Log:
         return joined.withColumn("line_no", number).drop("before", "first_row", "_header")
 
 
+def list_errors(log: Log, definitions: Definitions = BUILTIN) -> DataFrame:
+    """The error readings of a log with the numbers of their lines."""
+    r = log.readings()
+    return errors_of(r.with_df(log.numbered(r.df)), definitions)
+
+
 def open_log(
     spark: SparkSession, paths: str | Sequence[str], format: str = "auto", recursive: bool = False,
     extension: str | None = None, max_depth: int | None = None, tz: str = UTC, strict: bool = False,
@@ -113,12 +125,14 @@ def staged_readings(spark: SparkSession, path: str, like: Readings) -> Readings:
 
 
 def allowed_values(spark: SparkSession, values: str) -> list[str] | DataFrame:
-    """A comma separated list, or the name of a file with one value per line."""
+    """A comma separated list, or the name of a file with one value per line; neither may be empty."""
     try:
         if values and exists(spark, values):
-            return spark.read.text(values)
-    except Exception:  # noqa: BLE001  no path, so a list: a colon, for one, makes no valid path
-        pass
+            return refusing_empty(cleaned_values(spark.read.text(values)))
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        # A list with a colon is no valid path, or seems to name a file system.  Any other failure is one.
+        if not re.search("URISyntaxException|IllegalArgumentException|No FileSystem for scheme", str(e)):
+            raise
     found = [v.strip() for v in values.split(",") if v.strip()]
     if not found:
         raise ValueError("empty list of allowed values")

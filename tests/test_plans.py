@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as driver
 from gaugeline.plans import catalogue
 
-EAGER = ("read_", "staged_", "parquet_", "stream_")
+EAGER = ("read_", "staged_", "parquet_", "stream_", "results_", "declared_")
 BATCH = sorted(n for n in catalogue.QUERIES if not n.startswith(EAGER))
 
 

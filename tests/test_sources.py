@@ -224,6 +224,12 @@ def test_allowed_list_from_text_or_file(spark, tmp_path):
     assert fields(Query(r).where(FilterSpec().allow("s", table)).rejected()) == [{"s": "c"}, {"t": "1"}]
     with pytest.raises(ValueError):
         allowed_values(spark, " , ")
+    # A file without values is refused when the query runs, and a file that cannot be looked at is no list.
+    nothing = allowed_values(spark, write(tmp_path / "empty.txt", " \n\t\n"))
+    with pytest.raises(Exception, match="empty list of allowed values"):
+        Query(r).where(FilterSpec().allow("s", nothing)).result().df.collect()
+    with pytest.raises(Exception, match="nowhere.invalid|Connection|UnknownHost"):
+        allowed_values(spark, "hdfs://nowhere.invalid:1/list.txt")
 
 
 def test_staged_readings_are_the_same(spark, tmp_path):
