@@ -295,27 +295,45 @@ class Cutter:
         return [bytes(map(self.bytes.__getitem__, w)) for w, _ in found]
 
 
+#: What one memo may take.
+MEMO_BYTES = 96 << 20
+
+
 class Memo:
-    """Remembers what became of a piece of text; forgets everything when full, so its size is bounded."""
+    """Remembers what became of a piece of text.
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.known = make, limit, {}
+    Long pieces are worked out anew each time, and when the pieces and their results may fill ``limit`` bytes, all but those met since
+    the last time are forgotten; so the size is bounded in any script.
+    """
+
+    LONGEST = 64
+    ENTRY = 200  # bytes that an entry takes besides its texts
 
-    def all(self, keys: list[str]) -> list:
-        known = self.known
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+        self.known, self.older, self.size = {}, {}, 0
+
+    def one(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.LONGEST:
+            self.known[key] = found
+            self.size += self.ENTRY + 2 * len(key) + (4 if isinstance(found, int) else len(found))
+        return found
+
+    def all(self, keys: list) -> list:
         try:
-            return list(map(known.__getitem__, keys))
+            return list(map(self.known.__getitem__, keys))
         except KeyError:
             pass
-        if len(known) > self.limit:
-            known.clear()
-        if len(keys) > self.limit:  # a huge text with ever new words: by parts
-            return [x for i in range(0, len(keys), self.limit) for x in self.all(keys[i:i + self.limit])]
-        make = self.make
+        out = []
         for k in keys:
-            if k not in known:
-                known[k] = make(k)
-        return list(map(known.__getitem__, keys))
+            found = self.known.get(k)
+            out.append(self.one(k) if found is None else found)
+            if self.size > self.limit // 2:
+                self.older, self.known, self.size = self.known, {}, 0
+        return out
 
 
 class Pieces:
@@ -325,7 +343,7 @@ class Pieces:
         self.cut = Cutter(path)
         self.specials = special
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile("(?!)()")
-        self.encoded = Memo(self._encode, 400_000)
+        self.encoded = Memo(self._encode, MEMO_BYTES)
 
     def word(self, w: bytes) -> list[int]:
         raise NotImplementedError
@@ -363,8 +381,8 @@ class Codec(Pieces):
         self.t = transducer(path)
         super().__init__(path, self.t.m.special)
         self.word = self.t.encode
-        self.decoded = Memo(self._decode, 300_000)
-        self.counted = Memo(self.count, 800_000)
+        self.decoded = Memo(self._decode, MEMO_BYTES)
+        self.counted = Memo(self.count, MEMO_BYTES)
 
     def _decode(self, ids: bytes) -> str:
         return " ".join(map(self.t.m.strings.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))

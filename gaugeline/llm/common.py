@@ -15,14 +15,21 @@ from ..session import fresh_path
 _SHIPPED = "_gaugeline_shipped"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-#: Rows here are whole texts, so an Arrow batch has at most so many.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Rows here are whole texts, so an Arrow batch has at most so many, and ends once it has so many bytes.
 BATCH_ROWS = 1024
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context; Spark's own file server distributes it."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
+    # Plans run after the operator has returned them, so the bound has to stay in the session.
+    given = spark.conf.get(_BATCH_BYTES)
+    if not given.rstrip("b").isdigit() or not 0 < int(given.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, _SHIPPED, False):
         return

@@ -6,8 +6,13 @@ threshold, their standard deviation; lines above it speak for the elements aroun
 element with the largest sum is the content region, or the article around it if there is one.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are known by element or by class and left out.
 
+An article or main element is left out for its class only where readers wrote it, and no element for a name that says what it has or
+lacks.
+
 All blocks of the region are kept, short ones too.  Defined results: a null or empty page gives an empty text; broken or
-unclosed markup is read as far as it goes; repeated rows are kept; other columns are ignored.
+unclosed markup is read as far as it goes, and an article ends a menu or header that is still open; a very long page is read as a
+stream of events, so only its lines are held; regions of the same score go to the later one; repeated rows are kept; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +41,12 @@ NAMES = frozenset(
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login paywall share sharing social related recommended recommendations comment comments reply replies respond disqus discussion widget "
     "pagination pager toolbar skip hidden".split())
+# What readers add, also where it is an article.
+READERS = frozenset("comment comments reply replies respond disqus discussion".split())
+# A name with one of these words tells what an element has or lacks, not what it is.
+MODIFIERS = frozenset("has with no without not free".split())
+# Menus and page headers hold no article; an article in one means that its end tag is missing.
+BEFORE_ARTICLE = frozenset("nav header menu".split())
 TOP_NAMES = frozenset("header topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -86,6 +97,10 @@ class Lines(HTMLParser):
             self._close(("p",), ("table", "td", "th", "button", "object"))
         if tag in CLOSES:
             self._close(CLOSES[tag], LIMITS[tag])
+        if tag in WHOLE and self.out:
+            unclosed = next((i for i, (name, _, out) in enumerate(self.open) if out and name in BEFORE_ARTICLE), None)
+            if unclosed is not None and all(name not in WHOLE for name, _, _ in self.open[unclosed:]):
+                self.pop_to(unclosed)
         self.end_line()
         self._push(tag, self.out or tag in UNSEEN or self._left_out(tag, attrs))
 
@@ -116,8 +131,12 @@ class Lines(HTMLParser):
             if not value:
                 continue
             if key in ("class", "id"):
-                found = {w.lower() for w in WORD.findall(value)}
-                if found & NAMES or found & TOP_NAMES and not within:
+                found = set()
+                for name in value.split():
+                    words = {w.lower() for w in WORD.findall(name)}
+                    if not words & MODIFIERS:
+                        found |= words
+                if found & (READERS if tag in WHOLE else NAMES) or found & TOP_NAMES and not within and tag not in WHOLE:
                     return True
             elif key == "role" and value.lower() in ROLES or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True

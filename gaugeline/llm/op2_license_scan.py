@@ -5,10 +5,12 @@ occur before the expression is tried, a priority and a confidence.  Detections a
 the interval of another of the same or a higher priority is suppressed.  The base phrases are rules of the highest priority and
 are never suppressed; all their places count.
 
-Rules are products of license names and sentence forms, so the set is extended by a line in ``NAMES`` or ``FORMS``.
+Rules are products of license names and sentence forms, identifiers behind their mark, and sentences of the licenses
+themselves, so the set is extended by a line in ``NAMES``, ``FORMS``, ``IDENTIFIERS`` or ``BODIES``.
 
-Defined results: a null or empty text has no words, null places, empty labels and score 0; repeated rows are kept; other
-columns are ignored.
+Defined results: a null or empty text has no words, null places, empty labels and score 0; a very long text is scanned whole, in
+time in proportion to it and its detections; repeated rows are kept, and ties of detections go to the earlier rule; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +102,32 @@ FORMS = (
     (3, 0.85, r"{} (?:applies|as published by|see licen[cs]e|found in the licen[cs]e file)"),
     (4, 0.6, r"{}"),
 )
-GATES = (b"licen", b"gpl", b"cc", b"bsd", b"domain", b"reserved", b"commons", b"cddl", b"wtfpl", b"apache")
+# Label, keyword, words behind "SPDX-License-Identifier:".
+IDENTIFIERS = (
+    ("mit", "mit", "mit"), ("mit-0", "mit", "mit 0"), ("apache-2", "apache", "apache 2 0"), ("apache-1", "apache", "apache 1 [01]"),
+    ("agpl-3", "agpl", "agpl 3 0(?: only| or later)?"), ("lgpl-3", "lgpl", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", "lgpl 2 1(?: only| or later)?"), ("lgpl-2", "lgpl", "lgpl 2 0(?: only| or later)?"),
+    ("gpl-3", "gpl", "gpl 3 0(?: only| or later)?"), ("gpl-2", "gpl", "gpl 2 0(?: only| or later)?"),
+    ("bsd-2-clause", "bsd", "bsd 2 clause"), ("bsd-3-clause", "bsd", "bsd 3 clause"), ("bsd-4-clause", "bsd", "bsd 4 clause"), ("bsd-0-clause", "0bsd", "0bsd"),
+    ("isc", "isc", "isc"), ("mpl-2", "mpl", "mpl 2 0"), ("mpl-1.1", "mpl", "mpl 1 1"), ("epl-2", "epl", "epl 2 0"), ("epl-1", "epl", "epl 1 0"),
+    ("cddl", "cddl", "cddl 1 [01]"), ("artistic-2", "artistic", "artistic 2 0"), ("boost", "bsl", "bsl 1 0"), ("zlib", "zlib", "zlib"),
+    ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("eupl", "eupl", "eupl 1 [12]"), ("cc0", "cc0", "cc0 1 0"),
+    ("cc-by-nc-nd", "cc", "cc by nc nd [1-4] [05]"), ("cc-by-nc-sa", "cc", "cc by nc sa [1-4] [05]"), ("cc-by-nc", "cc", "cc by nc [1-4] [05]"),
+    ("cc-by-nd", "cc", "cc by nd [1-4] [05]"), ("cc-by-sa", "cc", "cc by sa [1-4] [05]"), ("cc-by", "cc", "cc by [1-4] [05]"),
+    ("odbl", "odbl", "odbl 1 0"), ("ofl", "ofl", "ofl 1 1"),
+)
+# Label, keyword, words that only the text of the license itself has.
+BODIES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms(?: \w+){1,140}? neither the name of(?: \w+){1,20}? may be used to endorse"),
+    ("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("isc", "hereby", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty"),
+    ("boost", "obtaining", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("wtfpl", "fuck", "you just do what the fuck you want to"),
+)
 
 
 class Rule(NamedTuple):
@@ -120,9 +147,20 @@ def rules() -> list[Rule]:
         for label, keyword, name in NAMES:
             pattern = re.compile(rf"(?<= ){form.format(f'(?:{name})')}(?= )".encode())
             made.append(Rule(priority, len(made), keyword.encode(), confidence, label, pattern))
+    for priority, confidence, form, names in ((1, 1.0, "spdx licen[cs]e identifier {}", IDENTIFIERS), (2, 0.9, "{}", BODIES)):
+        for label, keyword, words in names:
+            pattern = re.compile(rf"(?<= ){form.format(f'(?:{words})')}(?= )".encode())
+            made.append(Rule(priority, len(made), keyword.encode(), confidence, label, pattern))
     return sorted(made, key=lambda r: (r.priority, r.order))
 
 
+@lru_cache(maxsize=1)
+def gate() -> re.Pattern:
+    """Any keyword of a rule, or the last word of a base phrase; a text without one has no detection."""
+    words = {r.keyword for r in rules()} | {phrase.split()[-1] for phrase, _ in BASE}
+    return re.compile(b"|".join(sorted(map(re.escape, words))))
+
+
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -167,16 +205,18 @@ def detections(joined: bytes) -> list[Found]:
 def scan_text(text: str):
     """n_words, n_base, first_word, last_word, base_labels, labels, score, n_found."""
     data = text.encode().lower()
-    if not any(g in data for g in GATES):
+    if not gate().search(data):
         flags = _IS_WORD[np.frombuffer(data, np.uint8)]
         return int(flags[:1].sum()) + int(np.count_nonzero(flags[1:] & ~flags[:-1])), 0, None, None, "", "", 0.0, 0
     found = WORDS.findall(data)
     joined = b" " + b" ".join(found) + b" "
     kept = detections(joined)
     base = [x for x in kept if x.priority == 0]
-    place = lambda x: joined.count(b" ", 0, x.begin) - 1
+    begins = [x.begin for x in base]
+    first = joined.count(b" ", 0, min(begins)) - 1 if begins else None
+    last = first + joined.count(b" ", min(begins), max(begins)) if begins else None
     return (
-        len(found), len(base), min(map(place, base), default=None), max(map(place, base), default=None),
+        len(found), len(base), first, last,
         ",".join(sorted({x.label for x in base})), ",".join(sorted({x.label for x in kept})),
         max((x.confidence for x in kept), default=0.0), len(kept),
     )

@@ -11,11 +11,14 @@ How it stays linear:
 * Token frequencies come from all documents: every task packs its sorted tokens by range, and a range is counted in one piece.  Tokens of
   at least ``FREQUENT`` documents, at most ``MAX_FREQUENT`` of them, are sent to all tasks.  Which tokens these are only decides the order;
   any order gives the same result.
-* Where more than ``CROWD`` documents meet, each is first compared with one of them, for some rounds with different ones.  What links is one
-  component, and later only pairs across components are compared.  So a large group of near copies costs a few comparisons each.
-
-Tokens are 64-bit hashes.  Defined results: a null or empty text has no tokens, is linked with nothing and is its own component; rows that
-repeat a doc_id each have a result, and where their texts differ the largest text is compared; null doc_ids are left out; other columns are
+* Where more than ``CROWD`` documents meet, each is first compared with about ``HUBS`` of them, in rounds with different ones for as long as
+  a round finds links and such crowds are left.  What links is one component, and later only pairs across components are compared.  So a
+  large group of near copies costs some comparisons each.
+
+Tokens are 64-bit hashes.  Inside, a row is known by a hash of its doc_id and text, so rows that repeat a doc_id with another text are
+compared each on its own, and rows that agree in both are one.  Defined results: a null or empty text has no tokens, is linked with nothing
+and is its own component; a row without doc_id has a result like any other and names no class or component (null if nothing else is in it);
+the tokens of a very long text are held at once; ties of frequencies are ordered by hash; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -39,7 +42,7 @@ SIMILARITY = (3, 4)  # at least 3 / 4
 FREQUENT = 5
 MAX_FREQUENT = 1_000_000
 CROWD = 48
-ROUNDS = 3
+HUBS = 16
 FLUSH = 1 << 21
 
 
@@ -282,17 +285,26 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
     found = spark.createDataFrame([], "a long, b long")
     labels = None
     crowded = met.where(F.col("n") > CROWD)
-    if not crowded.isEmpty():
-        for k in range(ROUNDS):
-            here = labelled(crowded, labels)
-            pick = F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))
-            hubs = here.groupBy("token").agg(F.min(pick).alias("x")).select("token", "x.hub", "x.hub_size", "x.hub_component")
-            near = here.join(hubs, "token").where((F.col("component") != F.col("hub_component")) & fits("size", "hub_size"))
-            pairs = common.saved(near.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-            texts = texts_of(pairs)
-            found = common.saved(found.union(verified(pairs, texts, order, n, similarity)), "links")
-            common.discard(texts)
-            labels = components(found)
+    k = 0
+    while not crowded.isEmpty():
+        here = labelled(crowded, labels)
+        # About HUBS of the n documents that meet, the same ones wherever these meet again.
+        chosen = F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.col("n")) < HUBS
+        hubs = here.where(chosen).select("token", F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))
+        near = here.join(hubs, "token").where((F.col("component") != F.col("hub_component")) & fits("size", "hub_size"))
+        least, most = F.least("hub", "doc_id"), F.greatest("hub", "doc_id")
+        pairs = common.saved(near.select(least.alias("a"), most.alias("b")).distinct(), "pairs")
+        texts = texts_of(pairs)
+        new = common.saved(verified(pairs, texts, order, n, similarity), "links")
+        common.discard(texts)
+        if new.isEmpty():
+            break
+        found, k = common.saved(found.union(new), "links"), k + 1
+        labels = components(found)
+        # Crowds in which more than CROWD documents are outside of the largest component.
+        parts = labelled(crowded.select("token", "doc_id"), labels).groupBy("token", "component").agg(F.count("*").alias("c"))
+        left = parts.groupBy("token").agg((F.sum("c") - F.max("c")).alias("rest")).where(F.col("rest") > CROWD).select("token")
+        crowded = common.saved(crowded.join(left, "token", "left_semi"), "crowds")
     here = labelled(met, labels).select("token", "doc_id", "size", "at", "component")
     other = here.select(
         "token", F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"), F.col("component").alias("other_component"))
@@ -306,7 +318,7 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
 
 
 def groups(docs: DataFrame, n: int = N, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links (of its class, as far as compared)."""
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
     common.ship(docs.sparkSession)
     with common.small_batches(docs.sparkSession):
         return grouped_sets(docs, n, similarity)
@@ -314,22 +326,27 @@ def groups(docs: DataFrame, n: int = N, similarity: tuple[int, int] = SIMILARITY
 
 def grouped_sets(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
     spark = docs.sparkSession
-    plain = common.texts(docs).where("doc_id is not null")
+    given = common.texts(docs)
+    node = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")
+    plain = given.select(node.alias("doc_id"), "text")
     bits = max(6, math.ceil(math.log2(max(1, plain.count()) / 1024 + 1)))
     made = common.saved(sets_of(plain, n, bits), "sets")
     order = spark.sparkContext.broadcast(Order(*frequent_tokens(made.where("data is not null").select("range", "data"))))
-    sets = common.saved(made.where("data is null").select("doc_id", "size", "f1", "f2"), "documents")
+    sets = common.saved(made.where("data is null").select(F.col("doc_id").alias("node"), "size", "f1", "f2"), "documents")
     common.discard(made)
-    classes = sets.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("class_id"))
-    reps = common.saved(classes, "classes")
-    edges = common.saved(links(plain, reps.select(F.col("class_id").alias("doc_id")), order, n, bits, similarity), "all-links")
-    labels = components(edges)
-    degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    grouped = reps.join(labels.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(degree.withColumnRenamed("a", "class_id"), "class_id", "left")
-    grouped = common.saved(grouped.select("f1", "f2", "class_id", "component", "n_links"), "grouped")
-    return sets.join(grouped, ["f1", "f2"], "left").select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # A class is known by one of its rows; only these are compared.
+    reps = common.saved(sets.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("node").alias("rep")), "classes")
+    edges = common.saved(links(plain, reps.select(F.col("rep").alias("doc_id")), order, n, bits, similarity), "all-links")
+    labels = components(edges).withColumnRenamed("doc_id", "rep")
+    grouped = reps.join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    rows = common.saved(given.select("doc_id", node.alias("node")).join(sets.dropDuplicates(["node"]), "node").drop("node"), "rows")
+    classes = rows.where("size > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")).join(grouped, ["f1", "f2"])
+    named = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    known = common.saved(classes.join(named, "component").select("f1", "f2", "class_id", "component_id"), "grouped")
+    alone = F.col("size") == 0
+    return rows.join(known, ["f1", "f2"], "left").select(
+        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def frequent_tokens(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +356,7 @@ def frequent_tokens(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of every component, that with the smallest doc_id, with all its columns; null doc_ids stay."""
+    """One document of every component, that with the smallest doc_id, with all its columns; rows without doc_id stay."""
     known = groups(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(known, "doc_id", "left_anti")
 

@@ -12,8 +12,10 @@ entry are within the threshold of each other and one partner per line is enough.
 A line is removed if the same line comes earlier, by (doc_id, line number), or if any different line within one edit does.
 Lines are compared without blanks at their ends; lines of fewer than ``MIN_CHARS`` characters are never removed.
 
-Defined results: a null text is empty and has one empty line; rows with the same doc_id are one document, whose line numbers
-coincide; a null doc_id comes before all others; other columns are kept by ``deduplicate`` and ignored by the query.
+Defined results: a null text is empty and has one empty line; rows with the same doc_id and different texts are documents of their
+own (told apart by a hash of the text, which also orders them), rows that agree in both are one; a null doc_id comes before all others;
+lines of any length take part, and of equal lines the earliest stays; an empty table gives no rows; other columns are kept by
+``deduplicate`` and ignored by the query.
 """
 
 from __future__ import annotations
@@ -29,12 +31,19 @@ WAYS = 8
 BITS = 1 << 26
 BEFORE_ALL = str(-(1 << 63) - 1)  # below every 64-bit doc_id
 ID = ["h1", "h2"]
+ROW_BITS = 30
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of all lines that are long enough; ids by two independent 64-bit hashes."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", F.trim("line").alias("line")).withColumn("len", F.length("line")).where(F.col("len") >= MIN_CHARS)
+def row_of(text="text"):
+    """Tells rows with the same doc_id apart."""
+    return F.pmod(F.xxhash64(F.lit(11), F.coalesce(F.col(text), F.lit(""))), F.lit(1 << ROW_BITS)).alias("row_no")
+
+
+def split_lines(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    """doc_id, row_no, line_no, line of all lines that are long enough; ids by two independent 64-bit hashes."""
+    least = MIN_CHARS if min_chars is None else max(1, min_chars)
+    rows = docs.select("doc_id", row_of(), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = rows.select("doc_id", "row_no", "line_no", F.trim("line").alias("line")).withColumn("len", F.length("line")).where(F.col("len") >= least)
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
@@ -48,10 +57,11 @@ def halves(line, own, index_len) -> list:
     ]
 
 
-def place(doc_id="doc_id", line_no="line_no"):
-    """Where a line is, as one number in the order of (doc_id, line_no), null doc_ids first; a flat value can be folded by hash."""
-    doc = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(BEFORE_ALL).cast("decimal(20,0)"))
-    return (doc * F.lit(1 << 31).cast("decimal(10,0)") + F.col(line_no).cast("decimal(10,0)")).cast("decimal(38,0)")
+def place():
+    """Where a line is, as one number in the order of (doc_id, row_no, line_no), null doc_ids first; a flat value can be folded by hash."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(BEFORE_ALL).cast("decimal(20,0)"))
+    inside = F.col("row_no") * F.lit(1 << 31) + F.col("line_no")
+    return (doc * F.lit(1 << (ROW_BITS + 31)).cast("decimal(19,0)") + inside.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -174,31 +184,32 @@ def as_edges(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("first") < F.col("place")).select(*ID, F.col("first").alias("earlier"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, near of all lines that are removed; near: not an exact copy of an earlier line."""
-    lines = split_lines(docs)
+def removed_lines(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    """doc_id, row_no, line_no, near of all lines that are removed; near: not an exact copy of an earlier line."""
+    lines = split_lines(docs, min_chars)
     firsts = common.saved(distinct_lines(lines), "firsts")
     near = common.saved(near_edges(lines, firsts), "near")
     known = firsts.select(*ID, "place", "n")
     maybe = known.where("n > 1").unionByName(sieve(known.where("n = 1"), "h1", near))  # other lines stay in any case
     judged = common.saved(
         maybe.join(near, ID, "left").where("n > 1 or earlier is not null").select(*ID, "place", F.col("earlier").isNotNull().alias("near")), "judged")
-    at = sieve(lines.select(*ID, "doc_id", "line_no"), "h1", judged)
+    at = sieve(lines.select(*ID, "doc_id", "row_no", "line_no"), "h1", judged)
     first = place().eqNullSafe(F.col("place"))
-    return at.join(judged, ID).where(F.col("near") | ~first).select("doc_id", "line_no", first.alias("near"))
+    return at.join(judged, ID).where(F.col("near") | ~first).select("doc_id", "row_no", "line_no", first.alias("near"))
 
 
-def per_document(docs: DataFrame) -> DataFrame:
-    """doc_id, lines removed as a sorted array, how many of them are copies and how many near copies."""
-    return removed_lines(docs).groupBy("doc_id").agg(
+def per_document(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    """doc_id, row_no, lines removed as a sorted array, how many of them are copies and how many near copies."""
+    return removed_lines(docs, min_chars).groupBy("doc_id", "row_no").agg(
         F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_if(~F.col("near")).alias("n_copies"), F.count_if("near").alias("n_near"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """The documents without the removed lines; one that loses all it had is gone.  ``n_chars`` follows if there is one."""
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    gone = per_document(common.texts(docs)).select("doc_id", "gone")
-    marked = whole.join(gone, F.col("doc").eqNullSafe(F.col("doc_id")), "left").select("row", "gone")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), row_of().alias("doc_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = per_document(common.texts(docs), min_chars).select("doc_id", "row_no", "gone")
+    same = F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("doc_row") == F.col("row_no"))
+    marked = whole.join(gone, same, "left").select("row", "gone")
     left = F.array_join(F.filter(F.split(F.col("row")["text"], "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = marked.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(left).alias("left"))
     out = out.where(F.col("gone").isNull() | (F.trim("left") != ""))
@@ -208,9 +219,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go as copies and as near copies, and the numbers of those that go."""
-    docs = common.texts(common.table(spark, sf_dir, "documents"))
-    gone = per_document(docs)
-    return docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")).join(gone, "doc_id", "left").select(
+    return line_counts(common.texts(common.table(spark, sf_dir, "documents")))
+
+
+def line_counts(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    """doc_id, n_lines, n_copies, n_near and removed of every row of ``docs`` (doc_id, text without nulls)."""
+    gone = per_document(docs, min_chars).select(F.col("doc_id").alias("id"), F.col("row_no").alias("of"), "n_copies", "n_near", "gone")
+    counted = docs.select("doc_id", row_of(), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    return counted.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_no") == F.col("of")), "left").select(
         "doc_id", "n_lines", F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 

@@ -30,6 +30,38 @@ def test_longer_detections_suppress_what_they_hold():
     assert labels("mit der Zeit, apache tribe, and the public") == ""
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Released as MIT No Attribution.", "mit-0"), ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd-2-clause"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that: Neither the name of the X "
+     "nor the names of its contributors may be used to endorse products", "bsd-3-clause"),
+    ("the success of this", ""), ("nothing at all", ""),
+])
+def test_signatures(text, labels):
+    assert op2_license_scan.scan_text(text)[5] == labels
+
+
+def test_gate_drops_no_detection():
+    """Every rule's keyword opens the gate, wherever a rule finds something."""
+    for rule in op2_license_scan.rules():
+        assert op2_license_scan.gate().search(b"x" + rule.keyword + b"y")
+
+
+def test_base_columns_by_definition():
+    rnd = random.Random(4)
+    words = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "und\u00e9r", "MIT", "License"]
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    for _ in range(400):
+        text = rnd.choice([" ", "-", ", ", "\n"]).join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+        places = [(i, k) for k, p in phrases.items() for i in range(len(found)) if found[i:i + len(p.split())] == p.split()]
+        at = [i for i, _ in places]
+        want = (len(found), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in places})))
+        got = op2_license_scan.scan_text(text)
+        assert got[:5] == want and set(filter(None, want[4].split(","))) <= set(got[5].split(",")) and 0 <= got[6] <= 1
+
+
 def test_scan_rows(odd, nothing):
     found = {r["doc_id"]: r for r in op2_license_scan.scan(odd).collect()}
     assert found[1]["n_words"] == 0 and found[1]["first_word"] is None and found[1]["labels"] == ""
@@ -118,6 +150,24 @@ def test_lines_rows(spark, odd, nothing):
     assert [tuple(r) for r in op9_line_dedup.deduplicate(docs).collect()] == [(1, "a line that repeats\nmore of the first", 3)]
 
 
+def test_lines_of_rows_with_the_same_id(spark):
+    docs = spark.createDataFrame([
+        (7, "first line of the row\na line that both rows have\nand one more of this row"), (7, "a line that both rows have\nthis line occurs in no other place"),
+        (8, "a line that both rows have\nanother line of document 8"), (None, "a line that both rows have\nwithout a number"), (None, None),
+    ], "doc_id long, text string")
+    left = {r["text"] for r in op9_line_dedup.deduplicate(docs).collect()}
+    # A row without doc_id comes before all others, so the line stays there alone.
+    assert left == {
+        "a line that both rows have\nwithout a number", "first line of the row\nand one more of this row", "this line occurs in no other place",
+        "another line of document 8", None}
+    counted = [(r["doc_id"], r["n_lines"], r["n_copies"], r["removed"]) for r in op9_line_dedup.line_counts(docs.fillna({"text": ""})).collect()]
+    assert sorted(counted, key=str) == sorted([(7, 3, 1, "1"), (7, 2, 1, "0"), (8, 2, 1, "0"), (None, 2, 0, ""), (None, 1, 0, "")], key=str)
+    lost = spark.createDataFrame([(None, "a line that repeats here\na line that repeats here")], "doc_id long, text string")
+    assert [r["removed"] for r in op9_line_dedup.line_counts(lost).collect()] == ["1"]
+    short = spark.createDataFrame([(1, "ab\nab"), (2, "ab")], "doc_id long, text string")
+    assert [r["text"] for r in op9_line_dedup.deduplicate(short, min_chars=1).collect()] == ["ab"]
+
+
 def test_lines_run_without_python(spark, odd):
     import contextlib
     import io
@@ -177,12 +227,43 @@ def test_groups_against_all_pairs(spark, monkeypatch, crowd, frequent):
 
 def test_groups_odd_rows(odd, nothing):
     rows = op3_jaccard.groups(odd).collect()
-    assert len(rows) == odd.where("doc_id is not null").count()
+    assert len(rows) == odd.count()
     assert all(r["component_id"] == r["doc_id"] for r in rows)
     assert op3_jaccard.groups(nothing).count() == 0
     assert op3_jaccard.deduplicate(odd).columns == odd.columns
 
 
+def test_repeated_and_missing_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    text = lambda a, b, *more: " ".join([*words[a:b], *more])
+    rows = [(1, text(0, 30)), (2, text(0, 30, "x", "y")), (2, text(100, 130)), (3, text(100, 130, "z")), (None, text(0, 30, "q")), (None, text(150, 180)), (7, text(150, 180))]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["class_id"], r["component_id"]) for r in op3_jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", 26, 1, 1), ("2", 28, 2, 1), ("2", 26, 2, 2), ("3", 27, 3, 2), ("None", 27, None, 1), ("None", 26, 7, 7), ("7", 26, 7, 7)])
+
+
+def test_a_large_group_of_near_copies_stays_linear(spark, monkeypatch):
+    """Copies with two edits each, of which many are not links: compared pairs grow with the group, not with its square."""
+    compared = []
+    monkeypatch.setattr(op3_jaccard, "CROWD", 8)  # small next to both groups
+    real = op3_jaccard.verified
+    monkeypatch.setattr(op3_jaccard, "verified", lambda pairs, *more: compared.append(pairs.count()) or real(pairs, *more))
+    sizes = {}
+    for size in (150, 450):
+        rnd = random.Random(size)
+        rows = []
+        for i in range(size):
+            words = [f"w{j}" for j in range(120)]
+            for _ in range(2):
+                words[rnd.randrange(120)] = f"e{i}x{rnd.randrange(9)}"
+            rows.append((i, " ".join(words)))
+        compared.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in op3_jaccard.groups(df).collect()}
+        assert got == {d: c for d, (_, c) in components(rows).items()}
+        sizes[size] = sum(compared)
+    assert sizes[450] <= 5 * sizes[150]
+
+
 # Decontamination
 
 def test_leaks_with_edits(spark):

@@ -57,6 +57,13 @@ def test_copies_ties_and_bad_vectors(spark):
     ("plain", "plain"),
     ("<html><head><title>T</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head &amp; more</h1><p>One  two\n three<p>Four&nbsp;five"
      "<br>six</article><footer>foot</footer>", "Head & more\nOne two three\nFour five six"),
+    ('<body><div class="content has-sidebar"><p>Body of it.</p></div></body>', "Body of it."),
+    ('<body><article class="post no-comments"><p>Body of it.</p></article></body>', "Body of it."),
+    ('<body><main class="ad-free"><p>Body of it.</p></main></body>', "Body of it."),
+    ('<body><article class="social-policy"><p>Body of it.</p></article></body>', "Body of it."),
+    ('<body><div class="page with-menu"><p>Body of it.</p></div></body>', "Body of it."),
+    ('<body><nav><a href=x>menu</a><article><p>Body of it.</p></article></body>', "Body of it."),
+    ('<body><article><p>Body of it.</p></article><div class="comments"><article>Said a reader.</article></div></body>', "Body of it."),
     ("<body><header>top</header><div class='sidebar'>side side side side</div><main><h1>A</h1><div><p>Body of the text, long enough to count.</p>"
      "<form>Name <input></form><script>x('</p>')</script><div class=ad>buy</div><p>B</p></div></main><section id=comments><p>A reader's rather long "
      "comment on all this, longer than the text itself, which must go.</p></section>", "A\nBody of the text, long enough to count.\nB"),
