@@ -289,7 +289,7 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
     while not crowded.isEmpty():
         here = labelled(crowded, labels)
         # About HUBS of the n documents that meet, the same ones wherever these meet again.
-        chosen = F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.col("n")) < HUBS
+        chosen = F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n") < HUBS
         hubs = here.where(chosen).select("token", F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))
         near = here.join(hubs, "token").where((F.col("component") != F.col("hub_component")) & fits("size", "hub_size"))
         least, most = F.least("hub", "doc_id"), F.greatest("hub", "doc_id")
