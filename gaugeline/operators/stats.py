@@ -85,9 +85,12 @@ def quartiles(
     )
 
 
-def _fenced(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
-    """Quartiles and outliers: every distinct value knows the size and the quartiles of its group, so a sum counts it."""
-    placed = with_quantiles(folded(rows, keys, "measure"), keys, "measure", QUARTILES, ranges)
+def fences_of(counted: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Quartiles and outliers of folded values (``measure, _c``).
+
+    Every distinct value knows the size and the quartiles of its group, so a sum counts it.
+    """
+    placed = with_quantiles(counted, keys, "measure", QUARTILES, ranges)
     v, q1, median, q3 = (F.col(c) for c in ("measure", "_q0", "_q1", "_q2"))
     reach = (q3 - q1) * FENCE_FACTOR
     outside = (v < q1 - reach) | (v > q3 + reach)
@@ -98,6 +101,24 @@ def _fenced(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFra
     )
 
 
+def _fenced(rows: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    return fences_of(folded(rows, keys, "measure"), keys, ranges)
+
+
+def summary_of(counted: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """What :func:`value_summary` gives, of folded values (``measure, _c``)."""
+    v, c = F.col("measure"), F.col("_c")
+    low, high = F.min(v), F.max(v)
+    base = counted.groupBy(*keys).agg(
+        F.sum(c).alias("count"), low.alias("min"), high.alias("max"), (high - low).alias("range"), (F.sum(c * v) / F.sum(c)).alias("mean"))
+    off = v - F.col("mean")
+    n = F.col("count")
+    spread = counted.join(base.select(*keys, "mean"), list(keys)).groupBy(*keys).agg(F.sum(c * off * off).alias("_spread"))
+    stddev = F.when(n > 1, F.sqrt(F.col("_spread") / (n - 1))).otherwise(F.lit(0.0)).alias("stddev")
+    whole = base.join(spread, list(keys)).select(*keys, "count", "min", "max", "range", "mean", stddev)
+    return whole.join(fences_of(counted, keys, ranges), list(keys))
+
+
 def outliers(
     r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:

@@ -40,6 +40,17 @@ def _rows(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _in_parts(spark, sf, parts: int = 3) -> Readings:
+    """The events table as a stream of so many batches."""
+    r = events(spark, sf)
+    source = fresh_path(spark, "parts")
+    rows = table(spark, sf, "events")
+    for part in range(parts):
+        rows.where(F.col("event_id") % parts == part).coalesce(1).write.mode("append").parquet(source)
+    df = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return replace(r, df=df.withColumn("k", F.regexp_extract("props", r'"k": ([0-9]+)', 1)))
+
+
 @register("stream_count", "SELECT count(*) AS count FROM events")
 def stream_count(spark, sf):
     return _complete(running.running_count(event_stream(spark, sf)))
@@ -63,7 +74,10 @@ def stream_counts(spark, sf):
         round(q3 - q1, 6) AS iqr FROM q""",
 )
 def stream_stats(spark, sf):
-    return rounded(_complete(running.running_stats(event_stream(spark, sf), by=["sensor"], exact=True), ["sensor", "column"]))
+    """Exact statistics of events that arrive in three parts."""
+    path = fresh_path(spark, "stats")
+    running.write_stats(_in_parts(spark, sf), path, fresh_path(spark, "state"), by=["sensor"]).awaitTermination()
+    return rounded(running.read_stats(spark, path).drop("outliers", "outlier_percent"))
 
 
 @register("stream_latest", f"{LATEST} SELECT {LATEST_COLUMNS} FROM l")
@@ -100,6 +114,26 @@ def stream_unique(spark, sf):
     return _rows(running.running_unique(few).df.select("sensor", "k"))
 
 
+@register("stream_unique_exact", f"{EV} SELECT sensor, k, min(event_id % 3) AS part FROM ev GROUP BY sensor, k")
+def stream_unique_exact(spark, sf):
+    """First copies of events in three parts, and the part each came with."""
+    r = _in_parts(spark, sf)
+    df = r.df.select(r.field("sensor").alias("sensor"), "k", "event_id")
+    few = Readings.typed(df, ["sensor", "k"], ["event_id"])
+    path = fresh_path(spark, "unique")
+    running.write_unique(few, path, fresh_path(spark, "state")).awaitTermination()
+    return running.read_unique(spark, path, few).df.select("sensor", "k", (F.col("event_id") % 3).alias("part"))
+
+
+@register("stream_unique_watermark", f"{EV} SELECT DISTINCT sensor, k FROM ev")
+def stream_unique_watermark(spark, sf):
+    """First copies within a delay that covers all events."""
+    r = event_stream(spark, sf)
+    df = r.df.select(r.field("sensor").alias("sensor"), "k", F.timestamp_seconds(r.timestamp()).alias("at"), "event_id")
+    few = Readings.typed(df, ["sensor", "k"], ["event_id"])
+    return _rows(running.running_unique(few, ("at", "400 days")).df.select("sensor", "k"))
+
+
 @register(
     "stream_changes",
     _changes_sql(EV, "sensor_id", "timestamp, event_id", "ev")

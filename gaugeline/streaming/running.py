@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..model import Readings
 from ..operators import counts, errors, stats
 from ..operators.filters import FilterSpec, apply_filter
-from ..operators.quantiles import SKETCH_ACCURACY
-from ..operators.unique import content
-from .store import Kept
+from ..operators.quantiles import SKETCH_ACCURACY, folded
+from ..operators.unique import content, unique
+from .source import in_order
+from .store import Kept, version_path
 
 
 def running_count(r: Readings) -> DataFrame:
@@ -44,7 +45,8 @@ def running_stats(
 ) -> DataFrame:
     """``count, min, max, range, mean, stddev, q1, median, q3, iqr`` so far.
 
-    Quartiles come from a sketch; ``exact`` keeps all distinct values of a group in its state.
+    Quartiles come from a sketch; ``exact`` keeps all distinct values of a group in its state.  ``write_stats`` is the way for
+    exact ones that needs no state.
     """
     low, high = F.min("measure"), F.max("measure")
     if exact:
@@ -66,7 +68,8 @@ def running_stats(
 def running_unique(r: Readings, watermark: tuple[str, str] | None = None) -> Readings:
     """First copy of identical readings.
 
-    Without ``watermark`` (an event time column and a delay) all distinct readings stay in the state.
+    With a ``watermark`` (an event time column and a delay) copies are told within the delay, and older readings leave the state.
+    Without, all distinct readings stay in the state; ``write_unique`` is the exact way that needs none.
     """
     keys = content(r)
     if r.is_raw:
@@ -112,6 +115,71 @@ def write_running(df: DataFrame, path: str, checkpoint: str, trigger: dict | Non
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def write_stats(
+    r: Readings, path: str, checkpoint: str, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), trigger: dict | None = None
+):
+    """Start a query for exact statistics (``read_stats``): it keeps how often each value occurred, on the store.
+
+    The stream itself has no state, and a micro-batch writes the counts of its own values.
+    """
+    keys = [*by, "column"]
+    kept = Kept(r.df.sparkSession, path, [*keys, "measure"])
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        if kept.finished(batch_id):
+            return
+        found = folded(stats.measurements(replace(r, df=batch), columns, by), keys, "measure")
+        before = kept.read(batch_id)
+        if before is not None:
+            old = before.withColumnRenamed("_c", "_old")
+            found = found.join(old, [*keys, "measure"], "left").select(
+                *keys, "measure", (F.col("_c") + F.coalesce("_old", F.lit(0))).alias("_c"))
+        kept.write(found, batch_id)
+
+    writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """All value measures so far, exactly; quartiles are ranked by ranges like those of a batch."""
+    counted = read_latest(spark, path)
+    return stats.summary_of(counted, [c for c in counted.columns if c not in ("measure", "_c")])
+
+
+def write_unique(r: Readings, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start a query that keeps the first copy of each reading, exactly and without state: what was seen is on the store.
+
+    Seen readings are known by 128 bits of their content.  ``read_unique`` gives the readings kept so far.
+    """
+    spark = r.df.sparkSession
+    seen = Kept(spark, f"{path}/seen", ("h1", "h2"))
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        if seen.finished(batch_id):
+            return
+        found = unique(in_order(r, batch))
+        parts = content(found)
+        hashed = found.df.withColumns({"h1": F.xxhash64(F.lit(1), *parts), "h2": F.xxhash64(F.lit(2), *parts)})
+        before = seen.read(batch_id)
+        if before is not None:
+            hashed = hashed.join(before.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        rows = version_path(f"{path}/rows", batch_id)
+        hashed.write.mode("overwrite").parquet(rows)
+        seen.write(spark.read.schema(hashed.schema).parquet(rows).select("h1", "h2", F.lit(batch_id).alias("since")), batch_id)
+
+    writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_unique(spark: SparkSession, path: str, like: Readings) -> Readings:
+    """The readings that ``write_unique`` has kept in finished batches."""
+    newest = Kept(spark, f"{path}/seen").newest()
+    if newest is None:
+        raise FileNotFoundError(f"no finished version in {path}")
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("version") <= newest.version)
+    return replace(like, df=rows.drop("version", "h1", "h2"))
+
+
 def write_rows(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Start a query which appends the rows of a stream to Parquet files."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path)

@@ -199,3 +199,47 @@ def test_last_points(spark, tmp_path):
     assert list(found["s1"]["timestamps"]) == [200, 201, 202, 210, 211, 212]
     first = {x["sensor_id"]: x for x in spark.read.parquet(path).where("version = 0").collect()}
     assert list(first["s0"]["readings"]) == [7, 8, 9, 0, 1, 2] and first["s0"]["historical"] == 3
+
+
+def test_exact_statistics_without_state(spark, log):
+    batch, stream = read_readings(spark, log), stream_readings(spark, log, max_files=1)
+    path = fresh_path(spark, "stats")
+    query = running.write_stats(stream, path, fresh_path(spark, "state"), ["value", "timestamp"], ["sensor_id"])
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress) and len(query.recentProgress) == 3
+    found = sorted(running.read_stats(spark, path).collect())
+    wanted = sorted(stats.value_summary(batch, ["value", "timestamp"], ["sensor_id"]).select(*running.read_stats(spark, path).columns).collect())
+    assert [tuple(x)[:2] for x in found] == [tuple(x)[:2] for x in wanted]
+    for a, b in zip(found, wanted):
+        assert list(a)[2:] == pytest.approx(list(b)[2:])
+
+
+def test_unique_without_state(spark, tmp_path):
+    for i, rows in enumerate(([{"a": 1, "b": 2}, {"b": 2, "a": 1}, {"a": 2}], [{"a": 1, "b": 2}, {"a": 3}], [{"a": 3}, {"a": 2}, {"a": 4}])):
+        write(tmp_path / "in" / f"{i}.out", json_lines(rows))
+    stream = stream_readings(spark, str(tmp_path / "in"), max_files=1)
+    path = fresh_path(spark, "unique")
+    query = running.write_unique(stream, path, fresh_path(spark, "state"))
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    found = [x[0] for x in running.read_unique(spark, path, stream).df.select(F.to_json("fields")).collect()]
+    assert sorted(json.dumps(json.loads(x), sort_keys=True) for x in found) == ['{"a": "1", "b": "2"}', '{"a": "2"}', '{"a": "3"}', '{"a": "4"}']
+    # A batch that failed before it was finished is not read.
+    spark.read.parquet(f"{path}/rows/version=0").write.parquet(f"{path}/rows/version=7")
+    assert running.read_unique(spark, path, stream).df.count() == 4
+
+
+def test_watermark_bounds_the_state(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL("k string, at timestamp")
+    for i in range(4):
+        rows = spark.range(100).selectExpr(f"concat('k', id + {100 * i}) k", f"timestamp_seconds({T0} + 86400 * {i} + id) at")
+        rows.union(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    r = running.running_unique(Readings(df, {"k": "k"}, ("at",)), ("at", "1 hour"))
+    path = fresh_path(spark, "rows")
+    query = running.write_rows(r.df, path, fresh_path(spark, "state"))
+    query.awaitTermination()
+    assert spark.read.parquet(path).count() == 400
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 200
