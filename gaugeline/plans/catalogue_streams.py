@@ -12,6 +12,7 @@ from ..model import Readings
 from ..operators.filters import FilterSpec
 from ..operators.updates import Update, apply_updates
 from ..session import fresh_path
+from ..sinks import text
 from ..streaming import changes, ring, running
 from ..streaming.source import stream_readings
 from .catalogue import EV, ERR, LATEST, LATEST_COLUMNS, QUARTS, _changes_sql, _sampling_sql, register, rounded
@@ -114,6 +115,23 @@ def stream_unique(spark, sf):
     return _rows(running.running_unique(few).df.select("sensor", "k"))
 
 
+@register(
+    "stream_auto",
+    f"""{EV} SELECT sensor, 'value' AS "column", count(*) AS count, round(min(value), 6) AS min, round(max(value), 6) AS max,
+      round(median(value), 6) AS median FROM ev GROUP BY sensor""",
+)
+def stream_auto(spark, sf):
+    """Events that arrive as JSON lines and as CSV, the columns of each file in an order of its own."""
+    ev = event_rows(events(spark, sf)).withColumn("value", F.col("value").cast("string"))
+    source = fresh_path(spark, "mixed")
+    for part, names in enumerate((["sensor", "value", "event_id"], ["event_id", "sensor", "value"])):
+        text.write_csv(Readings.typed(ev.where(F.col("event_id") % 3 == part), names, ["event_id"]), source, names, mode="append")
+    text.write_json(Readings.typed(ev.where(F.col("event_id") % 3 == 2), ["event_id", "sensor", "value"], ["event_id"]), source, mode="append")
+    path = fresh_path(spark, "stats")
+    running.write_stats(stream_readings(spark, source, format="auto"), path, fresh_path(spark, "state"), by=["sensor"]).awaitTermination()
+    return rounded(running.read_stats(spark, path).select("sensor", "column", "count", "min", "max", "median"))
+
+
 @register("stream_unique_exact", f"{EV} SELECT sensor, k, min(event_id % 3) AS part FROM ev GROUP BY sensor, k")
 def stream_unique_exact(spark, sf):
     """First copies of events in three parts, and the part each came with."""

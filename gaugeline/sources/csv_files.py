@@ -56,6 +56,35 @@ def fields_map(names: list[str]) -> Column:
     return F.when(F.col(BAD).isNull(), full).otherwise(F.map_filter(short, lambda _, v: v.isNotNull()))
 
 
+def _fields_of(line: Column) -> Column:
+    """The fields of a line without the quotes around them; a doubled quote inside is one."""
+    found = F.regexp_extract_all(F.regexp_replace(line, r"\r\z", ""), F.lit(FIELD), F.lit(0))
+
+    def plain(field: Column, i: Column) -> Column:
+        text = F.when((i > 0) | field.startswith(","), F.substring(field, 2, (1 << 31) - 1)).otherwise(field)
+        inner = F.replace(F.regexp_replace(text, '(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+        return F.when(text.startswith('"'), inner).otherwise(text)
+
+    return F.transform(found, plain)
+
+
+def parse_csv_lines(lines: DataFrame) -> DataFrame:
+    """Replace ``value`` by ``pos, fields``, the first line of each file being its header.
+
+    For whole files read as text lines, in which no field spans lines.
+    """
+    places = [c for c in lines.columns if c != "value"]
+    heads = lines.where("block = 0").groupBy("source").agg(F.min("row").alias("_first"))
+    names = lines.join(heads, "source").where((F.col("block") == 0) & (F.col("row") == F.col("_first"))).select(
+        "source", "_first", _fields_of(F.col("value")).alias("_names"))
+    data = lines.join(names, "source").where(((F.col("block") > 0) | (F.col("row") > F.col("_first"))) & (F.col("value") != ""))
+    cells = data.select(*places, "_names", _fields_of(F.col("value")).alias("_cells"))
+    count = F.least(F.size("_names"), F.size("_cells"))
+    keys = F.slice("_names", F.lit(1), count)
+    entries = F.filter(F.arrays_zip(keys.alias("key"), F.slice("_cells", F.lit(1), count).alias("value")), lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return cells.where(F.size("_names") > 0).select(*places, F.lit(0).alias("pos"), F.map_from_entries(entries).alias("fields"))
+
+
 def configured(reader, names: list[str], spans: bool):
     """Schema and options for rows under these names, on a batch or a stream reader."""
     columns = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]

@@ -11,8 +11,6 @@ order the result does not depend on how the files are dealt out to batches.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,7 +174,7 @@ def write_sampling(r: Readings, path: str, checkpoint: str, trigger: dict | None
 
     def update(batch: DataFrame, batch_id: int) -> None:
         if not kept.finished(batch_id):
-            kept.write(batch_gaps(replace(r, df=batch), kept.read(batch_id)), batch_id)
+            kept.write(batch_gaps(in_order(r, batch), kept.read(batch_id)), batch_id)
 
     writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -128,7 +128,7 @@ def write_stats(
     def update(batch: DataFrame, batch_id: int) -> None:
         if kept.finished(batch_id):
             return
-        found = folded(stats.measurements(replace(r, df=batch), columns, by), keys, "measure")
+        found = folded(stats.measurements(in_order(r, batch), columns, by), keys, "measure")
         before = kept.read(batch_id)
         if before is not None:
             old = before.withColumnRenamed("_c", "_old")

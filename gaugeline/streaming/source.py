@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import UTC
 from ..model import RAW_ORDER, Readings
-from ..sources.csv_files import configured, fields_map
+from ..sources.csv_files import configured, fields_map, parse_csv_lines
 from ..sources.json_lines import parse_lines
 from ..sources.lines import ROW_BITS
 
@@ -41,6 +41,10 @@ def in_order(r: Readings, batch: DataFrame) -> Readings:
     """
     if "arrived" in r.order and "row" in batch.columns:
         batch = batch.withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
+    if "fields" not in batch.columns and "value" in batch.columns and r.is_raw:
+        lines = batch.select(*STREAM_ORDER[:-1], "value")
+        csv = F.lower("source").endswith(".csv")
+        batch = parse_lines(lines.where(~csv)).unionByName(parse_csv_lines(lines.where(csv)))
     return replace(r, df=batch)
 
 
@@ -48,7 +52,11 @@ def stream_readings(
     spark: SparkSession, directory: str, format: str = "json", columns: Sequence[str] | None = None,
     recursive: bool = True, max_files: int | None = None, tz: str = UTC, strict: bool = False,
 ) -> Readings:
-    """A streaming frame of raw readings; ``columns`` names the CSV columns."""
+    """A streaming frame of raw readings; ``columns`` names the CSV columns.
+
+    With ``auto``, CSV is what ends in ``.csv``, each file has its own header, and lines are parsed per micro-batch (``in_order``);
+    so this is for the results that are kept per batch: changes, sampling, last points, exact statistics and unique readings.
+    """
     reader = spark.readStream.option("recursiveFileLookup", str(recursive).lower())
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -56,6 +64,8 @@ def stream_readings(
         reader = reader.option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
     if format == "json":
         df = parse_lines(reader.text(directory).select(*_place(), "value"))
+    elif format == "auto":
+        df = reader.text(directory).select(*_place(), F.lit(0).alias("pos"), "value")
     elif format == "csv":
         if not columns:
             raise ValueError("a CSV stream needs the names of its columns")

@@ -243,3 +243,16 @@ def test_watermark_bounds_the_state(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(path).count() == 400
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 200
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_formats_and_headers_by_file(spark, tmp_path, files):
+    write(tmp_path / "in" / "1.csv", 'sensor,value,note\r\na,1,"x, ""y"""\r\n"b",2\r\n\r\n')
+    write(tmp_path / "in" / "2.CSV", "value,sensor,value\n3,a,9\n")
+    write(tmp_path / "in" / "3.out", '{"sensor":"a","value":4}\n')
+    path = fresh_path(spark, "unique")
+    stream = stream_readings(spark, str(tmp_path / "in"), format="auto", max_files=files)
+    running.write_unique(stream, path, fresh_path(spark, "state")).awaitTermination()
+    found = [x[0] for x in running.read_unique(spark, path, stream).df.select("fields").collect()]
+    wanted = [{"sensor": "a", "value": "1", "note": 'x, "y"'}, {"sensor": "b", "value": "2"}, {"value": "3", "sensor": "a"}, {"value": "4", "sensor": "a"}]
+    assert sorted(json.dumps(x, sort_keys=True) for x in found) == sorted(json.dumps(x, sort_keys=True) for x in wanted)
