@@ -12,7 +12,7 @@ How it stays linear:
   at least ``FREQUENT`` documents, at most ``MAX_FREQUENT`` of them, are sent to all tasks.  Which tokens these are only decides the order;
   any order gives the same result.
 * Where more than ``CROWD`` documents meet, each is first compared with about ``HUBS`` of them, in rounds with different ones for as long as
-  a round finds links and such crowds are left.  What links is one component, and later only pairs across components are compared.  So a
+  a round joins many of them and such crowds are left.  What links is one component, and later only pairs across components are compared.  So a
   large group of near copies costs some comparisons each.
 
 Tokens are 64-bit hashes.  Inside, a row is known by a hash of its doc_id and text, so rows that repeat a doc_id with another text are
@@ -284,7 +284,7 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
     fits = lambda x, y: (p * F.col(x) <= q * F.col(y)) & (p * F.col(y) <= q * F.col(x))
     found = spark.createDataFrame([], "a long, b long")
     labels = None
-    crowded = met.where(F.col("n") > CROWD)
+    crowded = met.where(F.col("n") > CROWD).withColumn("rest", F.col("n"))
     k = 0
     while not crowded.isEmpty():
         here = labelled(crowded, labels)
@@ -301,10 +301,12 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
             break
         found, k = common.saved(found.union(new), "links"), k + 1
         labels = components(found)
-        # Crowds in which more than CROWD documents are outside of the largest component.
-        parts = labelled(crowded.select("token", "doc_id"), labels).groupBy("token", "component").agg(F.count("*").alias("c"))
-        left = parts.groupBy("token").agg((F.sum("c") - F.max("c")).alias("rest")).where(F.col("rest") > CROWD).select("token")
-        crowded = common.saved(crowded.join(left, "token", "left_semi"), "crowds")
+        # Crowds in which more than CROWD documents are outside of the largest component, and clearly fewer than before: where a round
+        # joins hardly any documents, these have little in common but the token, and further hubs would not join them either.
+        parts = labelled(crowded.select("token", "doc_id", "rest"), labels).groupBy("token", "component").agg(F.count("*").alias("c"), F.max("rest").alias("was"))
+        rest = parts.groupBy("token").agg((F.sum("c") - F.max("c")).alias("rest"), F.max("was").alias("was"))
+        left = rest.where((F.col("rest") > CROWD) & (4 * F.col("rest") <= 3 * F.col("was"))).select("token", "rest")
+        crowded = common.saved(crowded.drop("rest").join(left, "token"), "crowds")
     here = labelled(met, labels).select("token", "doc_id", "size", "at", "component")
     other = here.select(
         "token", F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"), F.col("component").alias("other_component"))
