@@ -353,8 +353,8 @@ def grouped_sets(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFr
 
 def frequent_tokens(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens, at most MAX_FREQUENT; the others are ordered by their hash alone."""
-    found = frequent(packed).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    return found["token"].to_numpy(np.uint32), found["n"].to_numpy(np.int64)
+    found = frequent(packed).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()  # not as rows, which take many times the memory
+    return found["token"].to_numpy().astype(np.uint32), found["n"].to_numpy()
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

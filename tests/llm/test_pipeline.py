@@ -26,7 +26,7 @@ def test_stages_on_odd_rows(spark, odd, sf_dir):
 
 
 def test_names_and_line_oracle(spark, sf_dir):
-    assert sorted(int(k[2:].split("_")[0]) for k in catalogue.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in catalogue.QUERIES) == list(range(1, 14))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     for name, sql in catalogue.ORACLES.items():
