@@ -260,6 +260,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def starred(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: what is linked with a node is linked with the node's least neighbour instead."""
+    far = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    least = far.groupBy("u").agg(F.min("v").alias("m"))
+    others = far.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return least.select(F.col("u").alias("a"), F.col("m").alias("b")).union(others)
+
+
+def extended(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels with more links: only components that these join are labelled anew."""
+    if labels is None:
+        return components(starred(edges))
+
+    def of(c: str) -> DataFrame:
+        return labels.select(F.col("doc_id").alias(c), F.col("component").alias(f"of_{c}"))
+
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+    joined = components(starred(common.saved(between, "between")))
+    moved = joined.select(F.col("doc_id").alias("component"), F.col("component").alias("newer"))
+    old = labels.join(moved, "component", "left").select("doc_id", F.coalesce("newer", "component").alias("component"))
+    fresh = joined.select("doc_id", "component").join(labels.select("doc_id"), "doc_id", "left_anti")
+    return common.saved(old.union(fresh), "labels")
+
+
 def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return met.withColumn("component", F.col("doc_id"))
@@ -267,8 +292,7 @@ def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: links between representatives that connect all that is connected."""
-    spark = docs.sparkSession
+    """doc_id, component of the representatives that are linked with others."""
     p, q = similarity
     met = meetings(docs, order, n, bits, similarity).join(reps.select("doc_id"), "doc_id", "left_semi")
     met = common.saved(met.select("token", "doc_id", "size", "at"), "met")
@@ -282,7 +306,6 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
         return common.saved(likely.join(wanted.drop("h"), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
 
     fits = lambda x, y: (p * F.col(x) <= q * F.col(y)) & (p * F.col(y) <= q * F.col(x))
-    found = spark.createDataFrame([], "a long, b long")
     labels = None
     crowded = met.where(F.col("n") > CROWD).withColumn("rest", F.col("n"))
     k = 0
@@ -299,8 +322,7 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
         common.discard(texts)
         if new.isEmpty():
             break
-        found, k = common.saved(found.union(new), "links"), k + 1
-        labels = components(found)
+        labels, k = extended(labels, new), k + 1
         # Crowds in which more than CROWD documents are outside of the largest component, and clearly fewer than before: where a round
         # joins hardly any documents, these have little in common but the token, and further hubs would not join them either.
         parts = labelled(crowded.select("token", "doc_id", "rest"), labels).groupBy("token", "component").agg(F.count("*").alias("c"), F.max("rest").alias("was"))
@@ -316,7 +338,7 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
         F.count("*").alias("met"), F.max("at").alias("at"), F.max("other_at").alias("other_at"))
     most = F.col("met") + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) - 1
     pairs = common.saved(shared.where(most * (p + q) >= p * (F.col("size") + F.col("other_size"))).select("a", "b"), "pairs")
-    return found.union(verified(pairs, texts_of(pairs), order, n, similarity))
+    return extended(labels, common.saved(verified(pairs, texts_of(pairs), order, n, similarity), "links"))
 
 
 def groups(docs: DataFrame, n: int = N, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -338,8 +360,7 @@ def grouped_sets(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFr
     common.discard(made)
     # A class is known by one of its rows; only these are compared.
     reps = common.saved(sets.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("node").alias("rep")), "classes")
-    edges = common.saved(links(plain, reps.select(F.col("rep").alias("doc_id")), order, n, bits, similarity), "all-links")
-    labels = components(edges).withColumnRenamed("doc_id", "rep")
+    labels = links(plain, reps.select(F.col("rep").alias("doc_id")), order, n, bits, similarity).withColumnRenamed("doc_id", "rep")
     grouped = reps.join(labels, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     rows = common.saved(given.select("doc_id", node.alias("node")).join(sets.dropDuplicates(["node"]), "node").drop("node"), "rows")
     classes = rows.where("size > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")).join(grouped, ["f1", "f2"])
