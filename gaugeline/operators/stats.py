@@ -16,6 +16,7 @@ from ..functions import numbers
 from ..functions.dates import epoch_text
 from ..functions.text import duration_text
 from ..model import MISSING, Readings
+from ..session import fresh_path, written
 from .ordered import change_summary, with_previous
 from .quantiles import folded, quantiles, with_quantiles
 from .skew import GROUP_ROWS
@@ -130,9 +131,12 @@ def outliers(
 def value_summary(
     r: Readings, columns: Sequence[str] | str = ("value",), by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """What :func:`basic`, :func:`quartiles` and :func:`outliers` give."""
+    """What :func:`basic`, :func:`quartiles` and :func:`outliers` give; text is parsed once and its folded values are stored."""
     keys = _keys(by)
     rows = measurements(r, columns, by).select(*keys, "measure")
+    if r.is_raw and not r.df.isStreaming:
+        spark = r.df.sparkSession
+        return summary_of(written(folded(rows, keys, "measure"), fresh_path(spark, "folded")), keys, ranges)
     return _basic(rows, keys).join(_fenced(rows, keys, ranges), keys)
 
 
@@ -158,10 +162,14 @@ def changes(
     return change_summary(rows, keys, "measure", timed.order, levels, limit, always=not by)
 
 
+def moment(r: Readings) -> Column:
+    """The timestamp that counts in time statistics."""
+    return r.number("timestamp").cast("bigint") if r.strict else r.timestamp()
+
+
 def _timestamps(r: Readings, by: Sequence[str]) -> DataFrame:
-    ts = r.number("timestamp").cast("bigint") if r.strict else r.timestamp()
     groups = [F.coalesce(r.field(c), F.lit(MISSING)).alias(c) for c in by]
-    return r.df.select(*groups, ts.alias("ts")).where(F.col("ts").isNotNull())
+    return r.df.select(*groups, moment(r).alias("ts")).where(F.col("ts").isNotNull())
 
 
 def time_range(r: Readings, by: Sequence[str] = ()) -> DataFrame:
@@ -187,7 +195,12 @@ def intervals(r: Readings, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> D
 
     Equal timestamps are folded first, so a slice of the time line has a bounded number of rows.
     """
-    stamps = _timestamps(r, by).groupBy(*by, "ts").agg(F.count(F.lit(1)).alias("copies"))
+    return intervals_of(_timestamps(r, by), by, limit)
+
+
+def intervals_of(times: DataFrame, by: Sequence[str] = (), limit: int = GROUP_ROWS) -> DataFrame:
+    """The same of rows ``by, ts``."""
+    stamps = times.groupBy(*by, "ts").agg(F.count(F.lit(1)).alias("copies"))
     steps = with_previous(stamps, by, ["ts"], [[F.shiftright("ts", TIME_BITS)]], ["ts"], limit)
     zero = F.lit(0).cast("bigint")
     step = F.struct((F.col("ts") - F.col("previous.ts")).alias("seconds"), F.lit(1).cast("bigint").alias("n"))

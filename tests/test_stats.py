@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import statistics
 
@@ -12,6 +13,7 @@ from gaugeline.operators import stats
 from gaugeline.operators.ordered import first_n, stretches, with_previous
 from gaugeline.operators.quantiles import folded, quantiles, ranked_pieces, wanted_pieces, with_quantiles
 from gaugeline.operators.skew import sliced
+from gaugeline.sources.readings import read_readings
 
 from .helpers import raw, values
 
@@ -228,3 +230,19 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert sorted(map(str, stats.changes(r, by=["sensor"], limit=50).collect())) == sorted(
         map(str, stats.changes(again, by=["sensor"], limit=50).collect())
     )
+
+
+def test_a_summary_of_text_parses_it_once(spark, tmp_path):
+    rows = [{"a": i % 5, "b": i * 0.5, "c": "x"} for i in range(40)]
+    (tmp_path / "log.out").write_text("".join(json.dumps(x) + "\n" for x in rows))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return True
+
+    r = read_readings(spark, str(tmp_path / "log.out"), format="json")
+    found = stats.value_summary(r.with_df(r.df.where(F.udf(counted, "boolean")("source"))), stats.ALL).collect()
+    assert seen.value == 40
+    assert {x["column"]: (x["count"], x["mean"], x["median"], x["outliers"]) for x in found} == {"a": (40, 2.0, 2.0, 0), "b": (40, 9.75, 9.75, 0)}
+    assert {x["column"]: round(x["stddev"], 9) for x in found} == {k: round(statistics.stdev([x[k] for x in rows]), 9) for k in "ab"}
