@@ -227,13 +227,14 @@ def parquet_export(spark, sf):
 # -- discovery, configuration files, line numbers --------------------------------------------------------------
 
 
-def log_by_sensor(spark, sf) -> str:
-    """A directory per sensor with one JSON log, in the order of events."""
+def log_by_sensor(spark, sf, one_file: bool = True) -> str:
+    """A directory per sensor with one JSON log in the order of events, or with logs that the tasks write side by side."""
     path = fresh_path(spark, "events-by-sensor")
     r = _plain(spark, sf)
     lines = text.rendered_json(r, keep=["event_id"]).withColumnRenamed("line", "value")
     lines = lines.withColumn("kind", F.regexp_extract("value", '"sensor": "([a-z]+)"', 1))
-    lines.repartition("kind").sortWithinPartitions("kind", "event_id").select("value", "kind").write.partitionBy("kind").text(path)
+    dealt = lines.repartition("kind") if one_file else lines
+    dealt.sortWithinPartitions("kind", "event_id").select("value", "kind").write.partitionBy("kind").text(path)
     return path
 
 
@@ -245,7 +246,7 @@ def log_by_sensor(spark, sf) -> str:
 )
 def read_discovery(spark, sf):
     """What a directory of directories gives: all of it, nothing without going down, nothing of another extension, one directory."""
-    path, found = log_by_sensor(spark, sf), None
+    path, found = log_by_sensor(spark, sf, one_file=False), None
     ways = {
         "deep": (path, {"recursive": True}), "txt": (path, {"recursive": True, "extension": "txt", "max_depth": 1}), "flat": (path, {}),
         "top": (path, {"recursive": True, "max_depth": 0}), "log": (path, {"recursive": True, "extension": ".log"}), "one": (f"{path}/kind=view", {}),

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import warnings
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeline import FilterSpec, Query
 from gaugeline.operators import counts
+from gaugeline.plans import catalogue_files
 from gaugeline.sources.error_definitions import load_error_definitions
+from gaugeline.sources.json_lines import parse_lines
 from gaugeline.sources.readings import allowed_values, open_log, read_readings, stage
 from gaugeline.operators.errors import BUILTIN
 
@@ -271,3 +274,22 @@ def test_staged_days_are_pruned(spark, tmp_path):
     with contextlib.redirect_stdout(out):
         kept.explain("formatted")
     assert "_day" in out.getvalue().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_lines_are_parsed_once(spark):
+    """No filter over the parsed objects below their explode: it would parse every line a second time."""
+    lines = spark.createDataFrame([('{"a": 1}',)], "value string")
+    plan = parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "from_json" in x]
+
+
+def test_logs_of_discovery_are_written_side_by_side(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 5).alias("user_id"), F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("event_type"),
+        F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    files = list(Path(catalogue_files.log_by_sensor(spark, str(tmp_path), one_file=False)).glob("kind=view/*.txt"))
+    assert len(files) > 1
+    found = {(x["how"], x["sensor"]): x["count"] for x in catalogue_files.read_discovery(spark, str(tmp_path)).collect()}
+    assert found == {(how, s): 200 for how, s in [("deep", "view"), ("deep", "click"), ("txt", "view"), ("txt", "click"), ("one", "view")]}
