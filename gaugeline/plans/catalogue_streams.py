@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -208,9 +209,20 @@ def stream_last_n(spark, sf):
         (F.col("pos") < F.col("historical")).alias("historical"), "min_value", "max_value")
 
 
-def _segments(spark, sf, parts: int, stamped: bool = True) -> str:
-    """The events as JSON lines in so many files, written one after the other in the order of their ids."""
-    source = fresh_path(spark, "text")
+def _side_by_side(spark, folder: str, known: set[str], at: int) -> None:
+    """One time of writing for all new files of a folder: tasks end in any order, the names of their files are in the order of the rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(where):
+        name = status.getPath().getName()
+        if name not in known:
+            known.add(name)
+            system.setTimes(status.getPath(), at, -1)
+
+
+def _arriving(spark, sf, parts: int, stamped: bool = True) -> Iterator[str]:
+    """A folder with the events as JSON lines, after each of so many parts; the parts and the files in them are in the order of the ids."""
+    source, known, at = fresh_path(spark, "text"), set(), 0
     ev = event_rows(events(spark, sf))
     ends = ev.agg(F.max("event_id")).first()[0] + 1
     names = ["event_id", "sensor_id", "sensor", "value", *(["timestamp"] if stamped else [])]
@@ -219,8 +231,10 @@ def _segments(spark, sf, parts: int, stamped: bool = True) -> str:
         rows = ev.where((F.col("event_id") >= low) & (F.col("event_id") < high))
         line = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), F.col(n).cast("string")) if n in ("event_id", "value", "timestamp")
                                                         else F.concat(F.lit(f'"{n}": "'), F.col(n), F.lit('"')) for n in names]), F.lit("}"))
-        rows.orderBy("event_id").coalesce(1).select(line.alias("value")).write.mode("append").text(source)
-    return source
+        rows.orderBy("event_id").select(line.alias("value")).write.mode("append").text(source)
+        at = max(at + 1000, time.time_ns() // 1_000_000)
+        _side_by_side(spark, source, known, at)
+        yield source
 
 
 @register(
@@ -233,11 +247,12 @@ def _segments(spark, sf, parts: int, stamped: bool = True) -> str:
 )
 def stream_text_changes(spark, sf):
     """Changes in the order of arrival of text without timestamps, in one batch and in seven: the same."""
-    source, found = _segments(spark, sf, 7, stamped=False), None
-    for batches, files in ((1, 7), (7, 1)):
-        path = fresh_path(spark, "changes")
-        stream = stream_readings(spark, source, max_files=files)
-        changes.write_changes(stream, path, fresh_path(spark, "state"), by_time=False).awaitTermination()
+    parts, state, whole = (fresh_path(spark, n) for n in ("changes", "state", "changes"))
+    for source in _arriving(spark, sf, 7, stamped=False):
+        changes.write_changes(stream_readings(spark, source), parts, state, by_time=False).awaitTermination()
+    changes.write_changes(stream_readings(spark, source), whole, fresh_path(spark, "state"), by_time=False).awaitTermination()
+    found = None
+    for batches, path in ((1, whole), (7, parts)):
         one = rounded(changes.read_changes(spark, path), 9).drop("count", "first_ts", "last_ts").withColumn("part", F.lit(batches))
         found = one if found is None else found.unionByName(one)
     return found
@@ -246,7 +261,7 @@ def stream_text_changes(spark, sf):
 @register("stream_sampling", _sampling_sql("sensor_id"))
 def stream_sampling(spark, sf):
     """Sampling gaps of events that arrive as text in five parts."""
-    path = fresh_path(spark, "gaps")
-    stream = stream_readings(spark, _segments(spark, sf, 5), max_files=1)
-    changes.write_sampling(stream, path, fresh_path(spark, "state")).awaitTermination()
+    path, state = (fresh_path(spark, n) for n in ("gaps", "state"))
+    for source in _arriving(spark, sf, 5):
+        changes.write_sampling(stream_readings(spark, source), path, state).awaitTermination()
     return changes.read_sampling(spark, path)

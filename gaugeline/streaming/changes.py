@@ -2,7 +2,7 @@
 
 Each micro-batch is summarised with the batch operators, which cut up sensors that have too much data for one
 task, and the summaries are merged into a kept table with one row per sensor, of which a batch writes the rows of its own
-sensors.  A row of batch n is computed from that of the batches before and the data of batch n alone and is written under
+sensors.  What these steps need of a batch is parsed once and stored while they run.  A row of batch n is computed from that of the batches before and the data of batch n alone and is written under
 the number n, so repeating a batch after a failure gives the same table.
 
 Within a batch readings are taken in the order of their timestamps or of their arrival; batches follow each other.  In arrival
@@ -11,12 +11,16 @@ order the result does not depend on how the files are dealt out to batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Readings
 from ..operators import stats
 from ..operators.ordered import change_summary
+from ..session import written
 from .running import read_latest
 from .source import in_order
 from .store import Kept
@@ -27,7 +31,20 @@ STATE = (
 )
 
 
-def summarise(r: Readings, field: str = "value", by_time: bool = True) -> DataFrame:
+Once = Callable[[DataFrame], DataFrame]
+
+
+@contextmanager
+def parsed_once(kept: Kept, batch_id: int) -> Iterator[Once]:
+    """Gives a function that stores the rows of a batch beside the result; they go when the batch is done."""
+    path = f"{kept.path}/_batch-{batch_id}"
+    try:
+        yield lambda rows: written(rows, path)
+    finally:
+        kept.remove(path)
+
+
+def summarise(r: Readings, field: str = "value", by_time: bool = True, once: Once = lambda rows: rows) -> DataFrame:
     """One row per sensor of a batch, in the form that :func:`merge` combines.
 
     Readings are taken in the order of their timestamps, or else in that of their arrival.
@@ -36,7 +53,7 @@ def summarise(r: Readings, field: str = "value", by_time: bool = True) -> DataFr
     df = df.withColumn("_ts", F.coalesce(r.timestamp(), F.lit(0).cast("bigint")))
     order = ["_ts", *r.order] if by_time else list(r.order)
     kept = list(dict.fromkeys([*order, "_ts"]))
-    rows = df.where(F.col("sensor_id").isNotNull() & F.col("_v").isNotNull()).select("sensor_id", "_v", *kept)
+    rows = once(df.where(F.col("sensor_id").isNotNull() & F.col("_v").isNotNull()).select("sensor_id", "_v", *kept))
     levels = r.arrival_levels()
     if by_time:
         levels = [[F.shiftright("_ts", stats.TIME_BITS)], *[[F.col("_ts"), *level] for level in levels]]
@@ -120,12 +137,13 @@ def write_changes(
     def update(batch: DataFrame, batch_id: int) -> None:
         if kept.finished(batch_id):
             return
-        found = summarise(in_order(r, batch), field, by_time)
-        before = kept.read(batch_id)
-        if before is not None:
-            # Only the sensors of this batch change.
-            found = merge(before.join(found.select("sensor_id"), "sensor_id", "left_semi"), found)
-        kept.write(found, batch_id)
+        with parsed_once(kept, batch_id) as once:
+            found = summarise(in_order(r, batch), field, by_time, once)
+            before = kept.read(batch_id)
+            if before is not None:
+                # Only the sensors of this batch change.
+                found = merge(before.join(found.select("sensor_id"), "sensor_id", "left_semi"), found)
+            kept.write(found, batch_id)
 
     writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -140,15 +158,17 @@ def read_changes(spark, path: str) -> DataFrame:
 GAP_KEYS = ("sensor_id", "seconds")
 
 
-def batch_gaps(r: Readings, before: DataFrame | None) -> DataFrame:
+def batch_gaps(r: Readings, before: DataFrame | None, once: Once = lambda rows: rows) -> DataFrame:
     """``sensor_id, seconds, n, last_ts``: the time differences that a batch adds, with that to the batch before it.
 
     The last timestamp of a sensor so far is the row without ``seconds``.
     """
-    named = r.with_df(r.df.where(r.field("sensor_id").isNotNull()))
-    inside = stats.intervals(named, ["sensor_id"]).select("sensor_id", "seconds", "n", F.lit(None).cast("bigint").alias("last_ts"))
+    sensor = r.field("sensor_id")
+    named = once(r.df.where(sensor.isNotNull()).select(sensor.alias("sensor_id"), stats.moment(r).alias("moment"), r.timestamp().alias("ts")))
     nothing = F.lit(None).cast("bigint")
-    times = named.df.select(named.field("sensor_id").alias("sensor_id"), named.timestamp().alias("ts")).where("ts is not null")
+    moments = named.where("moment is not null").select("sensor_id", F.col("moment").alias("ts"))
+    inside = stats.intervals_of(moments, ["sensor_id"]).select("sensor_id", "seconds", "n", nothing.alias("last_ts"))
+    times = named.where("ts is not null").select("sensor_id", "ts")
     ends = times.groupBy("sensor_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     if before is None:
         return inside.union(ends.select("sensor_id", nothing, nothing, "last"))
@@ -173,8 +193,10 @@ def write_sampling(r: Readings, path: str, checkpoint: str, trigger: dict | None
     kept = Kept(r.df.sparkSession, path, GAP_KEYS)
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        if not kept.finished(batch_id):
-            kept.write(batch_gaps(in_order(r, batch), kept.read(batch_id)), batch_id)
+        if kept.finished(batch_id):
+            return
+        with parsed_once(kept, batch_id) as once:
+            kept.write(batch_gaps(in_order(r, batch), kept.read(batch_id), once), batch_id)
 
     writer = r.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

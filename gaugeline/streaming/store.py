@@ -106,6 +106,9 @@ class Kept:
         self._publish(Manifest(version, parts, self.keys))
         self._clean()
 
+    def remove(self, path: str) -> None:
+        self._files.delete(self._paths(path), True)
+
     def _publish(self, manifest: Manifest) -> None:
         text = json.dumps({"version": manifest.version, "parts": manifest.parts, "keys": manifest.keys})
         draft = self._paths(self.path, f"_draft-{manifest.version}")

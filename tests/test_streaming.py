@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeline import FilterSpec, Readings, Update, apply_updates
 from gaugeline.operators import counts, stats
 from gaugeline.operators.errors import summarise_errors
+from gaugeline.plans import catalogue_streams
 from gaugeline.session import fresh_path
 from gaugeline.sources.readings import read_readings
 from gaugeline.streaming import changes, ring, running, store
@@ -256,3 +258,42 @@ def test_formats_and_headers_by_file(spark, tmp_path, files):
     found = [x[0] for x in running.read_unique(spark, path, stream).df.select("fields").collect()]
     wanted = [{"sensor": "a", "value": "1", "note": 'x, "y"'}, {"sensor": "b", "value": "2"}, {"value": "3", "sensor": "a"}, {"value": "4", "sensor": "a"}]
     assert sorted(json.dumps(x, sort_keys=True) for x in found) == sorted(json.dumps(x, sort_keys=True) for x in wanted)
+
+
+@pytest.mark.parametrize("kind", ["changes", "sampling"])
+def test_a_batch_is_worked_out_once(spark, tmp_path, kind):
+    """However many steps there are over a batch, each of its rows is read and parsed once."""
+    rows = [(i, f"s{i % 3}", float(i % 7), 1704067200 + 60 * i) for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, sensor_id string, value double, timestamp long").write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.readStream.schema("event_id long, sensor_id string, value double, timestamp long").parquet(str(tmp_path / "in"))
+    df = df.withColumn("sensor_id", F.udf(counted, "string")("sensor_id"))
+    r = Readings.typed(df, ["sensor_id", "value", "timestamp"], ["event_id"])
+    write = changes.write_changes if kind == "changes" else changes.write_sampling
+    path = fresh_path(spark, kind)
+    write(r, path, fresh_path(spark, "state")).awaitTermination()
+    assert seen.value == 30
+    found = changes.read_changes(spark, path) if kind == "changes" else changes.read_sampling(spark, path)
+    assert found.count() == 3
+    assert not [n for n in store.Kept(spark, path)._names() if n.startswith("_batch")]
+
+
+def test_parts_arrive_in_the_order_of_their_rows(spark, tmp_path):
+    """Several files in a part: the modification times and names of all files are in the order of the ids."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 5).alias("user_id"), F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        *_, source = catalogue_streams._arriving(spark, str(tmp_path), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = sorted((x for x in Path(source).iterdir() if x.suffix == ".txt"), key=lambda x: (x.stat().st_mtime_ns, x.name))
+    ids = [json.loads(line)["event_id"] for x in files for line in x.read_text().splitlines()]
+    assert len(files) > 2 and ids == list(range(3000))
