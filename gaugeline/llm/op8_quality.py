@@ -1,17 +1,24 @@
 """Quality by the perplexity of a language model.
 
-Method: an interpolated modified Kneser-Ney model of ``ORDER`` symbols, trained on all documents that are labelled as good.
-Symbols are classes of characters (``symbol_table``), so texts of any script share an alphabet of ``ALPHABET`` symbols, and a
-model has at most ``ALPHABET ** ORDER`` entries whatever the corpus.  Every task counts the n-grams of its documents, the
-counts are summed in shards by n-gram, continuation counts and context totals are derived from them by grouping and joined to
-them, and the discounts come from the counts of counts.  The model of bounded size goes to all tasks, which score whole texts.
+Method: an interpolated modified Kneser-Ney model of words (what stands between white space, A-Z in lower case), trained on the documents that
+are labelled as good.  Every task counts the pairs of neighbouring words of its documents, the counts are summed in shards by pair,
+continuation counts and context totals are derived from them by grouping, and the discounts come from the counts of counts.  The pairs of the
+model and those of the documents meet in ranges of their hashes: the probability of a text is the sum of what each of its pairs adds, so only
+sums come back to the documents.  A text begins and ends with a mark.
 
-A document's score is its mean negative log probability, drawn to the mean of its language by ``PRIOR`` symbols so that a
+The model has ids for the ``VOCABULARY`` most frequent words.  Any other word is the unknown word, spelled out by a model of its characters: an
+interpolated modified Kneser-Ney model of ``ORDER`` classes of characters (``symbol_table``), which has at most ``ALPHABET ** ORDER`` entries.  So no
+word is ignored and nothing that is held at once grows with the corpus.
+
+There are two models of words, and the hash of a text decides which one scores it; the other one is trained on it, if it is a good one.  So no text,
+nor any copy of it, is scored by a model that has seen it, and the scores of trusted and of other documents compare.
+
+A document's score is its mean negative log probability by word, drawn to the mean of its language by ``PRIOR`` words so that a
 few words are not judged by chance.  It is kept while the score is at most m + SPREAD * (q - m), where m and q are the median
 and the 0.99 quantile of the trusted documents of its language; a language without trusted documents takes those of all.
 
-Defined results: a null or empty text has no symbols, a null perplexity and is kept; a null language is a language; repeated
-rows are scored each; without any trusted document all are kept with a null threshold.
+Defined results: a text without words has no symbols, a null perplexity and is kept, any other one a symbol more than it has words, for its end; a
+null language is a language; repeated rows are scored each; without any trusted document all are kept with a null threshold.
 """
 
 from __future__ import annotations
@@ -24,6 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .op3_jaccard import pack, unpack
+from .words import VISIBLE, batch_hashes, groups_of
+
+# Symbols of the model of words: marks at the ends of a text, the unknown word, and the words of the vocabulary.
+BITS = 17
+START, END, UNKNOWN, FIRST = 1, 2, 3, 4
+VOCABULARY = (1 << BITS) - FIRST
+MODEL = 1 << 2 * BITS  # this bit of a pair tells the model
+FLUSH = 1 << 20
+DOCS, DOC_BITS = 1 << 12, 12
+RANGE_PAIRS = 1 << 19
 
 ORDER = 4
 ALPHABET = 48
@@ -109,6 +127,14 @@ def count_grams(df: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What is taken off counts of one, two and more, by how many counts are one, two, three and four."""
+    if n1 and n2 and n3:
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(x, 0.05), k - 0.05) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+    return [0.5, 0.75, 0.9]  # too few counts to estimate from
+
+
 def probabilities(counts: DataFrame) -> np.ndarray:
     """log P of the last symbol of every n-gram of the alphabet, as a dense table."""
     levels = [common.saved(counts, "grams")]
@@ -118,11 +144,7 @@ def probabilities(counts: DataFrame) -> np.ndarray:
     for grams_of in reversed(levels):
         found = grams_of.groupBy(F.least("n", F.lit(4)).alias("n")).count().collect()  # four rows
         n1, n2, n3, n4 = (dict(map(tuple, found)).get(k, 0) if k < 4 else grams_of.where("n = 4").count() for k in (1, 2, 3, 4))
-        if n1 and n2 and n3:
-            y = n1 / (n1 + 2 * n2)
-            d = [min(max(x, 0.05), k - 0.05) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-        else:
-            d = [0.5, 0.75, 0.9]  # too few counts to estimate from
+        d = discounts(n1, n2, n3, n4)
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         rows = grams_of.withColumn("context", F.floor(F.col("gram") / ALPHABET)).withColumn("off", off)
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("held"))
@@ -139,30 +161,277 @@ def probabilities(counts: DataFrame) -> np.ndarray:
     return np.log(dense).astype(np.float32)
 
 
-def scored(df: DataFrame, model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of all rows, with the number of symbols ``_n`` and their summed negative log probability ``_nll``."""
+class Words:
+    """What tasks know of one model of words, by the symbols of its vocabulary."""
+
+    def __init__(self, words: np.ndarray):
+        """``words``: hashes of the vocabulary, the symbols are given in this order."""
+        place = np.argsort(words)
+        self.words, self.symbols = words[place], place + FIRST
+
+    def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(hashes), UNKNOWN)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.symbols[at], UNKNOWN)
+
+    def learn(self, pairs: dict[str, np.ndarray], follows: dict[str, np.ndarray], cut: list[float]) -> None:
+        """From the totals of each context (``pairs``), in how many different contexts a symbol stands (``follows``), and the discounts of pairs."""
+        self.cut = np.array([0.0, *cut])
+        n = follows["n"]
+        off = np.array([0.0, *discounts(*(int((n == k).sum()) for k in (1, 2, 3, 4)))])[np.minimum(n, 3)]
+        total, size = max(1, int(n.sum())), len(self.words) + 2  # the unknown word and the end are symbols too
+        p = np.full(1 << BITS, (off.sum() / total if len(n) else 1.0) / size)
+        p[follows["symbol"]] += (n - off) / total
+        self.single = p
+        self.total, self.back = np.ones(1 << BITS), np.ones(1 << BITS)  # a context that was not met leaves all to the single symbols
+        self.total[pairs["symbol"]] = pairs["total"]
+        self.back[pairs["symbol"]] = (pairs["ones"] * cut[0] + pairs["twos"] * cut[1] + pairs["more"] * cut[2]) / pairs["total"]
+        self.log_single, self.log_back = np.log(p), np.log(self.back)
+
+    def added(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How much larger the log probability of a pair that was met is than that of its second symbol alone, behind its first."""
+        a, b = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        p = (n - self.cut[np.minimum(n, 3)]) / self.total[a] + self.back[a] * self.single[b]
+        return np.log(p) - self.log_back[a] - self.log_single[b]
+
+
+def sequences(texts: list[str], which: np.ndarray, models: list[Words]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of symbols of several texts, the text of each pair, the number of words of each text, and the unknown words."""
+    hashes, cut = batch_hashes(texts, VISIBLE)
+    n = np.diff(cut)
+    word_in = np.repeat(np.arange(len(texts)), n)
+    symbols = np.where(which[word_in] == 0, models[0].symbols_of(hashes), models[1].symbols_of(hashes)).astype(np.int64)
+    length = np.where(n > 0, n + 2, 0)
+    owner = np.repeat(np.arange(len(texts)), length)
+    first = (np.cumsum(length) - length)[n > 0]
+    last = (np.cumsum(length) - 1)[n > 0]
+    seq, body = np.empty(len(owner), np.int64), np.ones(len(owner), bool)
+    seq[first], seq[last] = START, END
+    body[first] = body[last] = False
+    seq[body] = symbols
+    inside = seq[:-1] != END
+    pairs = (seq[:-1] << BITS | seq[1:])[inside] if len(seq) else np.empty(0, np.int64)
+    return pairs, owner[:-1][inside] if len(seq) else owner, n, symbols == UNKNOWN
+
+
+def counted(df: DataFrame, keys_of, name: str) -> DataFrame:
+    """``name``, n: how often each of the numbers that ``keys_of(texts, models)`` gives occurs in the texts of all rows (text, model)."""
     common.ship(df.sparkSession)
-    kept = df.select(*columns, *[text_col] * (text_col not in columns))
-    schema = df.select(*columns).schema.add("_n", "long").add("_nll", "double")
-    at, width = kept.columns.index(text_col), len(columns)
 
     def run(batches):
-        table = model.value
+        waiting, size = [], 0
+
+        def rows():
+            found, n = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], [name, "n"])
+
         for batch in batches:
-            n, nll = [], []
-            for text in batch.column(at):
-                size, total = 0, 0.0
-                for g in grams(text.as_py() or ""):
-                    size += len(g)
-                    total -= float(table[g].sum(dtype=np.float64))
-                n.append(size)
-                nll.append(total)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:width], pa.array(n, pa.int64()), pa.array(nll, pa.float64())], [f.name for f in schema])
+            which = batch.column(1).to_numpy()
+            for begin, texts in groups_of(batch.column(0)):
+                waiting.append(keys_of(texts, which[begin:begin + len(texts)]))
+                size += len(waiting[-1])
+                if size >= FLUSH:
+                    yield rows()
+                    waiting, size = [], 0
+        if waiting:
+            yield rows()
+
+    return df.select("text", "model").mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
+
+
+def learned(good: DataFrame) -> tuple[list[Words], DataFrame]:
+    """Two models of words and the counts of their pairs (pair, n), from rows (text, model) of the trusted documents."""
+    models = []
+    for which in (0, 1):
+        found = counted(good.where(F.col("model") == which), lambda texts, _: batch_hashes(texts, VISIBLE)[0], "word")
+        found = found.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+        models.append(Words(found["word"].to_numpy().view(np.uint64)))
+    known = good.sparkSession.sparkContext.broadcast(models)
+
+    def pairs_of(texts, which):
+        pairs, owner, _, _ = sequences(texts, which, known.value)
+        return pairs + which[owner] * MODEL
+
+    counts = common.saved(counted(good, pairs_of, "pair"), "pairs")
+    symbol = lambda shift: F.shiftright("pair", shift).bitwiseAND(F.lit((1 << BITS) - 1)).alias("symbol")
+    for which, model in enumerate(models):
+        own = counts.where((F.col("pair") >= which * MODEL) & (F.col("pair") < (which + 1) * MODEL))
+        sizes = dict(own.where("n < 5").groupBy("n").count().collect())  # four rows
+        # A row per symbol at most, of which the vocabulary bounds the number.
+        contexts = own.groupBy(symbol(BITS)).agg(
+            F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"),
+            F.count_if(F.col("n") > 2).alias("more")).toArrow()
+        follows = own.groupBy(symbol(0)).agg(F.count("*").alias("n")).toArrow()
+        model.learn(
+            {c: contexts[c].to_numpy() for c in contexts.column_names}, {c: follows[c].to_numpy() for c in follows.column_names},
+            discounts(*(sizes.get(k, 0) for k in (1, 2, 3, 4))))
+    return models, counts
+
+
+def range_of(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def dealt(numbers: np.ndarray, ranges: np.ndarray):
+    """(range, places) of numbers, ascending within each range."""
+    place = np.argsort(numbers, kind="stable")
+    place = place[np.argsort(ranges[place], kind="stable")]
+    edges = np.flatnonzero(np.diff(ranges[place], prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:]):
+        yield int(ranges[place[a]]), place[a:b]
+
+
+def packed(counts: DataFrame, models, bits: int) -> DataFrame:
+    """range, data: the pairs of the models with what each adds."""
+
+    def run(batches):
+        waiting, size = [], 0
+
+        def rows():
+            pairs, n = (np.concatenate(x) for x in zip(*waiting))
+            own = pairs & (MODEL - 1)
+            value = np.where(pairs < MODEL, models.value[0].added(own, n), models.value[1].added(own, n)).astype(np.float32)
+            found = [(r, pack(pairs[at], value[at])) for r, at in dealt(pairs, range_of(pairs, bits))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary()))], ["range", "data"])
+
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= FLUSH:
+                yield rows()
+                waiting, size = [], 0
+        if size:
+            yield rows()
+
+    return counts.mapInArrow(run, "range int, data binary")
+
+
+def asked(df: DataFrame, models, spelling, columns: list[str], bits: int) -> DataFrame:
+    """Rows of two kinds.  A document: ``columns``, the number of its symbols, their negative log probability by what tasks know, and its place (flush, doc).
+    Packed pairs: range, flush, data."""
+    common.ship(df.sparkSession)
+    kept = df.select(*columns, "text", "model")
+    schema = df.select(*columns).schema
+    for name, kind in (("_n", "long"), ("_nll", "double"), ("flush", "long"), ("doc", "integer"), ("range", "integer"), ("data", "binary")):
+        schema = schema.add(name, kind)
+    names, width = [f.name for f in schema], len(columns)
+    more = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        known, table = models.value, spelling.value
+        flush, docs, waiting, size, types = TaskContext.get().partitionId() << 32, 0, [], 0, []
+
+        def requests():
+            numbers = np.concatenate(waiting)  # a pair and its document
+            rows = []
+            for r, at in dealt(numbers, range_of(numbers >> DOC_BITS, bits)):
+                steps = np.diff(numbers[at], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)
+                rows.append((flush, None, r, pack(np.ascontiguousarray(steps.T))))
+            found = [pa.array(c, t) for c, t in zip(zip(*rows), more[2:])]
+            nothing = [pa.nulls(len(rows), t) for t in (*types, *more[:2])]
+            return pa.RecordBatch.from_arrays([*nothing, *found], names)
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[:width]]
+            model_of = batch.column(width + 1).to_numpy()
+            for begin, texts in groups_of(batch.column(width)):
+                if waiting and (docs + len(texts) > DOCS or size >= FLUSH):
+                    yield requests()
+                    waiting, size = [], 0
+                    flush, docs = flush + 1, 0
+                which = model_of[begin:begin + len(texts)]
+                pairs, owner, n, unknown = sequences(texts, which, known)
+                a, b, m = pairs >> BITS, pairs & ((1 << BITS) - 1), which[owner]
+                log_p = np.where(m == 0, known[0].log_back[a] + known[0].log_single[b], known[1].log_back[a] + known[1].log_single[b])
+                nll = -np.bincount(owner, log_p, len(texts))
+                at = np.concatenate([[0], np.cumsum(n)])
+                for i, text in enumerate(texts):
+                    new = np.flatnonzero(unknown[at[i]:at[i + 1]])
+                    if len(new):
+                        spelled = text.encode().split()
+                        for g in grams(b" ".join(map(spelled.__getitem__, new.tolist())).decode()):
+                            nll[i] -= float(table[g].sum(dtype=np.float64))
+                waiting.append((pairs + m * MODEL) << DOC_BITS | (owner + docs))
+                size += len(pairs)
+                found = [
+                    pa.array(np.where(n > 0, n + 1, 0), pa.int64()), pa.array(nll, pa.float64()), pa.array(np.full(len(texts), flush)),
+                    pa.array(np.arange(docs, docs + len(texts), dtype=np.int32)), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(texts)) for c in batch.columns[:width]), *found], names)
+                docs += len(texts)
+        if size:
+            yield requests()
 
     return kept.mapInArrow(run, schema)
 
 
+def answered(model: DataFrame, questions: DataFrame) -> DataFrame:
+    """flush, doc, more: what the pairs that were met add to each document."""
+
+    def run(batches):
+        here, parts, pairs, values = None, [], None, None
+        for batch in batches:
+            out = []
+            for r, flush, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if r != here:
+                    here, parts, pairs = r, [], None
+                if flush is None:
+                    parts.append(unpack(data.as_py(), ["<i8", "<f4"]))
+                    continue
+                if not parts:
+                    continue
+                if pairs is None:
+                    pairs, values = (np.concatenate(x) for x in zip(*parts))
+                    place = np.argsort(pairs)
+                    pairs, values = pairs[place], values[place].astype(np.float64)
+                steps = np.ascontiguousarray(unpack(data.as_py(), ["u1"])[0].reshape(8, -1).T)
+                numbers = np.cumsum(steps.view("<i8").ravel())
+                at = np.minimum(np.searchsorted(pairs, numbers >> DOC_BITS), len(pairs) - 1)
+                met = pairs[at] == numbers >> DOC_BITS
+                doc = numbers[met] & (DOCS - 1)
+                if len(doc):
+                    more = np.bincount(doc, values[at[met]], DOCS)
+                    doc = np.flatnonzero(np.bincount(doc, minlength=DOCS))
+                    out.append((flush, pack(doc.astype("<u2"), more[doc])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["flush", "data"])
+
+    def add(group):
+        more, met = np.zeros(DOCS), np.zeros(DOCS, bool)
+        for x in group.column("data"):
+            doc, part = unpack(x.as_py(), ["<u2", "<f8"])
+            more[doc] += part
+            met[doc] = True
+        doc = np.flatnonzero(met)
+        flush = np.full(len(doc), group.column("flush")[0].as_py())
+        return pa.table({"flush": flush, "doc": doc.astype(np.int32), "more": more[doc]})
+
+    # The model's rows come first in each range, and a task holds those of one range and one question at a time.
+    both = model.select("range", F.lit(None).cast("long").alias("flush"), "data").union(questions.select("range", "flush", "data"))
+    met = both.repartition("range").sortWithinPartitions("range", F.col("flush").asc_nulls_first()).mapInArrow(run, "flush long, data binary")
+    return met.groupBy("flush").applyInArrow(add, "flush long, doc int, more double")
+
+
+def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of all documents, with the number of symbols ``_n`` and their summed negative log probability ``_nll``."""
+    spark = docs.sparkSession
+    plain = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    plain = plain.withColumn("model", F.pmod(F.xxhash64("text"), F.lit(2)))
+    good = trusted(plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (1 - F.col("model")).alias("model")), labels)
+    spelling = spark.sparkContext.broadcast(probabilities(count_grams(good)))
+    models, counts = learned(good)
+    bits = max(2, (counts.count() // RANGE_PAIRS).bit_length())
+    known = spark.sparkContext.broadcast(models)
+    found = common.saved(asked(plain, known, spelling, columns, bits), "questions")
+    more = answered(common.saved(packed(counts, known, bits), "model"), found.where("data is not null"))
+    rows = found.where("data is null").join(more, ["flush", "doc"], "left")
+    rows = common.saved(rows.select(*columns, "_n", (F.col("_nll") - F.coalesce("more", F.lit(0.0))).alias("_nll")), "scores")
+    common.discard(found)
+    return rows
+
+
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents labelled as good; the list of labels is sent to all tasks only while it is short."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -173,10 +442,8 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of all documents with _n, _nll, score, threshold and keep; ``columns`` must hold doc_id and lang."""
-    spark = docs.sparkSession
-    plain = common.texts(docs, "doc_id", "text", "lang").withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    model = spark.sparkContext.broadcast(probabilities(count_grams(trusted(plain, labels))))
-    small = common.saved(scored(trusted(plain, labels), model, ["doc_id", "lang"]), "trusted-scores")
+    found = scored(docs, labels, columns).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    small = common.saved(trusted(found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lang").alias("lang"), "_n", "_nll"), labels), "trusted-scores")
     level = small.groupBy("lang").agg((F.sum("_nll") / F.greatest(F.sum("_n"), F.lit(1))).alias("level"))
     overall = small.agg((F.sum("_nll") / F.greatest(F.sum("_n"), F.lit(1))).alias("level")).first()["level"]
     drawn = lambda at: (F.col("_nll") + PRIOR * at) / (F.col("_n") + PRIOR)
@@ -187,19 +454,18 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
             "lang", "level", (F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("threshold")), "limits")
     q = known.agg(quantiles.alias("q")).first()["q"]
     other = float(q[0] + SPREAD * (q[1] - q[0])) if q else None
-    rows = scored(docs, model, columns).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    rows = rows.join(few(limits.withColumnRenamed("lang", "_lang")), "_lang", "left").drop("_lang")
+    rows = found.join(few(limits.withColumnRenamed("lang", "_lang")), "_lang", "left").drop("_lang")
     rows = rows.withColumn("threshold", F.coalesce("threshold", F.lit(other).cast("double")))
     rows = rows.withColumn("score", drawn(F.coalesce("level", F.lit(overall).cast("double"), F.lit(0.0)))).drop("level")
     return rows.withColumn("keep", F.coalesce(F.col("score") <= F.col("threshold") + 1e-9, F.lit(True)))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]  # the text goes to the tasks once
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.struct(*rest).alias("row"))
-    found = judged(packed, labels, ["doc_id", "lang", "row", "text"]).where("keep")
-    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    """The documents that are not rejected, with all their columns; what is rejected depends on text and language alone."""
+    node = F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    found = judged(docs.select("doc_id", "lang", "text", node.alias("_node")), labels, ["doc_id", "lang", "_node"])
+    rejected = common.saved(found.where("not keep").select("_node").distinct(), "rejected")
+    return docs.withColumn("_node", node).join(rejected, "_node", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def few(by_language: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeline.llm import op1_decontaminate, op2_license_scan, op3_jaccard, op8_quality, op9_line_dedup
 from gaugeline.llm.words import ALNUM, batch_hashes
@@ -98,6 +99,61 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(table.sum(1), 1, atol=1e-4)
 
 
+def test_perplexity_of_words_by_definition(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(op8_quality, "VOCABULARY", 12)
+    rnd = random.Random(8)
+    words = ["the", "cat", "sat", "on", "a", "mat", "and", "ran", "far", "off", "by", "day", "zebra", "quagga", "b!!", "É"]
+    texts = [" ".join(rnd.choice(words[:rnd.randint(2, 16)]) for _ in range(rnd.randint(1, 40))) for _ in range(60)] + ["", " \n", "The CAT"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
+    by = {r[0]: r[1] for r in docs.select("doc_id", F.expr("pmod(xxhash64(text), 2)")).collect()}
+    good = [i for i in range(0, 60, 2)]
+    spelling = op8_quality.probabilities(op8_quality.count_grams(docs.join(labels, "doc_id", "left_semi")))
+    split = lambda t: t.translate(LOWER).split()
+
+    def logs(which):
+        """log P(b | a) of the model by its formula."""
+        own = [split(texts[i]) for i in good if by[i] != which]
+        hashes = {w: int(batch_hashes([w], op8_quality.VISIBLE)[0].view(np.int64)[0]) for t in own for w in t}
+        n = Counter(w for t in own for w in t)
+        known = set(sorted(n, key=lambda w: (-n[w], hashes[w]))[:12])
+        name = lambda w: w if w in known else "?"
+        pairs = Counter(p for t in own if t for p in zip(["<", *map(name, t)], [*map(name, t), ">"]))
+        follows = Counter(b for _, b in pairs)
+        sizes = lambda c: op8_quality.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4)))
+        d1, d2 = sizes(follows), sizes(pairs)
+        off = lambda c, d: d[min(c, 3) - 1] if c else 0
+        total = sum(follows.values())
+
+        def single(b):
+            return (follows[b] - off(follows[b], d1)) / total + sum(off(v, d1) for v in follows.values()) / total / (len(known) + 2)
+
+        def p(a, b):
+            seen = {k: v for k, v in pairs.items() if k[0] == a}
+            if not seen:
+                return single(b)
+            c = sum(seen.values())
+            return (pairs[a, b] - off(pairs[a, b], d2)) / c + sum(off(v, d2) for v in seen.values()) / c * single(b)
+
+        assert abs(sum(p("the", b) for b in [*known, "?", ">"]) - 1) < 1e-9
+        return known, name, p
+
+    models = [logs(0), logs(1)]
+    for r in op8_quality.quality(docs, labels).collect():
+        known, name, p = models[by[r["doc_id"]]]
+        t = split(texts[r["doc_id"]])
+        if not t:
+            assert r["n_symbols"] == 0 and r["perplexity"] is None
+            continue
+        nll = -sum(np.log(p(a, b)) for a, b in zip(["<", *map(name, t)], [*map(name, t), ">"]))
+        unknown = [w for w in texts[r["doc_id"]].split() if w.translate(LOWER) not in known]
+        nll -= sum(float(spelling[g].sum(dtype=np.float64)) for g in op8_quality.grams(" ".join(unknown)))
+        assert r["n_symbols"] == len(t) + 1
+        assert abs(np.log(r["perplexity"]) * (len(t) + 1) - nll) < 1e-4 * max(1, nll)
+
+
 # Lines
 
 def edits(a, b):
