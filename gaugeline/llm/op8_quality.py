@@ -424,11 +424,14 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     models, counts = learned(good)
     bits = max(2, (counts.count() // RANGE_PAIRS).bit_length())
     known = spark.sparkContext.broadcast(models)
+    model = common.saved(packed(counts, known, bits), "model")
+    common.discard(counts)
     found = common.saved(asked(plain, known, spelling, columns, bits), "questions")
-    more = answered(common.saved(packed(counts, known, bits), "model"), found.where("data is not null"))
+    more = answered(model, found.where("data is not null"))
     rows = found.where("data is null").join(more, ["flush", "doc"], "left")
     rows = common.saved(rows.select(*columns, "_n", (F.col("_nll") - F.coalesce("more", F.lit(0.0))).alias("_nll")), "scores")
     common.discard(found)
+    common.discard(model)
     return rows
 
 
