@@ -315,6 +315,8 @@ def asked(df: DataFrame, models, spelling, columns: list[str], bits: int) -> Dat
     schema = df.select(*columns).schema
     for name, kind in (("_n", "long"), ("_nll", "double"), ("flush", "long"), ("doc", "integer"), ("range", "integer"), ("data", "binary")):
         schema = schema.add(name, kind)
+    for field in schema:
+        field.nullable = True  # either kind lacks the columns of the other
     names, width = [f.name for f in schema], len(columns)
     more = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 

@@ -91,6 +91,12 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert op8_quality.quality(nothing, labels).count() == 0
 
 
+def test_kept_rows_have_all_columns(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (5, 1)], "doc_id long, quality int")
+    out = op8_quality.kept(odd, labels)
+    assert out.dtypes == odd.dtypes and 0 < out.count() <= odd.count()
+
+
 def test_probabilities_sum_to_one(spark):
     import numpy as np
 
