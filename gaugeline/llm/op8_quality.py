@@ -4,7 +4,8 @@ Method: an interpolated modified Kneser-Ney model of words (what stands between
 are labelled as good.  Every task counts the pairs of neighbouring words of its documents, the counts are summed in shards by pair,
 continuation counts and context totals are derived from them by grouping, and the discounts come from the counts of counts.  The pairs of the
 model and those of the documents meet in ranges of their hashes: the probability of a text is the sum of what each of its pairs adds, so only
-sums come back to the documents.  A text begins and ends with a mark.
+sums come back to the documents.  Documents are scored in ``ROUNDS`` parts, so that the pairs of one part at a time are on disk.  A text begins
+and ends with a mark.
 
 The model has ids for the ``VOCABULARY`` most frequent words.  Any other word is the unknown word, spelled out by a model of its characters: an
 interpolated modified Kneser-Ney model of ``ORDER`` classes of characters (``symbol_table``), which has at most ``ALPHABET ** ORDER`` entries.  So no
@@ -42,6 +43,7 @@ MODEL = 1 << 2 * BITS  # this bit of a pair tells the model
 FLUSH = 1 << 20
 DOCS, DOC_BITS = 1 << 12, 12
 RANGE_PAIRS = 1 << 19
+ROUNDS = 4
 
 ORDER = 4
 ALPHABET = 48
@@ -282,17 +284,24 @@ def dealt(numbers: np.ndarray, ranges: np.ndarray):
         yield int(ranges[place[a]]), place[a:b]
 
 
-def packed(counts: DataFrame, models, bits: int) -> DataFrame:
-    """range, data: the pairs of the models with what each adds."""
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the bytes of their steps, first bytes first, which packs well."""
+    return np.ascontiguousarray(np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel())
+
+
+def packed(counts: DataFrame, bits: int) -> DataFrame:
+    """range, data: the pairs of the models and their counts."""
 
     def run(batches):
         waiting, size = [], 0
 
         def rows():
             pairs, n = (np.concatenate(x) for x in zip(*waiting))
-            own = pairs & (MODEL - 1)
-            value = np.where(pairs < MODEL, models.value[0].added(own, n), models.value[1].added(own, n)).astype(np.float32)
-            found = [(r, pack(pairs[at], value[at])) for r, at in dealt(pairs, range_of(pairs, bits))]
+            found = [(r, pack(planes(pairs[at]), n[at].astype("<u8").view(np.uint8).reshape(-1, 8).T)) for r, at in dealt(pairs, range_of(pairs, bits))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary()))], ["range", "data"])
 
         for batch in batches:
@@ -330,8 +339,7 @@ def asked(df: DataFrame, models, spelling, columns: list[str], bits: int) -> Dat
             numbers = np.concatenate(waiting)  # a pair and its document
             rows = []
             for r, at in dealt(numbers, range_of(numbers >> DOC_BITS, bits)):
-                steps = np.diff(numbers[at], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)
-                rows.append((flush, None, r, pack(np.ascontiguousarray(steps.T))))
+                rows.append((flush, None, r, pack(planes(numbers[at]))))
             found = [pa.array(c, t) for c, t in zip(zip(*rows), more[2:])]
             nothing = [pa.nulls(len(rows), t) for t in (*types, *more[:2])]
             return pa.RecordBatch.from_arrays([*nothing, *found], names)
@@ -369,27 +377,32 @@ def asked(df: DataFrame, models, spelling, columns: list[str], bits: int) -> Dat
     return kept.mapInArrow(run, schema)
 
 
-def answered(model: DataFrame, questions: DataFrame) -> DataFrame:
+def answered(model: DataFrame, questions: DataFrame, models) -> DataFrame:
     """flush, doc, more: what the pairs that were met add to each document."""
 
     def run(batches):
         here, parts, pairs, values = None, [], None, None
+        known = models.value
         for batch in batches:
             out = []
             for r, flush, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if r != here:
                     here, parts, pairs = r, [], None
                 if flush is None:
-                    parts.append(unpack(data.as_py(), ["<i8", "<f4"]))
+                    steps, n = unpack(data.as_py(), ["V8", "V8"])
+                    parts.append((unplaned(steps.view("u1")), np.ascontiguousarray(n.view("u1").reshape(8, -1).T).view("<i8").ravel()))
                     continue
                 if not parts:
                     continue
                 if pairs is None:
-                    pairs, values = (np.concatenate(x) for x in zip(*parts))
-                    place = np.argsort(pairs)
-                    pairs, values = pairs[place], values[place].astype(np.float64)
-                steps = np.ascontiguousarray(unpack(data.as_py(), ["u1"])[0].reshape(8, -1).T)
-                numbers = np.cumsum(steps.view("<i8").ravel())
+                    pairs, n = (np.concatenate(x) for x in zip(*parts))
+                    parts = [None]
+                    place = np.argsort(pairs, kind="stable")
+                    pairs, n = pairs[place], n[place]
+                    cut = np.searchsorted(pairs, MODEL)  # the pairs of the second model follow
+                    values = np.concatenate([known[0].added(pairs[:cut], n[:cut]), known[1].added(pairs[cut:] - MODEL, n[cut:])])
+                    values = values.astype(np.float32).astype(np.float64)
+                numbers = unplaned(unpack(data.as_py(), ["u1"])[0])
                 at = np.minimum(np.searchsorted(pairs, numbers >> DOC_BITS), len(pairs) - 1)
                 met = pairs[at] == numbers >> DOC_BITS
                 doc = numbers[met] & (DOCS - 1)
@@ -426,15 +439,18 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     models, counts = learned(good)
     bits = max(2, (counts.count() // RANGE_PAIRS).bit_length())
     known = spark.sparkContext.broadcast(models)
-    model = common.saved(packed(counts, known, bits), "model")
+    model = common.saved(packed(counts, bits), "model")
     common.discard(counts)
-    found = common.saved(asked(plain, known, spelling, columns, bits), "questions")
-    more = answered(model, found.where("data is not null"))
-    rows = found.where("data is null").join(more, ["flush", "doc"], "left")
-    rows = common.saved(rows.select(*columns, "_n", (F.col("_nll") - F.coalesce("more", F.lit(0.0))).alias("_nll")), "scores")
-    common.discard(found)
+    parts = []
+    for k in range(ROUNDS):
+        part = plain.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k)
+        found = common.saved(asked(part, known, spelling, columns, bits), "questions")
+        more = answered(model, found.where("data is not null"), known)
+        rows = found.where("data is null").join(more, ["flush", "doc"], "left")
+        parts.append(common.saved(rows.select(*columns, "_n", (F.col("_nll") - F.coalesce("more", F.lit(0.0))).alias("_nll")), "scores"))
+        common.discard(found)
     common.discard(model)
-    return rows
+    return reduce(DataFrame.unionAll, parts)
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:

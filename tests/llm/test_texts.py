@@ -91,6 +91,29 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert op8_quality.quality(nothing, labels).count() == 0
 
 
+def test_scoring_keeps_the_questions_of_one_part_at_a_time(spark, monkeypatch):
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} same end" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)], "doc_id long, quality int")
+    here, most, saved, discard = {}, [], op8_quality.common.saved, op8_quality.common.discard
+
+    def seen(df, name):
+        out = saved(df, name)
+        if name == "questions":
+            here[out.saved_at] = out.where("data is null").count()
+            most.append(sum(here.values()))
+        return out
+
+    def gone(df):
+        here.pop(df.saved_at, None)
+        discard(df)
+
+    monkeypatch.setattr(op8_quality.common, "saved", seen)
+    monkeypatch.setattr(op8_quality.common, "discard", gone)
+    assert op8_quality.quality(docs, labels).count() == 40
+    assert sum(most) == 40 and max(most) < 30 and not here
+
+
 def test_kept_rows_have_all_columns(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 1)], "doc_id long, quality int")
     out = op8_quality.kept(odd, labels)
