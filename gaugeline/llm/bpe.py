@@ -278,11 +278,14 @@ class Cutter:
     def __init__(self, path: str):
         self.path, self.library = path, None
         self.bytes = {c: b for b, c in enumerate(byte_chars())}
+        self.assigned: set[str] = set()  # characters met that the interpreter knows
 
     def __call__(self, part: str) -> list[bytes]:
         if not part.isascii():
-            if any(c > "\u024f" and unicodedata.category(c) == "Cn" for c in part):
-                return self._new(part)
+            if not self.assigned.issuperset(part):
+                if any(c > "\u024f" and unicodedata.category(c) == "Cn" for c in part):
+                    return self._new(part)
+                self.assigned.update(part)
             part = unicodedata.normalize("NFC", part)
         return [w.encode() for w in WORDS.findall(lower(part))]
 
@@ -323,16 +326,15 @@ class Memo:
         return found
 
     def all(self, keys: list) -> list:
-        try:
-            return list(map(self.known.__getitem__, keys))
-        except KeyError:
-            pass
-        out = []
-        for k in keys:
-            found = self.known.get(k)
-            out.append(self.one(k) if found is None else found)
-            if self.size > self.limit // 2:
-                self.older, self.known, self.size = self.known, {}, 0
+        out = list(map(self.known.get, keys))
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    out[i] = self.known.get(keys[i])
+                    if out[i] is None:
+                        out[i] = self.one(keys[i])
+                        if self.size > self.limit // 2:
+                            self.older, self.known, self.size = self.known, {}, 0
         return out
 
 
@@ -426,3 +428,10 @@ class Decoder:
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
+
+
+def release() -> None:
+    """Let go of automata and memos: a worker process goes on to tasks of other operators, which have no use for them."""
+    for held in (codec, transducer):
+        held.cache_clear()
+    _LOOKAHEAD.clear()

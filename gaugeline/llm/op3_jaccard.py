@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 from .op9_line_dedup import sieve
 from .words import VISIBLE, batch_hashes, groups_of, mix, run_hashes
 
@@ -118,6 +118,7 @@ def sets_of(docs: DataFrame, n: int, bits: int) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
+        bpe.release()
         seen: set[bytes] = set()
         waiting: list[np.ndarray] = []
         size = 0
@@ -167,6 +168,7 @@ def meetings(docs: DataFrame, order, n: int, bits: int, similarity: tuple[int, i
     """token, doc_id, size, at: documents that share a token of their prefixes under the first order, and its place there."""
 
     def run(batches):
+        bpe.release()
         seen: dict[bytes, int] = {}  # of copies in this task only one is posted, or the one with the smallest doc_id as well
         waiting: list[tuple[np.ndarray, int, int]] = []
         size = 0

@@ -42,16 +42,30 @@ class LibraryCodec(bpe.Pieces):
         super().__init__(path, {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()})
         self.model = tokenizer.model
         self.chars = bpe.byte_chars()
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.encoded = bpe.Memo(self._encode, 2 * bpe.MEMO_BYTES)  # there is one memo here, not three
 
-    def word(self, w: bytes) -> list[int]:
-        ids = self.words.get(w)
-        if ids is None:
+    def packed(self, shown: str) -> bytes:
+        """The ids of a word, given by the characters that stand for its bytes."""
+        found = self.words.get(shown)
+        if found is None:
             if len(self.words) > 400_000:
                 self.words.clear()
-            shown = w.decode() if w.isascii() and w.isalpha() else "".join(map(self.chars.__getitem__, w))
-            ids = self.words[w] = [x.id for x in self.model.tokenize(shown)]
-        return ids
+            ids = [x.id for x in self.model.tokenize(shown)]
+            found = self.words[shown] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def word(self, w: bytes) -> list[int]:
+        found = self.packed("".join(map(self.chars.__getitem__, w)))
+        return struct.unpack(f"<{len(found) // 4}I", found)
+
+    def _encode(self, piece: str) -> bytes:
+        if "<|" in piece:
+            return super()._encode(piece)
+        if piece.isascii() and piece.isprintable():
+            piece = piece.lower()  # each of these characters stands for its byte
+            return self.packed(piece) if piece.isalpha() else b"".join(map(self.packed, bpe.WORDS.findall(piece)))
+        return b"".join([self.packed("".join(map(self.chars.__getitem__, w))) for w in self.cut(piece)])
 
 
 @lru_cache(maxsize=2)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 from .op3_jaccard import pack, unpack
 from .words import VISIBLE, batch_hashes, groups_of
 
@@ -104,6 +104,7 @@ def count_grams(df: DataFrame) -> DataFrame:
     common.ship(df.sparkSession)
 
     def run(batches):
+        bpe.release()
         total, waiting, size = np.zeros(ALPHABET ** ORDER, np.int32), [], 0  # of one task
 
         def add():
@@ -222,6 +223,7 @@ def counted(df: DataFrame, keys_of, name: str) -> DataFrame:
     common.ship(df.sparkSession)
 
     def run(batches):
+        bpe.release()
         waiting, size = [], 0
 
         def rows():
@@ -332,6 +334,7 @@ def asked(df: DataFrame, models, spelling, columns: list[str], bits: int) -> Dat
     def run(batches):
         from pyspark import TaskContext
 
+        bpe.release()
         known, table = models.value, spelling.value
         flush, docs, waiting, size, types = TaskContext.get().partitionId() << 32, 0, [], 0, []
 

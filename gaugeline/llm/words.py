@@ -6,7 +6,8 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE = 1 << 20
+#: Bytes that are hashed at once; each takes some 50 bytes while it is.
+SLICE = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -25,7 +26,7 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and their inverses."""
     with np.errstate(over="ignore"):
@@ -52,8 +53,8 @@ def _part(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = np.concatenate([[False], is_word[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = powers(size)
+    # One table serves all slices but those that a very long word makes longer.
+    up, down = powers(2 * SLICE) if len(data) < 2 * SLICE else powers.__wrapped__(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values()[data] * up[:len(data)])])
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
 

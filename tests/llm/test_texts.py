@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -396,6 +397,22 @@ def test_leaks_odd_rows(spark, odd, nothing):
     assert clean.columns == odd.columns and clean.count() == odd.count() - 3
 
 
+def test_hashing_many_texts_takes_little_memory():
+    import pyarrow as pa
+
+    from gaugeline.llm import words
+
+    texts = pa.array(["some words of a text " * 200] * 1000)  # 4 MB
+    words.powers.cache_clear()
+    tracemalloc.start()
+    try:
+        n = sum(len(batch_hashes(group, ALNUM)[0]) for _, group in words.groups_of(texts))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1_000_000 and most < 40 << 20
+
+
 def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     from gaugeline.llm import words
 

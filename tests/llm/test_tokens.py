@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gaugeline.llm import bpe, dac, op4_token_files, op6_bpe, op7_token_counts
+from gaugeline.llm import bpe, dac, op3_jaccard, op4_token_files, op6_bpe, op7_token_counts, op8_quality
 from gaugeline.session import fresh_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -130,3 +131,38 @@ def test_files(spark, odd, nothing, library):
     empty = fresh_path(spark, "ids")
     op4_token_files.write_ids(nothing, empty)
     assert op4_token_files.read_ids(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("step", [op8_quality.count_grams, lambda docs: op3_jaccard.sets_of(docs, 5, 6)], ids=["quality", "sets"])
+def test_tasks_of_other_operators_let_go_of_automata(spark, step):
+    class Here:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            list(run(iter(())))
+            return self
+
+        groupBy = agg = select
+
+    bpe.codec(PATH)
+    step(Here())
+    assert not bpe.codec.cache_info().currsize and not bpe.transducer.cache_info().currsize
+
+
+def test_library_encodes_a_plain_word_once_in_all_pieces(library):
+    codec = op4_token_files.LibraryCodec(PATH)
+    asked = []
+
+    class Model:
+        def tokenize(self, word, model=codec.model):
+            asked.append(word)
+            return model.tokenize(word)
+
+    codec.model = Model()
+    text = "Word word, WORD; (word) wörd it's a_b 12 a\x01b <|x a<|endoftext|>b \x7f x\x1cy"
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert asked.count("word") == 1 and len(codec.words) == len(set(asked))
