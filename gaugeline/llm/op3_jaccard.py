@@ -11,9 +11,12 @@ How it stays linear:
 * Token frequencies come from all documents: every task packs its sorted tokens by range, and a range is counted in one piece.  Tokens of
   at least ``FREQUENT`` documents, at most ``MAX_FREQUENT`` of them, are sent to all tasks.  Which tokens these are only decides the order;
   any order gives the same result.
-* Where more than ``CROWD`` documents meet, each is first compared with about ``HUBS`` of them, in rounds with different ones for as long as
-  a round joins many of them and such crowds are left.  What links is one component, and later only pairs across components are compared.  So a
-  large group of near copies costs some comparisons each.
+* Two similar sets share a token that stands, in both, before what they may lack of each other; only where a token stands so do they meet.  Of
+  near copies, that leaves out those with too much of their own: their rare tokens come first.
+* Where more than ``CROWD`` documents meet, each is first compared with at most ``HUBS`` of them, in rounds with different ones for as long as
+  a round joins many of them and such crowds are left.  The first hubs are those with the fewest tokens before the shared one, which near copies
+  have least to lack of.  What links is one component, and later only pairs across components are compared, those inside the largest component
+  of a crowd are not even looked up.  So a large group of near copies costs some comparisons each.
 
 Tokens are 64-bit hashes.  Inside, a row is known by a hash of its doc_id and text, so rows that repeat a doc_id with another text are
 compared each on its own, and rows that agree in both are one.  Defined results: a null or empty text has no tokens, is linked with nothing
@@ -43,6 +46,7 @@ FREQUENT = 5
 MAX_FREQUENT = 1_000_000
 CROWD = 48
 HUBS = 16
+BAND = 1.03  # sizes of a crowd are looked up by bands of this ratio
 FLUSH = 1 << 21
 
 
@@ -234,7 +238,8 @@ def verified(pairs: DataFrame, texts: DataFrame, order, n: int, similarity: tupl
             for i in range(batch.num_rows):
                 x, px = sets(a[i].as_py(), batch.column(2)[i])
                 y, py = sets(b[i].as_py(), batch.column(3)[i])
-                if not np.intersect1d(px, py, assume_unique=True).size:
+                need = -(-p * (len(x) + len(y)) // (p + q))
+                if not np.intersect1d(px[:len(x) - need + 1], py[:len(y) - need + 1], assume_unique=True).size:
                     keep.append(False)
                     continue
                 both = np.intersect1d(x, y, assume_unique=True).size
@@ -293,6 +298,42 @@ def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def fitting(similarity: tuple[int, int], other: str):
+    """A condition on two rows of a token, the columns of one begin with ``other``: sizes of similar sets, and enough of both sets from the token on.
+
+    The first token that two similar sets share fulfils it: all that they share begins there.
+    """
+    p, q = similarity
+    sizes, places = [F.col("size"), F.col(f"{other}_size")], [F.col("at"), F.col(f"{other}_at")]
+    far = [(p + q) * (n - at) >= p * (sizes[0] + sizes[1]) for n, at in zip(sizes, places, strict=True)]
+    return (p * sizes[0] <= q * sizes[1]) & (p * sizes[1] <= q * sizes[0]) & far[0] & far[1]
+
+
+def across(here: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of fitting rows of a token in different components; ``other`` has the larger set, or the larger id of two alike.
+
+    In a crowd, a larger set looks up the bands of sizes that its place of the token leaves to the smaller one, and one in the crowd's largest
+    component looks up only what is outside of it.
+    """
+    p, q = similarity
+    band = lambda x: F.floor(F.log(x) / math.log(BAND)).cast("int")
+    crowd = here.where(F.col("n") > CROWD)
+    parts = crowd.groupBy("token", "component").agg(F.count("*").alias("c"))
+    main = parts.groupBy("token").agg(F.max(F.struct("c", "component")).getField("component").alias("main"))
+    crowd = crowd.join(main, "token").withColumn("inside", F.col("component") == F.col("main"))
+    least, most = F.col("size") * p / q, F.least((F.col("size") * q - F.col("at") * (p + q)) / p, F.col("size").cast("double"))
+    kept = ["token", "doc_id", "size", "at", "component", "inside"]
+    few = here.where(F.col("n") <= CROWD).withColumn("inside", F.lit(False)).withColumn("band", F.lit(0))
+    smaller = few.select(*kept, "band").union(crowd.select(*kept, band(F.col("size")).alias("band"))).where(
+        (p + q) * (F.col("size") - F.col("at")) >= 2 * p * F.col("size"))
+    looks = crowd.withColumn("inside", F.explode(F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    larger = few.select(*kept, "band").union(looks.select(*kept, F.explode(F.sequence(band(least), band(most))).alias("band"))).select(
+        "token", "inside", "band", F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"),
+        F.col("component").alias("other_component"))
+    ordered = (F.col("size") < F.col("other_size")) | (F.col("size") == F.col("other_size")) & (F.col("doc_id") < F.col("other"))
+    return smaller.join(larger, ["token", "inside", "band"]).where(ordered & (F.col("component") != F.col("other_component")) & fitting(similarity, "other"))
+
+
 def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity: tuple[int, int]) -> DataFrame:
     """doc_id, component of the representatives that are linked with others."""
     p, q = similarity
@@ -307,16 +348,17 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
         # An inner join with distinct rows: a semi join would be moved below the sieve, and all texts shuffled.
         return common.saved(likely.join(wanted.drop("h"), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
 
-    fits = lambda x, y: (p * F.col(x) <= q * F.col(y)) & (p * F.col(y) <= q * F.col(x))
     labels = None
     crowded = met.where(F.col("n") > CROWD).withColumn("rest", F.col("n"))
     k = 0
     while not crowded.isEmpty():
         here = labelled(crowded, labels)
-        # About HUBS of the n documents that meet, the same ones wherever these meet again.
-        chosen = F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n") < HUBS
-        hubs = here.where(chosen).select("token", F.col("doc_id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))
-        near = here.join(hubs, "token").where((F.col("component") != F.col("hub_component")) & fits("size", "hub_size"))
+        # At most HUBS of the n documents that meet, the same ones wherever these meet again.
+        drawn = F.xxhash64(F.lit(k), "doc_id")
+        first = F.struct((F.col("at") if k == 0 else F.lit(0)).alias("rank"), drawn.alias("drawn"), "doc_id", "size", "at", "component")
+        chosen = here.groupBy("token", F.pmod(drawn, F.lit(HUBS)).alias("slot")).agg(F.min(first).alias("hub"))
+        hubs = chosen.select("token", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.at").alias("hub_at"), F.col("hub.component").alias("hub_component"))
+        near = here.join(hubs, "token").where((F.col("component") != F.col("hub_component")) & fitting(similarity, "hub"))
         least, most = F.least("hub", "doc_id"), F.greatest("hub", "doc_id")
         pairs = common.saved(near.select(least.alias("a"), most.alias("b")).distinct(), "pairs")
         texts = texts_of(pairs)
@@ -331,12 +373,9 @@ def links(docs: DataFrame, reps: DataFrame, order, n: int, bits: int, similarity
         rest = parts.groupBy("token").agg((F.sum("c") - F.max("c")).alias("rest"), F.max("was").alias("was"))
         left = rest.where((F.col("rest") > CROWD) & (4 * F.col("rest") <= 3 * F.col("was"))).select("token", "rest")
         crowded = common.saved(crowded.drop("rest").join(left, "token"), "crowds")
-    here = labelled(met, labels).select("token", "doc_id", "size", "at", "component")
-    other = here.select(
-        "token", F.col("doc_id").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"), F.col("component").alias("other_component"))
-    across = here.join(other, "token").where((F.col("doc_id") < F.col("other")) & (F.col("component") != F.col("other_component")) & fits("size", "other_size"))
-    # What two sets can share: the prefix tokens they do share, and at most what comes after the last of these.
-    shared = across.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b"), "size", "other_size").agg(
+    here = labelled(met, labels).select("token", "doc_id", "size", "at", "component", "n")
+    # What two sets can share: the tokens in which they meet, and at most what comes after the last of these.
+    shared = across(here, similarity).groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b"), "size", "other_size").agg(
         F.count("*").alias("met"), F.max("at").alias("at"), F.max("other_at").alias("other_at"))
     most = F.col("met") + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) - 1
     pairs = common.saved(shared.where(most * (p + q) >= p * (F.col("size") + F.col("other_size"))).select("a", "b"), "pairs")

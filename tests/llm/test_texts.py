@@ -350,6 +350,45 @@ def test_a_large_group_of_near_copies_stays_linear(spark, monkeypatch):
     assert sizes[450] <= 5 * sizes[150]
 
 
+def test_near_copies_that_do_not_link_are_not_paired_with_all(spark, monkeypatch):
+    """Copies with up to seven edits, of which those with many link with nothing: rows of the last join grow with the group, not with its square."""
+    made = []
+    monkeypatch.setattr(op3_jaccard, "CROWD", 8)
+    real = op3_jaccard.across
+    monkeypatch.setattr(op3_jaccard, "across", lambda *args: made.append(real(*args).count()) or real(*args))
+    sizes = {}
+    for size in (150, 450):
+        rnd = random.Random(size)
+        rows = []
+        for i in range(size):
+            words = [f"w{j}" for j in range(120)]
+            for e in range(i % 8):
+                words[rnd.randrange(120)] = f"e{i}x{e}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        want = {d: c for d, (_, c) in components(rows).items()}
+        got = op3_jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert size // 3 < len(set(want.values())) < size  # many are alone
+        sizes[size] = sum(made)
+    assert sizes[450] <= 5 * max(sizes[150], 150)
+
+
+def test_across_finds_every_fitting_pair(spark):
+    """Rows of a crowd and of a small meeting against the definition: sizes, places and components of both."""
+    rnd = random.Random(5)
+    rows = [(t, d, rnd.randrange(40, 90), rnd.randrange(12), rnd.choice([1, 1, 1, 2, 3, 100 + d]), n) for t, n in ((1, 200), (2, 30)) for d in range(n)]
+    got = Counter((r["token"], r["doc_id"], r["other"]) for r in op3_jaccard.across(
+        spark.createDataFrame(rows, "token long, doc_id long, size int, at int, component long, n long"), (3, 4)).collect())
+    want = Counter()
+    for t, d, s, p, c, _ in rows:
+        for u, e, z, q, k, _ in rows:
+            need = 3 * (s + z) / 7
+            if t == u and (s, d) < (z, e) and c != k and 3 * z <= 4 * s and s - p >= need and z - q >= need:
+                want[t, d, e] += 1
+    assert got == want and len({t for t, _, _ in want}) == 2
+
+
 # Decontamination
 
 def test_leaks_with_edits(spark):
