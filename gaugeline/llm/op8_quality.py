@@ -139,29 +139,35 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 def probabilities(counts: DataFrame) -> np.ndarray:
-    """log P of the last symbol of every n-gram of the alphabet, as a dense table."""
+    """log P of the last symbol of every n-gram of the alphabet, as a dense table.
+
+    The driver gets the counts of the n-grams and of what stands behind each context, at most ALPHABET ** ORDER rows of 12 bytes, and fills the table
+    in parts: besides it and them it holds no more than a few ALPHABET-ths of it.
+    """
     levels = [common.saved(counts, "grams")]
     for k in range(ORDER - 1, 0, -1):  # how many different symbols come before each shorter n-gram
         levels.append(levels[-1].groupBy((F.col("gram") % ALPHABET ** k).alias("gram")).agg(F.count("*").alias("n")))
     dense = np.full(1, 1.0 / ALPHABET)
     for grams_of in reversed(levels):
-        found = grams_of.groupBy(F.least("n", F.lit(4)).alias("n")).count().collect()  # four rows
-        n1, n2, n3, n4 = (dict(map(tuple, found)).get(k, 0) if k < 4 else grams_of.where("n = 4").count() for k in (1, 2, 3, 4))
-        d = discounts(n1, n2, n3, n4)
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = grams_of.withColumn("context", F.floor(F.col("gram") / ALPHABET)).withColumn("off", off)
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("held"))
-        table = rows.join(contexts, "context").select(
-            "gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("p"), "context", (F.col("held") / F.col("total")).alias("back"))
-        got = table.toPandas()  # at most ALPHABET ** ORDER rows, by the alphabet
+        contexts = grams_of.groupBy(F.floor(F.col("gram") / ALPHABET).alias("context")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("more"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).toArrow()
+        at, sum_of, more, *sizes = (contexts[c].to_numpy() for c in ("context", "total", "more", "n1", "n2", "n3", "n4"))
+        d = np.array([0.0, *discounts(*(int(n.sum()) for n in sizes))])
         width = len(dense)
-        back, own = np.ones(width), np.zeros(width * ALPHABET)
-        back[got["context"].to_numpy(np.int64)] = got["back"].to_numpy()
-        own[got["gram"].to_numpy(np.int64)] = got["p"].to_numpy()
-        lower = dense if width == 1 else np.tile(dense.reshape(-1, ALPHABET), (ALPHABET, 1))
-        lower = np.full(ALPHABET, dense[0]) if width == 1 else lower.reshape(width, ALPHABET)
-        dense = (own.reshape(width, ALPHABET) + back[:, None] * lower).reshape(-1)
-    return np.log(dense).astype(np.float32)
+        total, back = np.ones(width), np.ones(width)
+        total[at] = sum_of
+        back[at] = (sizes[0] * d[1] + sizes[1] * d[2] + (more - sizes[0] - sizes[1]) * d[3]) / sum_of
+        last = grams_of is levels[0]
+        out = np.empty(width * ALPHABET, np.float32 if last else np.float64)
+        for begin in range(0, len(out), width):  # what was not met; the n-grams without their first symbol are the same in every part
+            p = back[np.arange(begin, begin + width) // ALPHABET] * dense
+            out[begin:begin + width] = np.log(p) if last else p
+        for batch in grams_of.select(F.col("gram").cast("int").alias("gram"), "n").toArrow().to_batches():
+            gram, n = batch.column("gram").to_numpy(), batch.column("n").to_numpy()
+            p = (n - d[np.minimum(n, 3)]) / total[gram // ALPHABET] + back[gram // ALPHABET] * dense[gram % width]
+            out[gram] = np.log(p) if last else p
+        dense = out
+    return dense
 
 
 class Words:

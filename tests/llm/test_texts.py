@@ -129,6 +129,39 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(table.sum(1), 1, atol=1e-4)
 
 
+def test_the_table_of_characters_by_definition_in_little_memory(spark):
+    import numpy as np
+
+    rnd = random.Random(5)
+    size = op8_quality.ALPHABET
+    texts = [" ".join(rnd.choice(["the", "cat", "sat", "on", "mat", "Été", "42"]) for _ in range(12)) for _ in range(9)]
+    counts = op8_quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    tracemalloc.start()
+    try:
+        table = op8_quality.probabilities(counts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert table.dtype == np.float32 and table.nbytes == 4 * size ** op8_quality.ORDER and most < 2 * table.nbytes
+    levels = [Counter(int(g) for t in texts for part in op8_quality.grams(t) for g in part)]
+    for k in (3, 2, 1):
+        levels.append(Counter(g % size ** k for g in levels[-1]))
+    off = [[0, *op8_quality.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4)))] for c in levels]
+
+    def p(gram, level):
+        if level == len(levels):
+            return 1 / size
+        behind = [v for g, v in levels[level].items() if g // size == gram // size]
+        lower = p(gram % size ** (3 - level), level + 1)
+        if not behind:
+            return lower
+        n = levels[level][gram]
+        return (n - off[level][min(n, 3)] + sum(off[level][min(v, 3)] for v in behind) * lower) / sum(behind)
+
+    for gram in [*levels[0], *(rnd.randrange(len(table)) for _ in range(200))]:
+        assert abs(table[gram] - np.log(p(gram, 0))) < 1e-5
+
+
 def test_perplexity_of_words_by_definition(spark, monkeypatch):
     import numpy as np
 
